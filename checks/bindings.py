@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import key_hash, whole_days
-from ledgerlens.operators import clean, rfm, wholesale
+from checks.prelude import BGNBD, GAMMA
+from ledgerlens.functions.scalars import minus_days, whole_days
+from ledgerlens.operators import btyd, clean, cluster, features, rfm, value, wholesale
 from ledgerlens.session import materialize
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -167,5 +168,32 @@ def subscriber_scores(spark: SparkSession, sf: str) -> DataFrame:
         "international_plan", "number_customer_service_calls", "total_day_minutes", "voice_mail_plan")
 
 
-def customer_hash(key: str = "customer_id"):
-    return key_hash(F.col(key).cast("bigint"))
+def retail_btyd(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "btyd", lambda s, d: btyd.btyd_summary(retail(s, d)))
+
+
+def valued(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer table with probabilistic value at fixed parameters and arithmetic stand-ins for learned scores."""
+    def build(s, d):
+        history, _ = clean.temporal_split(retail(s, d))
+        t0 = minus_days(clean.snapshot_of(retail(s, d)), 90)
+        learned = features.features_base(history, t0).select(
+            "customer_id", (0.9 * F.col("sales_value_sum") / (1 + F.col("frequency"))).alias("pred_spend"),
+            (1 / (1 + F.col("recency") / 90)).alias("pred_prob"))
+        probabilistic = btyd.probabilistic_scores(retail_btyd(s, d), BGNBD, GAMMA)
+        return value.join_scores_back(rfm_scored(s, d), probabilistic, value.combined_clv(learned))
+
+    return stored(spark, sf, "valued", build)
+
+
+def scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Standardised recency, frequency and monetary with a rule-based cluster label."""
+    def build(s, d):
+        base = rfm_base(s, d)
+        cuts = base.select(F.struct(F.percentile("recency", F.lit(0.5)).alias("r"), F.percentile("frequency", F.lit(0.5)).alias("f"))).scalar()
+        label = (F.col("recency") > F.col("_c.r")).cast("int") * 2 + (F.col("frequency") > F.col("_c.f")).cast("int")
+        labelled = base.withColumn("_c", cuts).withColumn("cluster", label).drop("_c")
+        return cluster.standardize(labelled, ["recency", "frequency", "monetary"]).withColumn(
+            "customer_key", F.col("customer_id").cast("bigint"))
+
+    return stored(spark, sf, "scaled", build)

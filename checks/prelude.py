@@ -215,6 +215,63 @@ SELECT subscriber_key, state, label, 0.6e0 * (((subscriber_key * 2654435761) % 1
 FROM (SELECT *, CASE WHEN churn = 'yes' THEN 1 ELSE 0 END AS label FROM subscribers)"""
 
 
+# Parameters at which the closed-form scores are compared.
+BGNBD = {"r": 0.69, "alpha": 67.25, "a": 0.045, "b": 0.59}
+GAMMA = {"p": 2.0, "q": 3.5, "v": 60000.0}
+_R, _AL, _A, _B = (f"{BGNBD[k]}e0" for k in ("r", "alpha", "a", "b"))
+_P, _Q, _V = (f"{GAMMA[k]}e0" for k in ("p", "q", "v"))
+
+CTES["btyd"] = """
+SELECT customer_id, count(*) - 1 AS x, CAST(date_diff('day', min(day), max(day)) AS INTEGER) AS t_x,
+       CAST(date_diff('day', min(day), (SELECT CAST(max(invoice_ts) AS DATE) FROM retail)) AS INTEGER) AS "T",
+       CASE WHEN count(*) > 1 THEN (sum(v) - arg_min(v, day)) / (count(*) - 1) ELSE 0 END AS m
+FROM (SELECT customer_id, CAST(invoice_ts AS DATE) AS day, sum(order_value) AS v FROM retail GROUP BY 1, 2) GROUP BY customer_id"""
+
+CTES["lapse"] = f"""
+SELECT *, CASE WHEN x > 0 THEN {_A} / ({_B} + x - 1) * pow(({_AL} + "T") / ({_AL} + t_x), {_R} + x) ELSE 0 END AS odds FROM btyd"""
+
+# Gauss series by log-gamma; for x = 0 the third parameter is negative, which flips the sign after the first term
+CTES["series"] = f"""
+SELECT customer_id, d, sum(CASE WHEN {_A} + {_B} + x - 1 < 0 AND k >= 1 THEN -1 ELSE 1 END * exp(
+         lgamma({_R} + x + k) - lgamma({_R} + x) + lgamma({_B} + x + k) - lgamma({_B} + x)
+         - lgamma({_A} + {_B} + x - 1 + k) + lgamma({_A} + {_B} + x - 1) - lgamma(k + 1) + k * ln(d / ({_AL} + "T" + d)))) AS h
+FROM btyd, (SELECT CAST(unnest(generate_series(30, 360, 30)) AS DOUBLE) AS d) AS days,
+     (SELECT CAST(unnest(generate_series(0, 600)) AS DOUBLE) AS k) AS terms
+GROUP BY customer_id, d"""
+
+CTES["ey"] = f"""
+SELECT l.*, s.d, ({_A} + {_B} + x - 1) / ({_A} - 1) * (1 - pow(({_AL} + "T") / ({_AL} + "T" + d), {_R} + x) * h) / (1 + odds) AS e
+FROM lapse l JOIN series s USING (customer_id)"""
+
+CTES["spend_rate"] = f"SELECT customer_id, x, m, {_P} * ({_V} + x * m) / ({_P} * x + {_Q} - 1) AS expected_spend FROM btyd"
+
+CTES["clv"] = """
+SELECT customer_id, any_value(expected_spend) * sum(gain) FILTER (d <= 90) AS clv_90d, any_value(expected_spend) * sum(gain) AS clv_12m,
+       any_value(1 / (1 + odds)) AS prob_alive
+FROM (SELECT e.customer_id, d, odds, expected_spend,
+             (e - coalesce(lag(e) OVER (PARTITION BY e.customer_id ORDER BY d), 0)) / pow(1.01e0, d / 30) AS gain
+      FROM ey e JOIN spend_rate r ON e.customer_id = r.customer_id WHERE e.x > 0 AND e.m > 0) GROUP BY customer_id"""
+
+CTES["valued"] = """
+SELECT c.*, v.clv_90d, v.clv_12m, v.prob_alive, pred_spend, pred_prob, pred_spend * pred_prob AS pred_clv_90d
+FROM customers c LEFT JOIN clv v USING (customer_id)
+LEFT JOIN (SELECT customer_id, 0.9e0 * sales_value_sum / (1 + frequency) AS pred_spend, 1 / (1 + recency / 90.0e0) AS pred_prob FROM features) f USING (customer_id)"""
+
+CTES["pairs"] = """
+SELECT CAST(customer_id AS BIGINT) AS customer_key, (recency - (SELECT avg(recency) FROM rfm_base)) / (SELECT stddev_pop(recency) FROM rfm_base) AS z_recency,
+       (frequency - (SELECT avg(frequency) FROM rfm_base)) / (SELECT stddev_pop(frequency) FROM rfm_base) AS z_frequency,
+       (monetary - (SELECT avg(monetary) FROM rfm_base)) / (SELECT stddev_pop(monetary) FROM rfm_base) AS z_monetary,
+       CAST((recency > (SELECT median(recency) FROM rfm_base)) AS INTEGER) * 2
+         + CAST((frequency > (SELECT median(frequency) FROM rfm_base)) AS INTEGER) AS cluster
+FROM rfm_base"""
+
+CTES["neighbors"] = """
+SELECT customer_key, kth_distance FROM (
+  SELECT p.customer_key, sqrt(pow(p.z_recency - o.z_recency, 2) + pow(p.z_frequency - o.z_frequency, 2) + pow(p.z_monetary - o.z_monetary, 2)) AS kth_distance,
+         row_number() OVER (PARTITION BY p.customer_key ORDER BY pow(p.z_recency - o.z_recency, 2) + pow(p.z_frequency - o.z_frequency, 2) + pow(p.z_monetary - o.z_monetary, 2)) AS place
+  FROM pairs p, pairs o) WHERE place = 5"""
+
+
 def with_tables(sql: str) -> str:
     """Prepend the shared expressions that ``sql`` needs, in definition order."""
     needed: set[str] = set()

@@ -184,7 +184,7 @@ def _(spark, sf):
 
 
 @query("round_floats", """
-SELECT invoice, stock_code, quantity, CAST(round(CAST(price AS DECIMAL(30, 9)), 2) AS DOUBLE) AS price FROM clean_tx""",
+SELECT invoice, stock_code, quantity, CAST(round(CAST(CAST(price AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) AS price FROM clean_tx""",
        doubles="quantity price")
 def _(spark, sf):
     return round_doubles(b.cleaned(spark, sf).select("invoice", "stock_code", "quantity", "price"))

@@ -98,6 +98,7 @@ def fit_positive(
         if tried[best] <= f[0]:
             break
         at = at + lengths[best] * step
-        if np.abs(lengths[best] * step).max() < tolerance:
+        # judged on the objective: a parameter on the boundary keeps moving without effect
+        if tried[best] - f[0] < tolerance:
             break
     return np.exp(at)

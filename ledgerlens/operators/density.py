@@ -131,9 +131,13 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
 
     asked = materialize(first.select("pid", *columns, "leaf", "r").mapInPandas(reach, f"pid bigint, {coords}, leaf bigint"))
     # one row per region, at most MAX_LEAVES
-    load = F.broadcast(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("chunks")))
-    queries = asked.join(load, "leaf").withColumn("chunk", F.pmod(F.hash("pid"), F.col("chunks")))
-    copies = placed.join(load, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    load = materialize(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("chunks")))
+    per_query = F.broadcast(load.select("leaf", F.col("chunks").alias("n_query")))
+    per_copy = F.broadcast(load.select("leaf", F.col("chunks").alias("n_copy")))
+    queries = asked.join(per_query, "leaf").select(
+        "pid", *columns, "leaf", F.pmod(F.hash("pid"), F.col("n_query")).alias("chunk"))
+    copies = placed.join(per_copy, "leaf").select(
+        *columns, "w", "leaf", F.explode(F.sequence(F.lit(0), F.col("n_copy") - 1)).alias("chunk"))
 
     def across(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or have.empty:

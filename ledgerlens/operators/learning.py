@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,8 +132,8 @@ def boosted_classifier(
     data = class_weight(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
     gbt = GBTClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=learning_rate,
-        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, seed=seed,
-        rawPredictionCol="raw", probabilityCol="class_probability", predictionCol="predicted_class")
+        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, seed=seed, predictionCol="predicted_class")
+    gbt.setRawPredictionCol("raw").setProbabilityCol("class_probability")
     return Pipeline(stages=[_assembler(features), gbt]).fit(data)
 
 
@@ -150,12 +150,17 @@ def log_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def tweedie_regression(train: DataFrame, features: Sequence[str], target: str, power: float = TWEEDIE_POWER) -> PipelineModel:
     """Spend model for zero-inflated, right-skewed targets: Tweedie family, log link, ridge 1e-3.
 
-    Input must have passed ``log_features``.
+    Input must have passed ``log_features``. The target is fitted in units of its
+    mean, near which the iteration starts, and predictions are scaled back.
     """
+    scale = float(train.agg(F.avg(target)).first()[0] or 1.0)
+    assembler = _assembler([f"log_{c}" for c in features])
     glm = GeneralizedLinearRegression(
-        family="tweedie", variancePower=power, linkPower=0.0, labelCol=target, featuresCol="features",
-        predictionCol="pred_spend", maxIter=50, regParam=1e-3)
-    return Pipeline(stages=[_assembler([f"log_{c}" for c in features]), glm]).fit(train)
+        family="tweedie", variancePower=power, linkPower=0.0, labelCol="_scaled_target", featuresCol="features",
+        predictionCol="_scaled_spend", maxIter=50, regParam=1e-3)
+    fitted = glm.fit(assembler.transform(train.withColumn("_scaled_target", F.col(target) / scale)))
+    back = SQLTransformer(statement=f"SELECT *, _scaled_spend * {scale!r}D AS pred_spend FROM __THIS__")
+    return PipelineModel(stages=[assembler, fitted, back])
 
 
 def cross_validate(

@@ -7,13 +7,15 @@ buyers, unparsable dates) are deterministic arithmetic on keys.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.prelude import BGNBD, GAMMA
 from ledgerlens.functions.scalars import minus_days, whole_days
 from ledgerlens.operators import btyd, clean, cluster, features, rfm, value, wholesale
-from ledgerlens.session import materialize
+from ledgerlens.session import ensure_checkpoint_dir, materialize
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -22,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder next to the checkpoints, where every executor can write."""
+    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """A stage output that later stages read, written once per application."""
     key = (spark.sparkContext.applicationId, sf, name)

@@ -7,13 +7,12 @@ operators; the values here keep a run on one machine short.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import query
-from ledgerlens.operators import btyd, clean, cluster, density, features, learning, metrics, rfm, value
+from ledgerlens.functions.scalars import minus_days
+from ledgerlens.operators import btyd, clean, cluster, density, features, learning, metrics
 from ledgerlens.plans import early_warning, scoring, training
 from ledgerlens.session import materialize
 from ledgerlens.sources import artifacts
@@ -92,7 +91,7 @@ def _vectors(spark, sf):
 
 @query("kmeans_scan")
 def _(spark, sf):
-    return cluster.kmeans_scan(spark, _vectors(spark, sf), range(2, 9), n_init=RESTARTS)
+    return cluster.kmeans_scan(spark, _vectors(spark, sf), range(2, 9), n_init=1)
 
 
 @query("kmeans_fit")
@@ -217,7 +216,7 @@ def _model_table(spark, sf):
     def build(s, d):
         tx = b.retail(s, d)
         history, future = clean.temporal_split(tx)
-        t0 = training.minus_days(clean.snapshot_of(tx), 90)
+        t0 = minus_days(clean.snapshot_of(tx), 90)
         return features.left_join_labels(features.left_join_features_fill0(history, t0), features.targets_90d(future))
 
     return b.stored(spark, sf, "model_table", build)
@@ -251,7 +250,7 @@ def _(spark, sf):
 @query("save_load_models")
 def _(spark, sf):
     train, test = _split(spark, sf)
-    path = tempfile.mkdtemp(prefix="run-model-", dir="/tmp") + "/logit"
+    path = b.scratch(spark, "model")
     artifacts.save_model(learning.fit_logit(train, LOGIT_FEATURES), path)
     return artifacts.load_model(path).transform(test).select("subscriber_key", "label", "probability")
 
@@ -297,16 +296,13 @@ def _(spark, sf):
 _TRAINED: dict[tuple[str, str], training.StoredModels] = {}
 
 
-def _trained(spark, sf, fresh: bool = False) -> training.StoredModels:
+def _trained(spark, sf) -> training.StoredModels:
     """Models trained on the transactions before 2001."""
     key = (spark.sparkContext.applicationId, sf)
-    if fresh or key not in _TRAINED:
-        folder = tempfile.mkdtemp(prefix="run-train-", dir="/tmp")
+    if key not in _TRAINED:
+        folder = b.scratch(spark, "train")
         early = b.transactions(spark, sf).where(F.year("invoice_ts") < 2001)
-        models = training.train_customer_models(early, folder, trees=TREES, n_init=1)
-        if fresh:
-            return models
-        _TRAINED[key] = models
+        _TRAINED[key] = training.train_customer_models(early, folder, trees=TREES, n_init=1)
     return _TRAINED[key]
 
 
@@ -325,7 +321,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Transactions of 2001 arrive as quarterly files and are folded into a copy of the trained table."""
     trained = _trained(spark, sf)
-    folder = tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
+    folder = b.scratch(spark, "stream")
     artifacts.write_batch(spark.read.parquet(f"{trained.customer_table}/batch_id=0"), f"{folder}/customers", 0)
     models = training.StoredModels(trained.bgnbd, trained.gamma, trained.spend, trained.purchase, folder)
     late = b.transactions(spark, sf).where(F.year("invoice_ts") >= 2001)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import bindings as b
 from checks.registry import query
@@ -14,16 +11,12 @@ from ledgerlens.operators import clean, distribution, orders, seasons, wholesale
 from ledgerlens.sources import artifacts, schemas, tables
 
 
-def _scratch(label: str) -> str:
-    return tempfile.mkdtemp(prefix=f"run-{label}-", dir="/tmp")
-
-
 # ---- scans, sinks and schema checks
 
 @query("scan_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer", doubles="c_acctbal")
 def _(spark, sf):
     source = b.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    path = _scratch("csv") + "/customer"
+    path = b.scratch(spark, "csv")
     tables.sink_table(source, path, "csv")
     return tables.scan_csv(spark, path, source.schema)
 
@@ -69,7 +62,7 @@ def _(spark, sf):
 
 @query("sink_table", "SELECT team_id, year, total_spend FROM team_year", doubles="total_spend")
 def _(spark, sf):
-    path = _scratch("sink") + "/spend"
+    path = b.scratch(spark, "sink")
     tables.sink_table(seasons.team_year_spend(b.salaries(spark, sf)), path, partition_by=["year"])
     return spark.read.parquet(path).select("team_id", "year", "total_spend")
 
@@ -281,7 +274,7 @@ def _(spark, sf):
 
 
 @query("group_concat", """
-SELECT birthdate, string_agg(name, ', ' ORDER BY name) AS players FROM born
+SELECT birthdate, 0 AS part, string_agg(name, ', ' ORDER BY name) AS players FROM born
 WHERE year(birthdate) BETWEEN 1980 AND 1990 GROUP BY 1 ORDER BY 1""", texts="birthdate")
 def _(spark, sf):
     return seasons.group_concat(b.players(spark, sf))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.prelude import BGNBD, GAMMA
 from checks.registry import query
 from ledgerlens.functions.scalars import minus_days
-from ledgerlens.operators import btyd, churn, clean, cohort, metrics, rfm, value
+from ledgerlens.operators import btyd, churn, clean, cohort, features, metrics, rfm, value
 from ledgerlens.sources import artifacts
 
-Z = ["z_recency", "z_frequency", "z_monetary"]
-
 
 # ---- probabilistic value at fixed parameters
 
@@ -52,7 +48,7 @@ def _(spark, sf):
 
 @query("save_load_params", "SELECT customer_id, round(1 / (1 + odds), 6) AS prob_alive FROM lapse", doubles="prob_alive")
 def _(spark, sf):
-    path = tempfile.mkdtemp(prefix="run-params-", dir="/tmp") + "/bgnbd"
+    path = b.scratch(spark, "params")
     artifacts.save_params(spark, path, BGNBD)
     params = artifacts.load_params(spark, path)
     return b.retail_btyd(spark, sf).select("customer_id", F.round(btyd.prob_alive(params), 6).alias("prob_alive"))
@@ -303,7 +299,6 @@ _PREDICTED = "(SELECT sales_90_value AS actual, 0.08e0 * sales_value_sum / (1 +
 
 
 def _predicted(spark, sf):
-    from ledgerlens.operators import features
     tx = b.retail(spark, sf)
     history, future = clean.temporal_split(tx)
     table = features.left_join_labels(

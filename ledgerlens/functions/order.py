@@ -118,6 +118,8 @@ def exact_quantiles(
     proposes two edges around every wanted quantile; the rows per cell between
     edges are counted exactly, and only the cells that hold a wanted rank are
     sorted. A poor sketch would make those cells larger, never the answer wrong.
+    The input is read three times: pass a stored table, or ``materialize`` first
+    what is expensive to recompute.
     """
     by = list(by)
     probs = [float(p) for p in probs]

@@ -7,7 +7,7 @@ first purchase to the snapshot. The first day is left out of the mean value m.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from ledgerlens.session import materialize
 
 # Valuation settings.
 STEP_DAYS = 30
+HORIZON_STEP = 3  # 90 days
 MONTHLY_DISCOUNT = 0.01
 PROFIT_MARGIN = 0.15
 PENALIZER = 0.01
@@ -94,38 +95,56 @@ def prob_alive(params: Mapping[str, float], x: str = "x", tx: str = "t_x", T: st
     return 1 / (1 + _lapse_odds(params, as_column(x), as_column(tx), as_column(T)))
 
 
-def _hypergeometric(ca: Column, cb: float, c: Column, z: Column, max_terms: int) -> Column:
-    """sum of (ca)_k (cb)_k / (c)_k z^k / k!; enough terms for z^k to fall below 1e-17."""
-    terms = F.least(F.ceil(F.lit(-40.0) / F.ln(z)) + 2, F.lit(max_terms)).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for use inside nested array functions."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _series_coefficients(p: float, q: float, c: Column, z: Column, max_terms: int) -> Column:
+    """Coefficients (p)_k (q)_k / ((c)_k k!) of a power series, highest power first.
+
+    They do not depend on the horizon. ``z`` is the largest argument the series
+    will see; its powers fall below double precision at the last term.
+    """
+    terms = F.least(F.ceil((40.0 + 2 * abs(p) + 2 * abs(q)) / -F.ln(z)) + 2, F.lit(max_terms)).cast("int")
 
     def add(acc: Column, k: Column) -> Column:
-        term = acc["term"] * (ca + k) * (cb + k) / ((c + k) * (k + 1)) * z
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        return F.concat(F.array(acc[0] * (p + k) * (q + k) / ((c + k) * (k + 1))), acc)
 
-    indexes = F.transform(F.sequence(F.lit(0), terms), lambda k: k.cast("double"))
-    return F.aggregate(indexes, start, add, lambda acc: acc["total"])
+    return F.aggregate(F.sequence(F.lit(0), terms), F.array(F.lit(1.0)), add)
 
 
-def expected_purchases(
-    params: Mapping[str, float], days: Column | float, x: str = "x", tx: str = "t_x", T: str = "T", max_terms: int = 2000,
+def purchase_curve(
+    params: Mapping[str, float], days: Sequence[float], x: str = "x", tx: str = "t_x", T: str = "T", max_terms: int = 2000,
 ) -> Column:
-    """Expected number of purchases in the next ``days`` days.
+    """Expected number of purchases within each of several horizons (array of doubles).
 
-    2F1(r+x, b+x; a+b+x-1; z) is evaluated through Euler's transformation, whose
-    coefficients stay bounded however many purchases a customer has made.
+    2F1(r+x, b+x; a+b+x-1; z) is evaluated through Euler's transformation
+    (1-z)^(a-1-r-x) 2F1(a+b-1-r, a-1; a+b+x-1; z): its numerator parameters do
+    not grow with the purchases, and its coefficients are shared by all horizons.
     """
     r, alpha, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
     if abs(a - 1) < 1e-9:
         raise ValueError("the expectation has a pole at a = 1; refit or perturb a")
-    days = days if isinstance(days, Column) else F.lit(float(days))
-    X, TX, TT = as_column(x).cast("double"), as_column(tx), as_column(T)
-    z = days / (alpha + TT + days)
-    c = a + b + X - 1
-    series = _hypergeometric(F.lit(a + b - 1 - r) + F.lit(0.0), a - 1, c, z, max_terms)
-    # (1-z)^(C-A-B) with 1-z = (alpha+T)/(alpha+T+t), times ((alpha+T)/(alpha+T+t))^(r+x)
-    power = F.pow(1 - z, F.lit(a - 1 - r) - X + r + X)
-    return (a + b + X - 1) / (a - 1) * (1 - power * series) / (1 + _lapse_odds(params, X, TX, TT))
+    X, TX, TT = as_column(x).cast("double"), as_column(tx).cast("double"), as_column(T).cast("double")
+    c, longest = a + b + X - 1, float(max(days))
+    once = F.struct(
+        _series_coefficients(a + b - 1 - r, a - 1, c, longest / (alpha + TT + longest), max_terms).alias("coefs"),
+        (c / (a - 1) / (1 + _lapse_odds(params, X, TX, TT))).alias("front"),
+        (alpha + TT).alias("age"))
+
+    def at(row: Column, t: Column) -> Column:
+        z = t / (row["age"] + t)
+        series = F.aggregate(row["coefs"], F.lit(0.0), lambda acc, coef: acc * z + coef)
+        # ((alpha+T)/(alpha+T+t))^(r+x) times the factor (1-z)^(a-1-r-x) leaves (1-z)^(a-1)
+        return row["front"] * (1 - F.pow(1 - z, F.lit(a - 1)) * series)
+
+    return _let(once, lambda row: F.transform(F.array(*[F.lit(float(d)) for d in days]), lambda t: at(row, t)))
+
+
+def expected_purchases(params: Mapping[str, float], days: float, x: str = "x", tx: str = "t_x", T: str = "T") -> Column:
+    """Expected number of purchases in the next ``days`` days."""
+    return purchase_curve(params, [days], x, tx, T)[0]
 
 
 def expected_spend(params: Mapping[str, float], x: str = "x", m: str = "m") -> Column:
@@ -135,20 +154,17 @@ def expected_spend(params: Mapping[str, float], x: str = "x", m: str = "m") -> C
     return p * (v + X * M) / (p * X + q - 1)
 
 
-def discounted_value(bgnbd: Mapping[str, float], gamma: Mapping[str, float], months: int) -> Column:
-    """Expected spend over monthly steps, each discounted to today.
-
-    The cumulative expectation is evaluated once per step and differenced.
-    """
-    steps = F.transform(F.sequence(F.lit(1), F.lit(months)), lambda j: F.struct(
-        j.cast("double").alias("j"), expected_purchases(bgnbd, j.cast("double") * STEP_DAYS).alias("e")))
-    start = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("value"))
+def monthly_curve(params: Mapping[str, float], months: int = 12) -> Column:
+    return purchase_curve(params, [STEP_DAYS * j for j in range(1, months + 1)])
 
-    def add(acc: Column, s: Column) -> Column:
-        gain = (s["e"] - acc["before"]) / F.pow(F.lit(1 + MONTHLY_DISCOUNT), s["j"])
-        return F.struct(s["e"].alias("before"), (acc["value"] + gain).alias("value"))
 
-    return expected_spend(gamma) * F.aggregate(steps, start, add, lambda acc: acc["value"])
+def discounted_value(curve: Column, gamma: Mapping[str, float], months: int) -> Column:
+    """Expected spend over the first ``months`` steps of a monthly curve, each discounted to today."""
+    steps = F.arrays_zip(
+        F.slice(curve, 1, months).alias("e"), F.concat(F.array(F.lit(0.0)), F.slice(curve, 1, months - 1)).alias("before"),
+        F.array(*[F.lit((1 + MONTHLY_DISCOUNT) ** -j) for j in range(1, months + 1)]).alias("factor"))
+    gains = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + (s["e"] - s["before"]) * s["factor"])
+    return expected_spend(gamma) * gains
 
 
 def score_purchases(summary: DataFrame, bgnbd: Mapping[str, float], days: int = 90) -> DataFrame:
@@ -159,10 +175,10 @@ def score_purchases(summary: DataFrame, bgnbd: Mapping[str, float], days: int =
 
 def clv_discounted(summary: DataFrame, bgnbd: Mapping[str, float], gamma: Mapping[str, float]) -> DataFrame:
     """90-day and 12-month value of repeat buyers, gross and at the profit margin."""
-    valued = repeat_buyers(summary).withColumns({
-        "clv_90d": discounted_value(bgnbd, gamma, 3), "clv_12m": discounted_value(bgnbd, gamma, 12)})
+    valued = repeat_buyers(summary).withColumn("_curve", monthly_curve(bgnbd)).withColumns({
+        "clv_90d": discounted_value(F.col("_curve"), gamma, 3), "clv_12m": discounted_value(F.col("_curve"), gamma, 12)})
     return valued.withColumns({
-        "clv_90d_profit": F.col("clv_90d") * PROFIT_MARGIN, "clv_12m_profit": F.col("clv_12m") * PROFIT_MARGIN})
+        "clv_90d_profit": F.col("clv_90d") * PROFIT_MARGIN, "clv_12m_profit": F.col("clv_12m") * PROFIT_MARGIN}).drop("_curve")
 
 
 def probabilistic_scores(summary: DataFrame, bgnbd: Mapping[str, float], gamma: Mapping[str, float]) -> DataFrame:
@@ -172,10 +188,10 @@ def probabilistic_scores(summary: DataFrame, bgnbd: Mapping[str, float], gamma:
     def valued(c: Column) -> Column:
         return F.when(eligible, c)
 
-    return summary.select(
+    return summary.withColumn("_curve", monthly_curve(bgnbd)).select(
         "customer_id",
-        expected_purchases(bgnbd, 90).alias("predicted_purchases_90d"),
+        F.col("_curve")[HORIZON_STEP - 1].alias("predicted_purchases_90d"),
         valued(prob_alive(bgnbd)).alias("prob_alive"),
-        valued(discounted_value(bgnbd, gamma, 3)).alias("clv_90d"),
-        valued(discounted_value(bgnbd, gamma, 12)).alias("clv_12m"),
+        valued(discounted_value(F.col("_curve"), gamma, HORIZON_STEP)).alias("clv_90d"),
+        valued(discounted_value(F.col("_curve"), gamma, 12)).alias("clv_12m"),
     ).withColumn("clv_12m_profit", F.col("clv_12m") * PROFIT_MARGIN)

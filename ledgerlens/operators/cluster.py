@@ -49,10 +49,12 @@ def kmeans_scan(
 ) -> DataFrame:
     """Cost and silhouette for each K; ``best`` marks the greatest silhouette."""
     evaluator = ClusteringEvaluator(predictionCol="cluster")
+    vectors = vectors.select("features").persist()  # every iteration of every fit reads it
     rows = []
     for k in ks:
         model = kmeans_fit(vectors, k, max_iter, n_init, seed)
         rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
+    vectors.unpersist()
     top = max(r[2] for r in rows)
     return spark.createDataFrame([(*r, r[2] == top) for r in rows], "k int, wcss double, silhouette double, best boolean")
 
@@ -67,12 +69,14 @@ def gmm_scan(
     spark: SparkSession, vectors: DataFrame, ks: Sequence[int] = range(2, 7), n_init: int = 5, seed: int = 42,
 ) -> DataFrame:
     """BIC and AIC of full-covariance mixtures; ``best`` marks the lowest BIC."""
-    n, dim = vectors.count(), len(vectors.select("features").first()[0])
+    vectors = vectors.select("features").persist()
+    n, dim = vectors.count(), len(vectors.first()[0])
     rows = []
     for k in ks:
         ll = _gmm(vectors, k, n_init, seed).summary.logLikelihood
         free = k * dim + k * dim * (dim + 1) / 2 + k - 1
         rows.append((k, float(-2 * ll + free * math.log(n)), float(-2 * ll + 2 * free)))
+    vectors.unpersist()
     low = min(r[1] for r in rows)
     return spark.createDataFrame([(*r, r[1] == low) for r in rows], "k int, bic double, aic double, best boolean")
 

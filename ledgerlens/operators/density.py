@@ -67,15 +67,16 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weight: np.ndarray, k: int
     """Distances and multiplicities of the k nearest distinct points to each query."""
     keep = min(k, len(points))
     out_d, out_w = np.empty((len(queries), keep)), np.empty((len(queries), keep), dtype=np.int64)
-    for at in range(0, len(queries), 512):
-        d2 = np.zeros((len(queries[at:at + 512]), len(points)))
+    rows = max(1, 4_000_000 // len(points))  # bounds the distance block, whatever the region's size
+    for at in range(0, len(queries), rows):
+        d2 = np.zeros((len(queries[at:at + rows]), len(points)))
         for a in range(points.shape[1]):
-            d2 += (queries[at:at + 512, a][:, None] - points[None, :, a]) ** 2
+            d2 += (queries[at:at + rows, a][:, None] - points[None, :, a]) ** 2
         near = np.argpartition(d2, keep - 1, axis=1)[:, :keep]
         dist = np.take_along_axis(d2, near, axis=1)
         order = np.argsort(dist, axis=1)
-        out_d[at:at + 512] = np.sqrt(np.take_along_axis(dist, order, axis=1))
-        out_w[at:at + 512] = weight[np.take_along_axis(near, order, axis=1)]
+        out_d[at:at + rows] = np.sqrt(np.take_along_axis(dist, order, axis=1))
+        out_w[at:at + rows] = weight[np.take_along_axis(near, order, axis=1)]
     return out_d, out_w
 
 
@@ -141,7 +142,7 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
 
     def across(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or have.empty:
-            return pd.DataFrame({"pid": [], "d": [], "dw": []})
+            return pd.DataFrame({"pid": pd.Series(dtype="int64"), "d": pd.Series(dtype=object), "dw": pd.Series(dtype=object)})
         d, dw = _nearest(ask[columns].to_numpy(float), have[columns].to_numpy(float), have["w"].to_numpy(), k)
         return pd.DataFrame({"pid": ask["pid"], "d": list(d), "dw": list(dw)})
 

@@ -11,6 +11,7 @@ from ledgerlens.functions.order import bounded_quantiles, equal_count_bin, exact
 from ledgerlens.functions.scalars import whole_days
 from ledgerlens.functions.stats import share_pct
 from ledgerlens.operators.clean import snapshot_of
+from ledgerlens.session import materialize
 
 # The plan for each segment (action, message, channel, priority).
 SEGMENT_ACTIONS: Mapping[str, tuple[str, str, str, str]] = {
@@ -99,7 +100,11 @@ def segment_quintile(scored: DataFrame) -> DataFrame:
 
 
 def rfm_score_tertile(rfm: DataFrame) -> DataFrame:
-    """1..3 scores from the 33rd and 66th percentiles, their sum and the digit label."""
+    """1..3 scores from the 33rd and 66th percentiles, their sum and the digit label.
+
+    The one-row-per-customer input is read by several passes, so it is written once.
+    """
+    rfm = materialize(rfm)
     cuts = rfm.agg(*[bounded_quantiles(c, [0.33, 0.66]).alias(c) for c in ("recency", "frequency")])
     money = exact_quantiles(rfm, "monetary", [0.33, 0.66], alias="q").select("q").scalar()
     with_cuts = rfm.withColumn("_c", cuts.select(F.struct("*")).scalar()).withColumn("_m", money)

@@ -26,11 +26,15 @@ def flag_wholesale(tx: DataFrame, k: float = 3.0) -> DataFrame:
     The summary is read by three passes, so it is written once.
     """
     summary = materialize(customer_summary(tx))
-    flagged = summary
-    for column, name in (("avg_order_value", "value_threshold"), ("avg_quantity", "quantity_threshold")):
-        q = exact_quantiles(summary, column, [0.25, 0.75], alias="q")
-        upper = q.select(F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).scalar()
-        flagged = flagged.withColumn(name, upper)
+    means = ["avg_order_value", "avg_quantity"]
+    long = summary.select(*means).unpivot([], means, "measure", "value")
+    q = exact_quantiles(long, "value", [0.25, 0.75], by=["measure"], alias="q")
+    upper = F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])
+    limits = q.select(F.struct(*[
+        F.max(F.when(F.col("measure") == m, upper)).alias(m) for m in means])).scalar()
+    flagged = summary.withColumn("_limit", limits).select(
+        *summary.columns, F.col("_limit.avg_order_value").alias("value_threshold"),
+        F.col("_limit.avg_quantity").alias("quantity_threshold"))
     return flagged.withColumn(
         "is_wholesale",
         (F.col("avg_order_value") > F.col("value_threshold")) | (F.col("avg_quantity") > F.col("quantity_threshold")))

@@ -18,7 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import bindings as b  # noqa: E402
 from checks.catalog import ENTRIES  # noqa: E402
-from ledgerlens.operators import rfm, wholesale  # noqa: E402
+from ledgerlens.operators import rfm  # noqa: E402
+from ledgerlens.plans.segmentation import segment_customers  # noqa: E402
 from ledgerlens.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -33,8 +34,7 @@ WARM_RUNS = 3
 
 def _raw_to_segments(spark, sf):
     """The whole segmentation from raw lines, sharing no stored stage."""
-    tx = wholesale.detect_wholesale(b.cleaned(spark, sf))
-    return rfm.segment_profile(rfm.segment_quintile(rfm.rfm_score_quintile(rfm.rfm_table(tx))))
+    return rfm.segment_profile(segment_customers(b.transactions(spark, sf)))
 
 
 def main() -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from checks.prelude import BGNBD, GAMMA
 from ledgerlens.functions.scalars import minus_days, whole_days
 from ledgerlens.operators import btyd, clean, cluster, features, rfm, value, wholesale
-from ledgerlens.session import ensure_checkpoint_dir, materialize
+from ledgerlens.session import shared_folder, materialize
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder next to the checkpoints, where every executor can write."""
-    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder next to the written stages, where every executor can write."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:

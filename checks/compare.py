@@ -1,4 +1,7 @@
-"""Run registered queries against their oracle: ``python -m checks.compare [sf_dir] [name ...]``."""
+"""Run registered queries against their oracle.
+
+``python -m checks.compare [sf_dir] [name ...] [spark.setting=value ...]``
+"""
 
 from __future__ import annotations
 
@@ -52,11 +55,13 @@ def main(argv: list[str]) -> int:
     from checks.catalog import ENTRIES
     from ledgerlens.session import build_session
 
+    settings = dict(a.split("=", 1) for a in argv if "=" in a)
+    argv = [a for a in argv if "=" not in a]
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(ENTRIES)
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", **settings})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf)
     failures = 0

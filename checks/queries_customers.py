@@ -9,6 +9,7 @@ from checks.queries_relational import _completed
 from checks.registry import query
 from ledgerlens.functions.scalars import minus_days
 from ledgerlens.operators import clean, cohort, features, rfm, wholesale
+from ledgerlens.plans.segmentation import segment_customers
 
 
 @query("detect_wholesale", """
@@ -80,6 +81,11 @@ def _(spark, sf):
     return rfm.segment_quintile(scored).select("customer_id", "r_score", "f_score", "m_score", "segment")
 
 
+@query("segment_customers", "SELECT * FROM customers", doubles="monetary total_spend")
+def _(spark, sf):
+    return segment_customers(b.transactions(spark, sf))
+
+
 @query("segment_tertile", """
 SELECT customer_unique_id, rfm_label,
        CASE WHEN rfm_score >= 8 THEN 'Champions' WHEN r_score >= 3 AND f_score >= 2 THEN 'Loyal Customers'

@@ -73,20 +73,20 @@ def _(spark, sf):
 # ---- reports over the widened customer table
 
 @query("join_scores_back", """
-SELECT customer_id, segment, round(clv_12m) AS clv_12m, round(prob_alive, 6) AS prob_alive, pred_spend, pred_prob, pred_clv_90d FROM valued""",
+SELECT customer_id, segment, round(clv_12m) AS clv_12m, round(prob_alive, 6) AS prob_alive, round(pred_spend, 4) AS pred_spend, pred_prob, round(pred_clv_90d, 4) AS pred_clv_90d FROM valued""",
        doubles="clv_12m prob_alive pred_spend pred_prob pred_clv_90d")
 def _(spark, sf):
     return b.valued(spark, sf).select(
         "customer_id", "segment", F.round("clv_12m").alias("clv_12m"), F.round("prob_alive", 6).alias("prob_alive"),
-        "pred_spend", "pred_prob", "pred_clv_90d")
+        F.round("pred_spend", 4).alias("pred_spend"), "pred_prob", F.round("pred_clv_90d", 4).alias("pred_clv_90d"))
 
 
 @query("combined_clv", """
-SELECT customer_id, greatest(s - 20000, 0) AS pred_spend, p AS pred_prob, greatest(s - 20000, 0) * p AS pred_clv_90d
+SELECT customer_id, round(greatest(s - 20000, 0), 4) AS pred_spend, p AS pred_prob, round(greatest(s - 20000, 0) * p, 4) AS pred_clv_90d
 FROM (SELECT customer_id, pred_spend AS s, pred_prob AS p FROM valued)""", doubles="pred_spend pred_prob pred_clv_90d")
 def _(spark, sf):
     shifted = b.valued(spark, sf).select("customer_id", (F.col("pred_spend") - 20000).alias("pred_spend"), "pred_prob")
-    return value.combined_clv(shifted)
+    return value.combined_clv(shifted).withColumns({c: F.round(c, 4) for c in ("pred_spend", "pred_clv_90d")})
 
 
 @query("clv_by_segment", """

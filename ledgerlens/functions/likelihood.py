@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Kernel = Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+# rows of one batch -> (parameters -> log-likelihood of every row)
+Kernel = Callable[[pd.DataFrame], Callable[[np.ndarray], np.ndarray]]
 
 
 def log_gamma(z: np.ndarray) -> np.ndarray:
@@ -43,8 +44,9 @@ def mean_log_likelihood(df: DataFrame, kernel: Kernel, thetas: np.ndarray, weigh
         for pdf in batches:
             w = pdf[weight].to_numpy(float)
             total += w.sum()
+            of_batch = kernel(pdf)
             for i, theta in enumerate(thetas):
-                sums[i] += float(w @ kernel(pdf, theta))
+                sums[i] += float(w @ of_batch(theta))
         yield pd.DataFrame({"candidate": np.arange(len(thetas)), "ll": sums, "w": total})
 
     sums = df.mapInPandas(partial, "candidate int, ll double, w double").groupBy("candidate").agg(
@@ -64,6 +66,16 @@ def fit_positive(
     Works on log theta with finite-difference Newton steps; where the curvature
     is not usable the step falls back to the gradient direction.
     """
+    df = df.persist()  # read by every pass
+    try:
+        return _newton(df, kernel, start, weight, penalizer, max_iter, tolerance)
+    finally:
+        df.unpersist()
+
+
+def _newton(
+    df: DataFrame, kernel: Kernel, start: np.ndarray, weight: str, penalizer: float, max_iter: int, tolerance: float,
+) -> np.ndarray:
     dim, h = len(start), 1e-3
     at = np.log(np.asarray(start, dtype=float))
     pairs = [(i, j) for i in range(dim) for j in range(i)]

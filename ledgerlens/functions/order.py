@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import as_column
 from ledgerlens.session import materialize
 
+_SKETCH_ACCURACY = 20_000  # rank error 1/20000, a quarter of the default slack
 _SLICE_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -110,7 +111,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     alias: str = "quantiles",
-    slack: float = 0.001,
+    slack: float = 0.0002,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of an unbounded measure.
 
@@ -127,7 +128,7 @@ def exact_quantiles(
     values = df.select(*by, as_column(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     sketch_cols = [
         F.count("*").alias("n"),
-        F.percentile_approx("_v", edge_probs, 10_000).alias("_edges"),
+        F.percentile_approx("_v", edge_probs, _SKETCH_ACCURACY).alias("_edges"),
     ]
     if by:
         sketch = values.groupBy(*by).agg(*sketch_cols)

@@ -40,15 +40,20 @@ def btyd_summary(tx: DataFrame, snapshot: Column | None = None) -> DataFrame:
     ).withColumn("T", F.datediff(F.to_date(snapshot), "_first")).select("customer_id", "x", "t_x", "T", "m")
 
 
-def _bgnbd_kernel(pdf: pd.DataFrame, theta: np.ndarray) -> np.ndarray:
-    r, alpha, a, b = theta
+def _bgnbd_kernel(pdf: pd.DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     x, tx, T = (pdf[c].to_numpy(float) for c in ("x", "t_x", "T"))
-    common = (log_gamma(b + x) - log_gamma(a + b + x) + log_gamma(r + x)
-              - log_gamma(np.array(b)) + log_gamma(np.array(a + b)) - log_gamma(np.array(r)) + r * np.log(alpha))
-    alive = -(r + x) * np.log(alpha + T)
-    repeat = x > 0
-    lapsed = np.where(repeat, np.log(a) - np.log(np.where(repeat, b + x - 1, 1.0)) - (r + x) * np.log(alpha + tx), -np.inf)
-    return common + np.logaddexp(alive, lapsed)
+    counts, at = np.unique(x, return_inverse=True)  # the gamma terms depend on x alone
+    repeat = counts > 0
+
+    def log_likelihood(theta: np.ndarray) -> np.ndarray:
+        r, alpha, a, b = theta
+        common = (log_gamma(b + counts) - log_gamma(a + b + counts) + log_gamma(r + counts)
+                  - log_gamma(np.array(b)) + log_gamma(np.array(a + b)) - log_gamma(np.array(r)) + r * np.log(alpha))
+        odds = np.where(repeat, np.log(a) - np.log(np.where(repeat, b + counts - 1, 1.0)), -np.inf)
+        power = r + x
+        return common[at] + np.logaddexp(-power * np.log(alpha + T), odds[at] - power * np.log(alpha + tx))
+
+    return log_likelihood
 
 
 def bgnbd_fit(summary: DataFrame, penalizer: float = PENALIZER) -> dict[str, float]:
@@ -64,11 +69,18 @@ def bgnbd_fit(summary: DataFrame, penalizer: float = PENALIZER) -> dict[str, flo
     return {"r": float(r), "alpha": float(alpha * scale), "a": float(a), "b": float(b)}
 
 
-def _gamma_gamma_kernel(pdf: pd.DataFrame, theta: np.ndarray) -> np.ndarray:
-    p, q, v = theta
+def _gamma_gamma_kernel(pdf: pd.DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     x, m = pdf["x"].to_numpy(float), pdf["m"].to_numpy(float)
-    return (log_gamma(p * x + q) - log_gamma(p * x) - log_gamma(np.array(q)) + q * np.log(v)
-            + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(v + x * m))
+    counts, at = np.unique(x, return_inverse=True)
+    log_m, log_x = np.log(m), np.log(counts)
+
+    def log_likelihood(theta: np.ndarray) -> np.ndarray:
+        p, q, v = theta
+        px = p * counts
+        common = log_gamma(px + q) - log_gamma(px) - log_gamma(np.array(q)) + q * np.log(v) + px * log_x
+        return common[at] + (px[at] - 1) * log_m - (px[at] + q) * np.log(v + x * m)
+
+    return log_likelihood
 
 
 def repeat_buyers(summary: DataFrame) -> DataFrame:
@@ -77,9 +89,10 @@ def repeat_buyers(summary: DataFrame) -> DataFrame:
 
 def gamma_gamma_fit(summary: DataFrame, penalizer: float = PENALIZER) -> dict[str, float]:
     """p, q, v on repeat buyers; money is rescaled by its mean during the search."""
-    buyers = repeat_buyers(summary).groupBy("x", "m").agg(F.count("*").alias("n"))
-    scale = float(repeat_buyers(summary).agg(F.avg("m")).first()[0] or 1.0)
-    scaled = materialize(buyers.withColumn("m", F.col("m") / scale))
+    buyers = repeat_buyers(summary)
+    scale = float(buyers.agg(F.avg("m")).first()[0] or 1.0)
+    # mean values hardly ever repeat, so rows are used as they are, without a grouping shuffle
+    scaled = materialize(buyers.select("x", (F.col("m") / scale).alias("m"), F.lit(1).alias("n")))
     p, q, v = fit_positive(scaled, _gamma_gamma_kernel, np.array([2.0, 2.0, 1.0]), penalizer=penalizer)
     return {"p": float(p), "q": float(q), "v": float(v * scale)}
 
@@ -100,18 +113,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _series_coefficients(p: float, q: float, c: Column, z: Column, max_terms: int) -> Column:
-    """Coefficients (p)_k (q)_k / ((c)_k k!) of a power series, highest power first.
+def _series_ratios(p: float, q: float, c: Column, z: Column, max_terms: int) -> Column:
+    """Ratios (p+k)(q+k) / ((c+k)(k+1)) of successive series terms, last term first.
 
     They do not depend on the horizon. ``z`` is the largest argument the series
     will see; its powers fall below double precision at the last term.
     """
-    terms = F.least(F.ceil((40.0 + 2 * abs(p) + 2 * abs(q)) / -F.ln(z)) + 2, F.lit(max_terms)).cast("int")
-
-    def add(acc: Column, k: Column) -> Column:
-        return F.concat(F.array(acc[0] * (p + k) * (q + k) / ((c + k) * (k + 1))), acc)
-
-    return F.aggregate(F.sequence(F.lit(0), terms), F.array(F.lit(1.0)), add)
+    terms = F.least(F.ceil((38.0 + 2 * abs(p) + 2 * abs(q)) / -F.ln(z)) + 2, F.lit(max_terms)).cast("int")
+    return F.transform(F.sequence(terms, F.lit(0), F.lit(-1)), lambda k: (p + k) * (q + k) / ((c + k) * (k + 1.0)))
 
 
 def purchase_curve(
@@ -121,7 +130,7 @@ def purchase_curve(
 
     2F1(r+x, b+x; a+b+x-1; z) is evaluated through Euler's transformation
     (1-z)^(a-1-r-x) 2F1(a+b-1-r, a-1; a+b+x-1; z): its numerator parameters do
-    not grow with the purchases, and its coefficients are shared by all horizons.
+    not grow with the purchases, and its term ratios are shared by all horizons.
     """
     r, alpha, a, b = (float(params[k]) for k in ("r", "alpha", "a", "b"))
     if abs(a - 1) < 1e-9:
@@ -129,13 +138,13 @@ def purchase_curve(
     X, TX, TT = as_column(x).cast("double"), as_column(tx).cast("double"), as_column(T).cast("double")
     c, longest = a + b + X - 1, float(max(days))
     once = F.struct(
-        _series_coefficients(a + b - 1 - r, a - 1, c, longest / (alpha + TT + longest), max_terms).alias("coefs"),
+        _series_ratios(a + b - 1 - r, a - 1, c, longest / (alpha + TT + longest), max_terms).alias("ratios"),
         (c / (a - 1) / (1 + _lapse_odds(params, X, TX, TT))).alias("front"),
         (alpha + TT).alias("age"))
 
     def at(row: Column, t: Column) -> Column:
         z = t / (row["age"] + t)
-        series = F.aggregate(row["coefs"], F.lit(0.0), lambda acc, coef: acc * z + coef)
+        series = _let(z, lambda arg: F.aggregate(row["ratios"], F.lit(1.0), lambda acc, ratio: 1 + acc * ratio * arg))
         # ((alpha+T)/(alpha+T+t))^(r+x) times the factor (1-z)^(a-1-r-x) leaves (1-z)^(a-1)
         return row["front"] * (1 - F.pow(1 - z, F.lit(a - 1)) * series)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,6 @@ def build_session(app_name: str = "ledgerlens", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -31,31 +31,32 @@ def build_session(app_name: str = "ledgerlens", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of this session.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, for written intermediate tables.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session may fall back to a scratch folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall
+    back to a scratch folder of its own.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="ledgerlens-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+        folder = tempfile.mkdtemp(prefix="ledgerlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/ledgerlens-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows.
-
-    Used where the same rows must be read twice and come out identical (a rank
-    and its offsets, a random-order float sum feeding two branches) and to cut
-    the lineage of loops. The files survive the loss of any executor.
+    """Write ``df`` as a table in the shared folder and continue from that table.
+
+    Used where the same rows are read more than once and must come out identical
+    (a rank and its offsets, a sum of doubles feeding two branches), and to cut
+    the lineage of loops. Being a Parquet table rather than a checkpointed RDD it
+    keeps column pruning, filter pushdown and a known size, and it survives the
+    loss of any executor. The folder is named by the application; its owner
+    removes it after the run.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.frames import map_batches
 
 MAX_RANKS = 1 << 20
-KEPT_CHUNKS = 500_000  # before a batch; a batch adds its own
+KEPT_CHUNKS = 200_000  # before a batch; a batch adds its own
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,11 +131,11 @@ class BatchMerger:
         pairs.sort()
         self.keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
         self.rank_of = np.array([r for _, r in pairs] + [-1], np.int32)
-        self.byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.words = [0] * ((top >> 8) + 1)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
@@ -148,7 +148,7 @@ class BatchMerger:
         ends = np.cumsum([len(p) for p in pieces])
         starts = np.concatenate(([0], ends[:-1]))
         ids = self.byte_id[data]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.zeros(n, bool)
         last[ends[ends > starts] - 1] = True
         before[starts[ends > starts]] = -1
@@ -250,12 +250,13 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit integers."""
-        cuts = [self.cut(t) if t else [] for t in texts]
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {}
         known = self.kept
-        found = [list(map(known.get, chunks)) for chunks in cuts]
-        new = {c for chunks, ids in zip(cuts, found) for c, i in zip(chunks, ids) if i is None}
+        new: set[str] = set()
+        for text in texts:
+            if text:
+                new.update([c for c in self.cut(text) if c not in known])
         if new:
             split = {c: [p.encode() for p in self.split(c)] for c in new}
             pieces = list({p for parts in split.values() for p in parts})
@@ -265,8 +266,7 @@ class Codec:
             done.update(zip(rest, self.merger.merge(rest)))
             for c, parts in split.items():
                 known[c] = b"".join([done[p] for p in parts])
-        return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)])
-                for chunks, ids in zip(cuts, found)]
+        return [b"".join([known[c] for c in self.cut(text)]) if text else b"" for text in texts]
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of a text from its ids."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, minhash, pii, toxicity
+from ledgerlens.llm import bpe, minhash, pii, topk, toxicity, urls
 from ledgerlens.llm.frames import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,10 +29,25 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.listing(pages))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pii": op7_pii,
+    "op8_url_filter": op8_url_filter,
+    "op9_top_k": op9_top_k,
+}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": urls.SQL,
+    "op9_top_k": topk.SQL,
 }
-ORACLES: dict[str, str] = {}

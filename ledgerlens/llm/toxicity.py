@@ -90,14 +90,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         found = [np.unique(features(t)).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["place", "toxic", "features"])
 
-    def learn(key, batches):
-        found = [(p, y, f) for b in batches for p, y, f in zip(*(c.to_pylist() for c in b.columns[1:]))]
+    def learn(batches):
+        found = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
         found.sort(key=lambda row: row[:2])
         at, weights = train([(y, np.frombuffer(f, "<u4").astype(np.int64)) for _, y, f in found])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights)], ["at", "weight"])
 
     rows = map_batches(sample.join(texts, "doc_id").select("place", "toxic", "text"), index, "place long, toxic int, features binary")
-    learnt = (rows.select(F.lit(0).alias("one"), "*").groupBy("one").applyInArrow(learn, "at long, weight double").toArrow())
+    learnt = rows.repartition(1).mapInArrow(learn, "at long, weight double").toArrow()  # bounded: the sample
     return learnt["at"].to_numpy(), learnt["weight"].to_numpy()
 
 

@@ -1,15 +1,59 @@
-"""From raw documents to token counts: the stages and their order."""
+"""From raw documents to token counts: toxic documents go, one document of each group of near copies
+stays, documents with benchmark items go, personal data is replaced, and what is left is encoded.
+
+Every stage works on all rows its predecessor kept. Null and empty texts pass every filter (texts
+without words are no copies of each other) and have no tokens; an empty table stays empty; repeated rows of one document
+share its fate; further columns are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm.catalog import op5_byte_bpe  # noqa: F401
+from ledgerlens.llm import bpe, decontam, minhash, pii, toxicity
+from ledgerlens.llm.catalog import RANKS
+from ledgerlens.llm.frames import materialize, read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on these documents' labels, does not reject."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group: five-word shingles, similarity 0.8 or more."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, within its edit budget."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes."""
+    return bpe.token_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("pii", replace_personal_data),
+    ("byte_bpe", encode_and_decode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -77,8 +77,12 @@ class Index:
         base = np.floor_divide(diagonal, step)
         for shift in (0, 1):
             key = item.astype(np.int64) << 40 | (base - shift + (1 << 32))
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            full = count[inverse] >= self.least[item]
+            if not full.any():
+                continue
             # a q-gram of the item counts once in a band, however often the text repeats it
-            pairs = np.unique(np.stack((key, self.place[row])), axis=1)[0]
+            pairs = np.unique(np.stack((key[full], self.place[row][full])), axis=1)[0]
             band, count = np.unique(pairs, return_counts=True)
             which = band >> 40
             for b, i in zip(band[count >= self.least[which]].tolist(), which[count >= self.least[which]].tolist()):

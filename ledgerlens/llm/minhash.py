@@ -243,3 +243,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", class_id))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), class_id.alias("class_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its group, with all their columns."""
+    mark = "duplicate of a smaller document"
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(mark), "left_anti")

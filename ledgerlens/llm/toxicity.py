@@ -106,21 +106,26 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _table(weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    table = np.zeros(1 << BITS, np.float32)
+    table[weights[0]] = weights[1]
+    return table
+
+
+def _score(table: np.ndarray, text: str | None) -> float:
+    f = features(text)
+    f = np.unique(f[table[f] != 0])
+    return 1 / (1 + np.exp(-np.clip(float(table[f].sum()), -35, 35)))
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, score of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kept: dict[str, np.ndarray] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            at, value = shared.value
-            kept["w"] = table = np.zeros(1 << BITS, np.float32)
-            table[at] = value
-        table, out = kept["w"], []
-        for text in batch.column(1).to_pylist():
-            f = features(text)
-            f = np.unique(f[table[f] != 0])
-            out.append(1 / (1 + np.exp(-np.clip(float(table[f].sum()), -35, 35))))
+        table = kept["w"] if kept else kept.setdefault("w", _table(shared.value))
+        out = [_score(table, t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")
@@ -130,3 +135,17 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     return score(docs, fit(docs, labels)).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` that score below ``THRESHOLD``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+    kept: dict[str, np.ndarray] = {}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = kept["w"] if kept else kept.setdefault("w", _table(shared.value))
+        clean = [_score(table, t) < THRESHOLD for t in batch.column(at).to_pylist()]
+        return batch.filter(pa.array(clean))
+
+    return map_batches(docs, run, docs.schema)

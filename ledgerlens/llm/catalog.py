@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, minhash, pii, topk, toxicity, urls
-from ledgerlens.llm.frames import read
+from ledgerlens.llm import bpe, decontam, minhash, pii, tokenfile, topk, toxicity, urls
+from ledgerlens.llm.frames import materialize, read
+from ledgerlens.session import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER, END_ID, LARGEST_ID = "byte_bpe_50k.json", 2, 50_256
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +32,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = materialize(tokenfile.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    tokenfile.write(tokens, path, LARGEST_ID)
+    return tokenfile.digests(spark, path)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -48,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_files": op6_token_files,
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,

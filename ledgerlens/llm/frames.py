@@ -29,6 +29,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions that keep about ``bytes_each`` of the plan's estimated size in each; grows with the input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(size // bytes_each + 1, 1_000_000))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, minhash, pii, repeats, tokenfile, topk, toxicity, urls
+from ledgerlens.llm import bpe, decontam, licences, minhash, pii, repeats, tokenfile, topk, toxicity, urls
 from ledgerlens.llm.frames import materialize, read
 from ledgerlens.session import shared_folder
 
@@ -57,6 +57,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.as_files(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_repeats": op2_repeats,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
+    "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {
     "op8_url_filter": urls.SQL,

@@ -122,10 +122,10 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/language/thousand/hundred/id.txt; one that opens with a licence statement is
+    """Documents as files: source/language/thousand/hundred/id.txt; one that opens or closes with a licence statement is
     the LICENSE of source/language/thousand."""
-    opening = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)
-    opens = opening.isin([text for _, text in TEMPLATES])
+    edges = [F.substring_index(F.coalesce("text", F.lit("")), "\n", k) for k in (1, -1)]
+    opens = edges[0].isin([text for _, text in TEMPLATES]) | edges[1].isin([text for _, text in TEMPLATES])
     upper = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"))
     file = F.concat_ws("/", upper, F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed")), F.lit(".txt")))
     return docs.select("doc_id", F.when(opens, F.concat(upper, F.lit("/LICENSE"))).otherwise(file).alias("path"), "text")

@@ -72,22 +72,22 @@ class Index:
         at = np.repeat(at, many)
         row = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(at))
         item, diagonal = self.item[row], at - self.place[row]
-        found: list[tuple[int, int, int]] = []
         step = self.edits[item] + 1  # bands of 2 * step start at every step: they overlap by half
-        base = np.floor_divide(diagonal, step)
-        for shift in (0, 1):
-            key = item.astype(np.int64) << 40 | (base - shift + (1 << 32))
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            full = count[inverse] >= self.least[item]
-            if not full.any():
-                continue
-            # a q-gram of the item counts once in a band, however often the text repeats it
-            pairs = np.unique(np.stack((key[full], self.place[row][full])), axis=1)[0]
-            band, count = np.unique(pairs, return_counts=True)
-            which = band >> 40
-            for b, i in zip(band[count >= self.least[which]].tolist(), which[count >= self.least[which]].tolist()):
-                first = ((b & ((1 << 40) - 1)) - (1 << 32)) * int(self.edits[i] + 1)
-                found.append((i, first, first + 2 * int(self.edits[i] + 1) - 1))
+        base = item.astype(np.int64) << 40 | (np.floor_divide(diagonal, step) + (1 << 32))
+        key, place = np.concatenate((base, base - 1)), np.tile(self.place[row], 2)  # a diagonal is in two bands
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        full = count[inverse] >= self.least[key >> 40]
+        if not full.any():
+            return []
+        # a q-gram of the item counts once in a band, however often the text repeats it
+        pairs = np.unique(np.stack((key[full], place[full])), axis=1)[0]
+        band, count = np.unique(pairs, return_counts=True)
+        which = band >> 40
+        enough = count >= self.least[which]
+        found: list[tuple[int, int, int]] = []
+        for b, i in zip(band[enough].tolist(), which[enough].tolist()):
+            first = ((b & ((1 << 40) - 1)) - (1 << 32)) * int(self.edits[i] + 1)
+            found.append((i, first, first + 2 * int(self.edits[i] + 1) - 1))
         return sorted(set(found))
 
 

@@ -26,10 +26,11 @@ SCALE = 256
 QUERY_BLOCK = 1024
 SLICE_ROWS = 16_384
 LEAF = 64
+BASE = 1.3  # of the covering radii
 
 
 class CoverTree:
-    """Points under centres that are points themselves; the covering radius halves from level to level.
+    """Points under centres that are points themselves; covering radii shrink by ``BASE`` from level to level.
 
     ``nodes`` holds (centre, radius, children, members): radius is the exact distance to the farthest point
     below, children are node numbers, members the rows of a leaf.
@@ -42,21 +43,32 @@ class CoverTree:
         distance = np.sqrt(((self.points - self.points[0]) ** 2).sum(axis=1))
         self.root = self._build(0, rows, distance)
 
+    def _leaf(self, centre: int, rows: np.ndarray, radius: float) -> int:
+        self.nodes.append((self.points[centre], radius, [], rows))
+        return len(self.nodes) - 1
+
     def _build(self, centre: int, rows: np.ndarray, distance: np.ndarray) -> int:
         """Node over ``rows`` with their distances to the centre."""
         radius = float(distance.max(initial=0.0))
         if len(rows) <= LEAF or radius == 0.0:
-            self.nodes.append((self.points[centre], radius, [], rows))
-            return len(self.nodes) - 1
-        reach, children = radius / 2, []
+            return self._leaf(centre, rows, radius)
+        reach, children, misses = radius / BASE, [], 0
         near, own = distance, centre
-        while len(rows):
+        while len(rows) and misses < 4:
             inside = near <= reach
-            children.append(self._build(own, rows[inside], near[inside]))
-            rows, distance = rows[~inside], distance[~inside]
+            if inside.sum() >= LEAF // 4:
+                children.append(self._build(own, rows[inside], near[inside]))
+                rows, distance = rows[~inside], distance[~inside]
+            else:
+                misses += 1
             if len(rows):
-                own = int(rows[np.argmax(distance)])
+                own = int(rows[(7919 * misses) % len(rows)])
                 near = np.sqrt(((self.points[rows] - self.points[own]) ** 2).sum(axis=1))
+        # rows without close company stay under this centre, nearest together
+        order = np.argsort(distance, kind="stable")
+        for lo in range(0, len(rows), LEAF):
+            some = order[lo:lo + LEAF]
+            children.append(self._leaf(centre, rows[some], float(distance[some[-1]])))
         if len(children) == 1:
             return children[0]
         self.nodes.append((self.points[centre], radius, children, None))
@@ -110,7 +122,7 @@ class Search:
                 break
             held.append(self.c.nodes[frontier[at]][3])
             size += len(held[-1])
-            if size >= 16 * LEAF:
+            if size >= 64 * LEAF:
                 self._score(q, q_rows, np.concatenate(held))
                 held, size = [], 0
         if held:
@@ -121,13 +133,13 @@ class Search:
         scores[self.query_ids[rows][:, None] == self.ids[members][None]] = -np.inf
         both = np.concatenate((self.score[rows], scores), axis=1)
         ids = np.concatenate((self.found[rows], np.broadcast_to(self.ids[members], scores.shape)), axis=1)
-        if both.shape[1] > 4 * self.k:
-            least = np.partition(both, -self.k, axis=1)[:, -self.k]
-            wide = int((both >= least[:, None]).sum(axis=1).max())
-            keep = np.argsort(-both, axis=1, kind="stable")[:, :wide]  # ties at the edge stay until ids decide
-            both, ids = np.take_along_axis(both, keep, 1), np.take_along_axis(ids, keep, 1)
-        order = np.lexsort((ids, -both), axis=1)[:, : self.k]
-        self.score[rows], self.found[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+        least = np.partition(both, -self.k, axis=1)[:, -self.k]
+        row, column = np.nonzero(both >= least[:, None])  # ties at the edge stay until ids decide
+        order = np.lexsort((ids[row, column], -both[row, column], row))
+        row, column = row[order], column[order]
+        starts = np.searchsorted(row, np.arange(len(rows)))
+        top = starts[:, None] + np.arange(self.k)
+        self.score[rows], self.found[rows] = both[row[top], column[top]], ids[row[top], column[top]]
         self.worst[q] = self.score[rows, -1].min()
 
 

@@ -6,6 +6,8 @@ smaller doc_id. Sorting every suffix would shuffle the text fifty times over, so
 positions stands for all: of the 31 20-grams in a 50-byte string the one with the smallest hash is its
 anchor, hence equal strings have anchors at equal places. Then:
 
+0. a text of 50 bytes or more that an earlier document has whole goes at once (digests decide), and
+   takes no part below: whatever it holds, the earlier document holds;
 1. shards of documents tell buckets which anchor 20-grams they have, once a shard; those in one document
    only are dropped;
 2. shards send the distinct 80-byte surroundings of the other anchors, with the smallest and largest
@@ -29,10 +31,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import materialize, partitions_for
+from ledgerlens.llm.frames import map_batches, materialize, partitions_for
 from ledgerlens.llm.hashing import mix, prefix_sums, substring_hashes
 
 LENGTH, GRAM = 50, 20
@@ -92,13 +95,25 @@ def _sliding(values: np.ndarray, pick) -> np.ndarray:
     return pick(values[:-15], values[15:])
 
 
-def _chunks(table: pa.Table):
-    """The documents of a shard, some at a time."""
+def _tag(text: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
+
+
+def _copies(table: pa.Table) -> set[tuple[int, int]]:
+    """(doc_id, tag) of the documents that are whole copies of an earlier one."""
+    return {(d, t) for d, t in zip(table["doc_id"].to_pylist(), table["tag"].to_pylist()) if t is not None}
+
+
+def _chunks(table: pa.Table, copies: set[tuple[int, int]]):
+    """The documents of a shard that are no whole copies, some at a time."""
     doc_ids, texts, size = [], [], 0
     for batch in table.to_batches(max_chunksize=2000):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if copies and (doc_id, _tag(data)) in copies:
+                continue
             doc_ids.append(doc_id)
-            texts.append((text or "").encode("utf-8", "surrogatepass"))
+            texts.append(data)
             size += len(texts[-1])
             if size >= _CHUNK_BYTES:
                 yield Chunk(np.array(doc_ids, np.int64), texts), texts
@@ -132,14 +147,16 @@ _TELL = pa.schema([("shard", pa.int32()), ("identity", pa.binary()), ("runs", pa
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def ask(table: pa.Table, buckets: int) -> pa.Table:
+def ask(table: pa.Table, copied: pa.Table, buckets: int) -> pa.Table:
     """The anchors of a shard, each once, with a mark where more than one of its documents has it."""
     if not table.num_rows:
         return _rows([], _ASK)
     keys, docs = [], []
-    for chunk, _ in _chunks(table):
+    for chunk, _ in _chunks(table, _copies(copied)):
         keys.append(chunk.keys)
         docs.append(chunk.doc_ids[chunk.owner])
+    if not keys:
+        return _rows([], _ASK)
     keys, docs = np.concatenate(keys), np.concatenate(docs)
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
@@ -169,13 +186,14 @@ def answer(table: pa.Table) -> pa.Table:
 
 def send(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Distinct surroundings of the shard's repeated anchors."""
+    copies, answers = _copies(answers), answers.filter(pc.is_valid(answers["bucket"]))
     if not docs.num_rows or not answers.num_rows:
         return _rows([], _SEND)
     shard = docs["shard"][0].as_py()
     wanted = np.unique(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64)
                                        for b, k in zip(answers["bucket"].to_pylist(), answers["keys"].to_pylist())]))
     parts: list[tuple] = []
-    for chunk, _ in _chunks(docs):
+    for chunk, _ in _chunks(docs, copies):
         bucket = _bucket(chunk.keys, buckets)
         name = (bucket.astype(np.uint64) << np.uint64(32)) | (chunk.keys & np.uint64(0xFFFFFFFF))
         pick = np.flatnonzero(np.isin(name, wanted))
@@ -275,6 +293,12 @@ def tell(table: pa.Table) -> pa.Table:
 def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     """Size, removed bytes and runs, and digest of what is left, for every document of a shard."""
     out: list[dict] = []
+    copies, told = _copies(told), told.filter(pc.is_valid(told["identity"]))
+    if copies:
+        for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if (doc_id, _tag(data)) in copies:
+                out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data), "n_spans": 1, "kept_sha256": hashlib.sha256().hexdigest()})
     identity = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in told["identity"].to_pylist()]])
     runs = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in told["runs"].to_pylist()]]).astype(np.int64)
     first, last = (np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in told[c].to_pylist()]]).astype(np.int64) for c in ("first", "last"))
@@ -282,7 +306,7 @@ def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     begin = np.cumsum(runs) - runs
     order = np.argsort(identity, kind="stable")
     identity, runs, begin = identity[order], runs[order], begin[order]
-    for chunk, texts in _chunks(docs):
+    for chunk, texts in _chunks(docs, copies):
         depth = np.zeros(len(chunk.data) + 1, np.int32)
         if len(identity) and len(chunk.at):
             own, _, _, _ = chunk.surroundings(np.arange(len(chunk.at)))
@@ -309,6 +333,19 @@ def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
     return _rows(out, _CUT)
 
 
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, tag) of the rows whose text, of 50 bytes or more, a smaller document has whole."""
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([hashlib.sha256(r).digest() for r in rows], pa.binary()), pa.array([_tag(r) for r in rows], pa.int64())], ["doc_id", "digest", "tag"])
+
+    long = texts.where(F.octet_length("text") >= LENGTH)
+    rows = map_batches(long.select("doc_id", "text"), digest, "doc_id long, digest binary, tag long")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return rows.join(first, "digest").where("doc_id > first").select("doc_id", "tag").distinct()
+
+
 @contextlib.contextmanager
 def _shuffles_end_with_their_job(spark):
     """Shuffle files of each step go when its table is written, so the steps' disk needs do not add up."""
@@ -325,16 +362,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     shards, buckets = partitions_for(docs, _SHARD_BYTES), partitions_for(docs, _BUCKET_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = texts.where("doc_id IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    named = texts.where("doc_id IS NOT NULL").withColumn("shard", shard)
     with _shuffles_end_with_their_job(docs.sparkSession):
-        asked = materialize(named.groupBy("shard").applyInArrow(
-            lambda t: ask(t, buckets), "bucket int, shard int, keys binary, several binary"))
+        copies = materialize(whole_copies(texts.where("doc_id IS NOT NULL")).withColumn("shard", shard))
+        asked = materialize(named.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(
+            lambda d, c: ask(d, c, buckets), "bucket int, shard int, keys binary, several binary"))
         answers = materialize(asked.groupBy("bucket").applyInArrow(answer, "shard int, bucket int, keys binary"))
-        sent = materialize(named.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-            lambda d, a: send(d, a, buckets), "bucket int, shard int, identity binary, keys binary, reach binary, documents binary, symbols binary"))
+        replies = answers.unionByName(copies, allowMissingColumns=True)
+        sent = named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
+            lambda d, a: send(d, a, buckets), "bucket int, shard int, identity binary, keys binary, reach binary, documents binary, symbols binary")
         told = materialize(sent.groupBy("bucket").applyInArrow(
             tell, "shard int, identity binary, runs binary, first binary, last binary, least binary"))
-    result = named.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(
+    replies = told.unionByName(copies, allowMissingColumns=True)
+    result = named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     nameless = texts.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),

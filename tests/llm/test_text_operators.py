@@ -187,9 +187,10 @@ def test_repeats_equal_lookup(spark):
 
 
 def test_repeats_odd_rows(spark):
-    got = repeats.remove_repeats(odd(spark, [(8, "x" * 60), (9, "y" * 60)])).collect()
+    got = repeats.remove_repeats(odd(spark, [(8, "x" * 60), (9, "y" * 60), (12, "z" * 70), (13, "z" * 70), (13, "z" * 70)])).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(ODD) + 2 and by[8].n_removed == 60 and by[8].n_spans == 1 and by[9].n_removed == 0
+    assert len(got) == len(ODD) + 5 and by[13].n_removed == 70 and by[12].n_removed == 0
+    assert by[8].n_removed == 60 and by[8].n_spans == 1 and by[9].n_removed == 0
     assert by[None].n_bytes == 12 and by[4].n_removed == 0
     assert repeats.remove_repeats(odd(spark).limit(0)).count() == 0
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.frames import map_batches
 
 MAX_RANKS = 1 << 20
-KEPT_CHUNKS = 200_000  # before a batch; a batch adds its own
+KEPT_CHUNKS = 150_000  # before a batch; a batch adds its own
+AT_ONCE = 6_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -249,7 +250,17 @@ class Codec:
         return [first, *[" " + c for c in rest]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text, as little-endian unsigned 32-bit integers."""
+        """Ids of every text, as little-endian unsigned 32-bit integers; about ``AT_ONCE`` characters at a time."""
+        out: list[bytes] = []
+        lo = size = 0
+        for hi, text in enumerate(texts, start=1):
+            size += len(text or "")
+            if size >= AT_ONCE or hi == len(texts):
+                out += self._encode(texts[lo:hi])
+                lo, size = hi, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {}
         known = self.kept

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import materialize
 
+BATCH_BYTES = 12_000_000
+
 __all__ = ["materialize", "read", "map_batches", "partitions_for"]
 
 
@@ -18,7 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``; nothing larger than a batch is held."""
+    """Apply ``fn`` to every Arrow batch of ``df``; nothing larger than a batch is held.
+
+    Batches are bounded by bytes, not only by rows, so long texts do not add up in a Python worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -35,13 +35,12 @@ _GAP = "sqrt(" + " + ".join(f"pow(p.{c} - o.{c}, 2)" for c in Z) + ")"
 
 
 @query("silhouette", f"""
-WITH picked AS (SELECT * FROM pairs ORDER BY ((customer_key % 2147483648) * 2654435761) % 4294967296, customer_key LIMIT 5000),
-     toward AS (SELECT p.customer_key, p.cluster AS own, o.cluster AS other, sum({_GAP}) AS total, count(*) AS n FROM picked p, picked o GROUP BY 1, 2, 3),
+WITH toward AS (SELECT p.customer_key, p.cluster AS own, o.cluster AS other, sum({_GAP[5:-1]}) AS total, count(*) AS n FROM pairs p, pairs o GROUP BY 1, 2, 3),
      scored AS (SELECT customer_key, max(CASE WHEN own = other THEN n END) AS size,
                        max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b FROM toward GROUP BY 1)
 SELECT count(*) AS n, avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM scored""", doubles="silhouette")
 def _(spark, sf):
-    return cluster.silhouette(b.scaled(spark, sf), Z, "cluster", "customer_key")
+    return cluster.silhouette(b.scaled(spark, sf), Z, "cluster")
 
 
 @query("calinski_harabasz", f"""

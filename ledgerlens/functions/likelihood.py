@@ -108,9 +108,9 @@ def _newton(
         tried = objective(at + lengths[:, None] * step)
         best = int(np.argmax(tried))
         if tried[best] <= f[0]:
-            break
+            return np.exp(at)
         at = at + lengths[best] * step
         # judged on the objective: a parameter on the boundary keeps moving without effect
         if tried[best] - f[0] < tolerance:
-            break
-    return np.exp(at)
+            return np.exp(at)
+    raise RuntimeError(f"no convergence within {max_iter} steps")

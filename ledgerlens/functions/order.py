@@ -39,26 +39,61 @@ def _slice_offsets(slices: DataFrame, totals: Mapping[str, Column]) -> DataFrame
     )
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Join condition on equal keys, NULL being equal to NULL."""
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(right[k])
+    return condition
+
+
+def salted_join(facts: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table of any size with one row per key, a key's rows being spread over all partitions.
+
+    Every row of ``small`` is repeated for each salt, so a key that holds a large share of ``facts`` is
+    no larger task than the others. NULL keys match NULL keys; ``small`` must not share other columns.
+    """
+    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = right.withColumnsRenamed({k: f"_key_{k}" for k in [*keys, "_salt"]})
+    condition = left["_salt"] == right["_key__salt"]
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(right[f"_key_{k}"])
+    return left.join(right, condition, how).drop("_salt", "_key__salt", *[f"_key_{k}" for k in keys])
+
+
 def global_row_number(
     df: DataFrame,
     order_by: Sequence[Column | str],
     alias: str = "row_no",
     by: Sequence[str] = (),
+    size: str | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by <by> order by <order_by>)`` without a hot task.
 
     ``order_by`` should end in a unique key so that the numbering is determined.
-    Groups may be of any size: rows are spread by range, not by group.
+    Groups may be of any size: rows are spread by range, and where a group starts is
+    looked up by (slice, group), never by group alone. NULL is a group of its own.
+    ``size`` names a column for the rows of the group.
     """
     order = [F.col(b) for b in by] + [as_column(c) for c in order_by]
     slices = _sorted_slices(df, order)
-    offsets = _slice_offsets(slices, {"rows": F.lit(1)})
-    position = F.col("_at").bitwiseAND(F.lit((1 << _SLICE_BITS) - 1)) + F.col("_off_rows") + 1
-    numbered = slices.join(F.broadcast(offsets), "_slice").withColumn(alias, position)
-    if by:
-        starts = numbered.groupBy(*by).agg((F.min(alias) - 1).alias("_start"))
-        numbered = numbered.join(starts, list(by)).withColumn(alias, F.col(alias) - F.col("_start"))
-    return numbered.select(*df.columns, F.col(alias).cast("bigint").alias(alias))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << _SLICE_BITS) - 1))
+    # one row for each slice and group in it
+    runs = slices.groupBy("_slice", *by).agg(F.min(inside).alias("_first"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("_slice").alias("_run_slice"), *[F.col(b).alias(f"_run_{b}") for b in by],
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(whole).alias("_size"))
+    condition = F.col("_slice") == F.col("_run_slice")
+    for b in by:
+        condition = condition & F.col(b).eqNullSafe(F.col(f"_run_{b}"))
+    numbered = slices.join(runs, condition)
+    extra = [F.col("_size").cast("bigint").alias(size)] if size else []
+    return numbered.select(*df.columns, (inside + F.col("_shift") + 1).cast("bigint").alias(alias), *extra)
 
 
 def running_totals(
@@ -132,7 +167,7 @@ def exact_quantiles(
     ]
     if by:
         sketch = values.groupBy(*by).agg(*sketch_cols)
-        tagged = values.join(sketch, by)
+        tagged = salted_join(values, sketch, by)
     else:
         summary = values.agg(*sketch_cols)
         tagged = values.withColumn("_s", summary.select(F.struct("n", "_edges")).scalar()).select(
@@ -152,8 +187,12 @@ def exact_quantiles(
         .where(F.size("_ranks") > 0)
         .select(*by, "_cell", "_below", "_ranks")
     )
-    # without groups there are at most 2*len(probs)+1 cells; with groups the size is not known here
-    hits = tagged.join(cells if by else F.broadcast(cells), [*by, "_cell"])
+    # the wanted cells hold few rows; without groups there are at most 2*len(probs)+1 of them
+    wanted_cells = cells.withColumnsRenamed({k: f"_want_{k}" for k in [*by, "_cell"]})
+    condition = F.col("_cell") == F.col("_want__cell")
+    for b in by:
+        condition = condition & F.col(b).eqNullSafe(F.col(f"_want_{b}"))
+    hits = tagged.join(wanted_cells if by else F.broadcast(wanted_cells), condition).drop(*[f"_want_{k}" for k in [*by, "_cell"]])
     in_cell = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = (
         hits.groupBy(*by, "_cell", "_v")

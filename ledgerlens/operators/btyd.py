@@ -113,18 +113,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _series_ratios(p: float, q: float, c: Column, z: Column, max_terms: int) -> Column:
+def _series_ratios(p: float, q: float, c: Column, z: Column) -> Column:
     """Ratios (p+k)(q+k) / ((c+k)(k+1)) of successive series terms, last term first.
 
     They do not depend on the horizon. ``z`` is the largest argument the series
-    will see; its powers fall below double precision at the last term.
+    will see; its powers fall below double precision at the last term, however many that takes.
     """
-    terms = F.least(F.ceil((38.0 + 2 * abs(p) + 2 * abs(q)) / -F.ln(z)) + 2, F.lit(max_terms)).cast("int")
+    terms = (F.ceil((38.0 + 2 * abs(p) + 2 * abs(q)) / -F.ln(z)) + 2).cast("int")
     return F.transform(F.sequence(terms, F.lit(0), F.lit(-1)), lambda k: (p + k) * (q + k) / ((c + k) * (k + 1.0)))
 
 
 def purchase_curve(
-    params: Mapping[str, float], days: Sequence[float], x: str = "x", tx: str = "t_x", T: str = "T", max_terms: int = 2000,
+    params: Mapping[str, float], days: Sequence[float], x: str = "x", tx: str = "t_x", T: str = "T",
 ) -> Column:
     """Expected number of purchases within each of several horizons (array of doubles).
 
@@ -138,7 +138,7 @@ def purchase_curve(
     X, TX, TT = as_column(x).cast("double"), as_column(tx).cast("double"), as_column(T).cast("double")
     c, longest = a + b + X - 1, float(max(days))
     once = F.struct(
-        _series_ratios(a + b - 1 - r, a - 1, c, longest / (alpha + TT + longest), max_terms).alias("ratios"),
+        _series_ratios(a + b - 1 - r, a - 1, c, longest / (alpha + TT + longest)).alias("ratios"),
         (c / (a - 1) / (1 + _lapse_odds(params, X, TX, TT))).alias("front"),
         (alpha + TT).alias("age"))
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import share_pct
 from ledgerlens.operators.value import bounded_sample
+from ledgerlens.session import materialize
 
 # Cluster tier names from best to worst.
 TIER_NAMES = ("High Value", "Mid-High", "Mid-Low", "Low Value")
-MAX_SAMPLE = 5000
 
 
 def standardize(df: DataFrame, columns: Sequence[str], prefix: str = "z_") -> DataFrame:
@@ -114,14 +114,34 @@ def cluster_tier_label(
     return customers.withColumn(alias, chain)
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, key: str, max_rows: int = MAX_SAMPLE) -> DataFrame:
-    """Mean Euclidean silhouette of at most ``max_rows`` rows chosen by key hash.
+def silhouette(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
+    """Mean squared-distance silhouette of all rows: n and silhouette.
 
-    The sample (at most 5000 short rows) travels to every task; tasks compare
-    their share of it with the whole sample, so no pairs are ever shuffled.
+    The mean squared distance of a row x to a cluster of n rows with sum S and sum of squares Q is
+    |x|^2 + Q/n - 2 x.S/n, so one pass for the moments (a row per cluster) and one over the rows do. Rows
+    alone in their cluster count as 0, as does everything if there is one cluster. NULL labels are one cluster.
+    """
+    squares = sum((F.pow(c, F.lit(2)) for c in columns), F.lit(0.0))
+    moments = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(squares).alias("q"), *[F.sum(c).alias(f"s_{c}") for c in columns])
+    everyone = moments.select(F.collect_list(F.struct(F.col(cluster).alias("k"), "n", "q", *[f"s_{c}" for c in columns]))).scalar()
+
+    def gap(o: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.col("_x") + o["q"] / o["n"] - 2 * sum((F.col(c) * o[f"s_{c}"] for c in columns), F.lit(0.0)) / o["n"])
+
+    own = F.filter("_all", lambda o: o["k"].eqNullSafe(F.col(cluster)))[0]
+    rows = df.withColumns({"_all": everyone, "_x": squares}).withColumn("_own", own)
+    inner = gap(F.col("_own")) * F.col("_own.n") / (F.col("_own.n") - 1)
+    outer = F.array_min(F.transform(F.filter("_all", lambda o: ~o["k"].eqNullSafe(F.col(cluster))), gap))
+    score = F.when((F.col("_own.n") > 1) & outer.isNotNull(), F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0))).otherwise(0.0)
+    return rows.agg(F.count("*").alias("n"), F.avg(score).alias("silhouette"))
+
+
+def silhouette_sample(df: DataFrame, columns: Sequence[str], cluster: str, key: str, max_rows: int) -> DataFrame:
+    """Mean Euclidean silhouette of ``max_rows`` rows chosen by key hash.
+
+    The sample travels to every task; tasks compare their share of it with the
+    whole sample, so no pairs are ever shuffled.
     """
-    if max_rows > MAX_SAMPLE:
-        raise ValueError(f"the sample is bounded by {MAX_SAMPLE} rows")
     spark = df.sparkSession
     sample = bounded_sample(df.select(key, cluster, *columns), F.col(key), max_rows).toPandas()
     if sample.empty:
@@ -182,10 +202,14 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], cluster: str) -> DataF
         return F.sqrt(sum((F.pow(left(c) - right(c), F.lit(2)) for c in columns), F.lit(0.0)))
 
     centroids = df.groupBy(cluster).agg(*[F.avg(c).alias(f"c_{c}") for c in columns])
-    scatter = df.join(centroids, cluster).groupBy(cluster, *[f"c_{c}" for c in columns]).agg(
-        F.avg(distance(lambda c: F.col(c), lambda c: F.col(f"c_{c}"))).alias("s"))
+    centres = centroids.select(F.collect_list(F.struct(F.col(cluster).alias("k"), *[f"c_{c}" for c in columns]))).scalar()
+    own = F.filter("_centres", lambda o: o["k"].eqNullSafe(F.col(cluster)))[0]  # one entry a cluster, looked up, not joined
+    placed = df.select(cluster, *columns).withColumn("_centres", centres).withColumn("_own", own)
+    scatter = materialize(placed.groupBy(cluster).agg(
+        F.avg(distance(lambda c: F.col(c), lambda c: F.col(f"_own.c_{c}"))).alias("s"),
+        *[F.first(f"_own.c_{c}").alias(f"c_{c}") for c in columns]))
     everyone = scatter.select(F.collect_list(F.struct(F.col(cluster).alias("k"), "s", *[f"c_{c}" for c in columns]))).scalar()
     worst = F.array_max(F.transform(
-        F.filter("_all", lambda o: o["k"] != F.col(cluster)),
+        F.filter("_all", lambda o: ~o["k"].eqNullSafe(F.col(cluster))),
         lambda o: F.try_divide(F.col("s") + o["s"], distance(lambda c: F.col(f"c_{c}"), lambda c: o[f"c_{c}"]))))
     return scatter.withColumn("_all", everyone).agg(F.count("*").alias("k"), F.avg(worst).alias("davies_bouldin"))

@@ -93,10 +93,11 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
     part of the table costs one comparison. Space is cut into regions of about
     ``leaf_points`` distinct points. A point's k-th distance inside its region
     bounds the answer; only the few regions that reach into that radius are
-    searched as well. Regions asked by very many points are copied to several tasks.
+    searched as well. A row with a NULL coordinate is nobody's neighbour and has no distance (NULL). Regions asked by very many points are copied to several tasks.
     """
     columns = list(columns)
-    base = materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
+    whole = materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
+    base = whole.dropna(subset=columns)
     points = materialize(
         base.groupBy(*columns).agg(F.count("*").alias("w")).withColumn("pid", F.monotonically_increasing_id()))
     n = points.count()
@@ -161,7 +162,7 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
 
     answer = candidates.groupBy("pid").agg(F.aggregate(ordered, start, walk, lambda acc: acc["dist"]).alias("kth_distance"))
     per_point = points.join(answer, "pid").select(*columns, "kth_distance")
-    return base.join(per_point, columns).select(key, "kth_distance")
+    return whole.select(key, *columns).join(per_point, columns, "left").select(key, "kth_distance")
 
 
 def density_viability(distances: DataFrame, column: str = "kth_distance", near_share: float = 0.20, flat_pct: float = 60.0) -> DataFrame:

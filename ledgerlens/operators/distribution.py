@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.order import exact_quantiles
+from ledgerlens.functions.order import exact_quantiles, salted_join
 from ledgerlens.functions.stats import sample_kurtosis, sample_skewness
 
 
@@ -46,7 +46,7 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= low) & (v <= high)
     return (
-        df.select(by, value).where(v.isNotNull()).join(q, by)
+        salted_join(df.select(by, value).where(v.isNotNull()), q, [by])
         .groupBy(by, "q1", "median", "q3")
         .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
              F.count_if(~inside).alias("outliers"))
@@ -81,14 +81,20 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def monthly_trend(df: DataFrame, ts: str, value: str, invoice: str, customer: str) -> DataFrame:
     """Lines, revenue, distinct orders and active customers per calendar month.
 
-    Grouping by (month, customer, invoice) first turns two distinct counts into
-    one ordinary count and one distinct count over far fewer rows.
+    Two grouping steps instead of distinct counts: lines to (month, customer, invoice), those to a
+    row per customer and a row per invoice of the month, which are counted apart.
     """
     month = F.trunc(ts, "MM").alias("month")
     per_order = df.groupBy(month, customer, invoice).agg(F.count("*").alias("_l"), F.sum(value).alias("_v"))
-    return per_order.groupBy("month").agg(
+    tags = F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col(invoice).cast("string").alias("id"), F.col("_l"), F.col("_v")),
+        F.struct(F.lit(1).alias("kind"), F.col(customer).cast("string").alias("id"), F.lit(None).cast("bigint").alias("_l"), F.lit(None).cast("double").alias("_v"))))
+    tagged = per_order.select("month", tags.alias("t")).select("month", "t.*")
+    per_id = tagged.groupBy("month", "kind", "id").agg(F.sum("_l").alias("_l"), F.sum("_v").alias("_v"))
+    named = F.col("id").isNotNull()
+    return per_id.groupBy("month").agg(
         F.sum("_l").alias("n_lines"), F.sum("_v").alias("revenue"),
-        F.count_distinct(invoice).alias("n_orders"), F.count_distinct(customer).alias("n_customers"),
+        F.count_if((F.col("kind") == 0) & named).alias("n_orders"), F.count_if((F.col("kind") == 1) & named).alias("n_customers"),
     ).orderBy("month")
 
 

@@ -21,7 +21,6 @@ from ledgerlens.operators.metrics import class_weight, classification_metrics, r
 TREES, DEPTH, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 400, 5, 0.05, 0.8, "0.8"
 TWEEDIE_POWER = 1.5
 NORMAL_975 = 1.959963984540054
-MAX_LEVELS = 1000
 
 
 def one_hot_stages(columns: Sequence[str], drop_last: bool = False) -> list:
@@ -33,17 +32,18 @@ def one_hot_stages(columns: Sequence[str], drop_last: bool = False) -> list:
     ]
 
 
-def one_hot_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def one_hot_encode(df: DataFrame, columns: Sequence[str], sparse: bool = False) -> DataFrame:
     """Replace category columns by one 0/1 column per level, none dropped.
 
-    The level list is bounded; columns with more levels belong in the sparse
-    vectors of ``one_hot_stages``.
+    ``sparse`` gives one sparse vector ``<name>_vec`` a column instead, which suits
+    columns with very many levels; the levels are then indexed by Spark.
     """
+    if sparse:
+        fitted = Pipeline(stages=one_hot_stages(columns)).fit(df)
+        return fitted.transform(df).drop(*columns, *[f"{c}_index" for c in columns])
     out = df
     for c in columns:
-        levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; use one_hot_stages")
+        levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()]  # they become column names
         out = out.withColumns({
             f"{c}_{level}": F.coalesce((F.col(c) == level).cast("int"), F.lit(0)) for level in sorted(levels)}).drop(c)
     return out

@@ -97,12 +97,13 @@ def hash_split(df: DataFrame, key: Column | str, train_tenths: int = 8) -> DataF
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", train_share: float = 0.8) -> DataFrame:
-    """Exactly ``floor(share * n)`` rows of each class into training, chosen by hash order."""
+    """Exactly ``floor(share * n)`` rows of each class into training, chosen by hash order.
+
+    Rows without label are a class of their own.
+    """
     hashed = df.withColumn("_h", key_hash(key))
-    ranked = global_row_number(hashed, ["_h", key], "_no", by=[label])
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    # one row per class; Spark picks the join from the size it sees
-    return ranked.join(sizes, label).withColumn(
+    ranked = global_row_number(hashed, ["_h", key], "_no", by=[label], size="_n")
+    return ranked.withColumn(
         "is_train", F.col("_no") <= F.floor(F.lit(train_share) * F.col("_n"))).drop("_h", "_no", "_n")
 
 

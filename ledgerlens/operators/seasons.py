@@ -114,18 +114,12 @@ def same_start_end_team(players: DataFrame, salaries: DataFrame, longer_than: in
         & (F.col("ending_year") - F.col("starting_year") > longer_than))
 
 
-def group_concat(players: DataFrame, first_year: int = 1980, last_year: int = 1990, names_per_part: int = 100_000) -> DataFrame:
-    """Names sharing a birth date, comma separated in name order.
-
-    A date is one row (part 0). Only a date with more than ``names_per_part``
-    names continues in further parts, so that no task has to hold them all.
-    """
-    born = players.select(birth_date("birth_year", "birth_month", "birth_day").alias("birthdate"), "name", "player_id")
+def group_concat(players: DataFrame, first_year: int = 1980, last_year: int = 1990) -> DataFrame:
+    """Names sharing a birth date, comma separated in name order: one row per date, whatever its size."""
+    born = players.select(birth_date("birth_year", "birth_month", "birth_day").alias("birthdate"), "name")
     kept = between_year_filter(born, "birthdate", first_year, last_year)
-    placed = global_row_number(kept, ["name", "player_id"], "_no", by=["birthdate"])
-    part = F.floor((F.col("_no") - 1) / names_per_part).cast("int").alias("part")
-    return placed.groupBy("birthdate", part).agg(
-        F.expr("listagg(name, ', ') within group (order by name)").alias("players")).orderBy("birthdate", "part")
+    return kept.groupBy("birthdate").agg(
+        F.expr("listagg(name, ', ') within group (order by name)").alias("players")).orderBy("birthdate")
 
 
 def select_distinct(players: DataFrame, salaries: DataFrame) -> DataFrame:

@@ -35,10 +35,12 @@ def keep_latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order`` value.
 
     A partial aggregate (not a window) so that a key with very many versions is
-    reduced before the shuffle. ``order`` must be unique within a key.
+    reduced before the shuffle. ``order`` must be unique within a key; a row
+    without it counts as the oldest, and is kept where it is the only one.
     """
     payload = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*payload), F.col(order)).alias("_row"))
+    newest = F.struct(F.col(order).isNotNull(), F.col(order))
+    best = df.groupBy(key).agg(F.max_by(F.struct(*payload), newest).alias("_row"))
     return best.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

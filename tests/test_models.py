@@ -102,11 +102,41 @@ def test_cluster_indices(spark):
     inner = np.array([gap[i, labels == labels[i]].sum() / 29 for i in range(60)])
     outer = np.array([gap[i, labels != labels[i]].mean() for i in range(60)])
     want = ((outer - inner) / np.maximum(outer, inner)).mean()
-    row = cluster.silhouette(df, ["a", "b"], "cluster", "id").first()
+    row = cluster.silhouette_sample(df, ["a", "b"], "cluster", "id", max_rows=100_000).first()
     assert row["n"] == 60 and row["silhouette"] == pytest.approx(want)
-    assert cluster.silhouette(df.limit(0), ["a", "b"], "cluster", "id").first()["silhouette"] is None
-    with pytest.raises(ValueError):
-        cluster.silhouette(df, ["a", "b"], "cluster", "id", max_rows=100_000)
+    assert cluster.silhouette_sample(df.limit(0), ["a", "b"], "cluster", "id", 50).first()["silhouette"] is None
+    squared = gap ** 2
+    inner = np.array([squared[i, labels == labels[i]].sum() / 29 for i in range(60)])
+    outer = np.array([squared[i, labels != labels[i]].mean() for i in range(60)])
+    row = cluster.silhouette(df, ["a", "b"], "cluster").first()
+    assert row["n"] == 60 and row["silhouette"] == pytest.approx(((outer - inner) / np.maximum(outer, inner)).mean())
+    assert cluster.silhouette(df.limit(0), ["a", "b"], "cluster").first()["silhouette"] is None
+
+
+def test_null_cluster_label_is_a_cluster(spark):
+    df = spark.createDataFrame([(0.0, 1), (1.0, 1), (9.0, None), (10.0, None)], "a double, cluster int")
+    named = df.fillna({"cluster": 2})
+    assert cluster.silhouette(df, ["a"], "cluster").first() == cluster.silhouette(named, ["a"], "cluster").first()
+    assert cluster.davies_bouldin(df, ["a"], "cluster").first() == cluster.davies_bouldin(named, ["a"], "cluster").first()
+
+
+def test_null_coordinate_keeps_its_row(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, None, 0.0), (4, 3.0, 0.0)], "id int, a double, b double")
+    got = {r["id"]: r["kth_distance"] for r in density.kth_neighbor_distance(df, ["a", "b"], "id", 2).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 4: 2.0}
+
+
+def test_null_labels_are_split_like_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "id int, label int")
+    counts = {(r["label"], r["is_train"]): r["count"] for r in metrics.stratified_split(df, "id").groupBy("label", "is_train").count().collect()}
+    assert counts == {(None, True): 16, (None, False): 4, (0, True): 32, (0, False): 8, (1, True): 32, (1, False): 8}
+    assert metrics.stratified_folds(df, "id").count() == 100
+
+
+def test_sparse_levels_have_no_limit(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(1500)], "id int, c string")
+    out = learning.one_hot_encode(df, ["c"], sparse=True)
+    assert out.columns == ["id", "c_vec"] and out.count() == 1500 and out.first()["c_vec"].size >= 1500
 
 
 def test_constant_column_standardises_to_zero(spark):

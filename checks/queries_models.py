@@ -321,10 +321,12 @@ def _(spark, sf):
     """Transactions of 2001 arrive as quarterly files and are folded into a copy of the trained table."""
     trained = _trained(spark, sf)
     folder = b.scratch(spark, "stream")
-    artifacts.write_batch(spark.read.parquet(f"{trained.customer_table}/batch_id=0"), f"{folder}/customers", 0)
-    models = training.StoredModels(trained.bgnbd, trained.gamma, trained.spend, trained.purchase, folder)
+    models = trained.at(folder)
+    for part in ("customers", "transactions"):
+        artifacts.write_batch(spark.read.parquet(f"{trained.folder}/{part}/batch_id=0"), f"{folder}/{part}", 0)
+    spark.read.parquet(trained.cuts).write.parquet(models.cuts)
     late = b.transactions(spark, sf).where(F.year("invoice_ts") >= 2001)
-    for q in (1, 2, 3):
-        late.where(F.quarter("invoice_ts") == q).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
-    stream_score_append(spark, f"{folder}/arrivals", models, f"{folder}/progress", files_per_batch=1).awaitTermination()
+    for q in (1, 2, 3, 4):
+        late.where(F.quarter("invoice_ts") == q).write.mode("append").parquet(f"{folder}/arrivals")
+    stream_score_append(spark, f"{folder}/arrivals", models, f"{folder}/progress", files_per_batch=8).awaitTermination()
     return artifacts.read_customer_table(spark, models.customer_table)

@@ -73,6 +73,40 @@ def quintile_score_raw(df: DataFrame, column: str, alias: str) -> DataFrame:
     return df.withColumn("_e", edges).withColumn(alias, (F.lit(5) - above).cast("int")).drop("_e")
 
 
+def quintile_cuts(rfm: DataFrame, key: str = "customer_id") -> DataFrame:
+    """(measure, place, value, key) of the four rows after which the quintiles of frequency and monetary end,
+    and the four recency edges (key NULL). Scores from these equal ``rfm_score_quintile`` on the same rows."""
+    parts = []
+    for measure in ("frequency", "monetary"):
+        narrow = rfm.select(F.col(measure).cast("double").alias("value"), F.col(key).cast("string").alias("key"))
+        ranked = global_row_number(narrow, ["value", "key"], "_no")
+        n = ranked.select(F.count("*")).scalar()
+        places = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.floor(1 + F.lit(i) * (n - 1) / 5).alias("at")) for i in range(1, 5)]))
+        wanted = ranked.sparkSession.range(1).select(places.alias("w")).select("w.*")
+        parts.append(ranked.join(F.broadcast(wanted), F.col("_no") == F.col("at")).select(  # four rows
+            F.lit(measure).alias("measure"), "place", "value", "key"))
+    edges = rfm.select(bounded_quantiles("recency", [0.2, 0.4, 0.6, 0.8]).alias("e"))
+    parts.append(edges.select(F.posexplode("e").alias("place", "value")).select(
+        F.lit("recency").alias("measure"), (F.col("place") + 1).alias("place"), "value", F.lit(None).cast("string").alias("key")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def score_by_cuts(rfm: DataFrame, cuts: DataFrame, key: str = "customer_id") -> DataFrame:
+    """r, f and m scores 1..5 and their sum under stored cuts (twelve rows), whatever rows are scored together."""
+    stored = {m: [] for m in ("frequency", "monetary", "recency")}
+    for row in cuts.orderBy("measure", "place").collect():
+        stored[row["measure"]].append((row["value"], row["key"]))
+
+    def passed(measure: str) -> Column:
+        value, name = F.col(measure).cast("double"), F.col(key).cast("string")
+        above = [(value > v) if k is None else (value > v) | ((value == v) & (name > k)) for v, k in stored[measure]]
+        return sum((c.cast("int") for c in above), F.lit(0))
+
+    scored = rfm.withColumns({"f_score": (1 + passed("frequency")).cast("int"), "m_score": (1 + passed("monetary")).cast("int"),
+                              "r_score": (5 - passed("recency")).cast("int")})
+    return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
+
+
 def rfm_score_quintile(rfm: DataFrame) -> DataFrame:
     """r, f and m scores 1..5 and their sum."""
     scored = quintile_score_ranked(quintile_score_ranked(rfm, "frequency", "f_score"), "monetary", "m_score")

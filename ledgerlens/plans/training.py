@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,20 @@ class StoredModels:
     def customer_table(self) -> str:
         return f"{self.folder}/customers"
 
+    @property
+    def transactions(self) -> str:
+        """All cleaned lines, one folder per batch: what returning customers are scored on."""
+        return f"{self.folder}/transactions"
+
+    @property
+    def cuts(self) -> str:
+        """Quintile cuts of the training customers."""
+        return f"{self.folder}/quintile_cuts"
+
+    def at(self, folder: str) -> StoredModels:
+        """The same models over another folder, which needs its own tables."""
+        return replace(self, folder=folder)
+
 
 def add_clusters(customers: DataFrame, n_init: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
     """K = 4 or 5 by silhouette, then the final fit; a fifth cluster shares the last tier name's place."""
@@ -84,12 +98,16 @@ def fit_learned(model_table: DataFrame, trees: int) -> tuple[PipelineModel, Pipe
 def train_customer_models(raw: DataFrame, folder: str, trees: int = learning.TREES, n_init: int = 20) -> StoredModels:
     """Run the whole pipeline and store its results under ``folder``."""
     spark = raw.sparkSession
-    tx = materialize(wholesale.detect_wholesale(clean.clean_transactions(raw)))  # read by every later stage
+    artifacts.write_batch(clean.clean_transactions(raw), f"{folder}/transactions", 0)
+    lines = spark.read.parquet(f"{folder}/transactions").drop("batch_id")
+    tx = materialize(wholesale.detect_wholesale(lines))  # read by every later stage
     snapshot = clean.snapshot_of(tx)
     t0 = minus_days(snapshot, HORIZON_DAYS)
 
     base = materialize(rfm.rfm_table(tx, snapshot))
-    customers = add_clusters(materialize(rfm.segment_quintile(rfm.rfm_score_quintile(base))), n_init)
+    tables.sink_table(rfm.quintile_cuts(base), f"{folder}/quintile_cuts")
+    scored = rfm.score_by_cuts(base, spark.read.parquet(f"{folder}/quintile_cuts"))
+    customers = add_clusters(materialize(rfm.segment_quintile(scored)), n_init)
 
     summary = materialize(btyd.btyd_summary(tx, snapshot))
     bgnbd, gamma = btyd.bgnbd_fit(summary), btyd.gamma_gamma_fit(summary)

@@ -58,6 +58,23 @@ def write_batch(scored: DataFrame, table: str, batch_id: int) -> None:
     scored.write.mode("overwrite").parquet(f"{table}/batch_id={int(batch_id)}")
 
 
+def batch_number(spark: SparkSession, folder: str, run: str, delivery: int) -> int:
+    """Number of a delivery: the one it had before, else the next free one. Training is number 0.
+
+    The list of deliveries is a small table under ``folder``, one row a batch, for a single writer.
+    """
+    path, schema = f"{folder}/deliveries", "run string, delivery long, batch_id long"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+    rows = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+    had = rows.agg(F.max(F.when((F.col("run") == run) & (F.col("delivery") == delivery), F.col("batch_id"))).alias("same"),
+                   F.coalesce(F.max("batch_id"), F.lit(0)).alias("last")).first()
+    if had["same"] is not None:
+        return had["same"]
+    spark.createDataFrame([(run, delivery, had["last"] + 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    return had["last"] + 1
+
+
 def read_customer_table(spark: SparkSession, table: str, key: str = "customer_id") -> DataFrame:
     """Current customer table: the newest batch wins per key (merge on read)."""
     return keep_latest(spark.read.parquet(table), key, "batch_id")

@@ -11,21 +11,20 @@ from ledgerlens.sources import schemas
 
 
 def stream_score_append(
-    spark: SparkSession, source: str, models: StoredModels, checkpoint: str,
-    files_per_batch: int = 1000, first_batch_id: int = 1, fmt: str = "parquet",
+    spark: SparkSession, source: str, models: StoredModels, checkpoint: str, files_per_batch: int = 1000, fmt: str = "parquet",
 ) -> StreamingQuery:
     """Score every new file once and append it to ``models.customer_table``.
 
-    Each micro-batch is written as its own table folder named by the batch id.
-    A batch repeated after a failure overwrites its folder, so the table holds
-    every file exactly once. Training wrote batch 0.
+    Micro-batches are deliveries of the run that the checkpoint's query id names: repeated after a failure they
+    rewrite their own folders, and a new checkpoint (which reads all files again) overwrites nothing.
     """
     reader = spark.readStream.schema(schemas.TRANSACTIONS).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
         reader = reader.option("header", True)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        score_and_append(batch, models, batch_id + first_batch_id)
+        run = batch._jdf.sparkSession().sparkContext().getLocalProperty("sql.streaming.queryId")
+        score_and_append(batch, models, str(run), batch_id)
 
     return (
         reader.format(fmt).load(source).writeStream.foreachBatch(sink)

@@ -180,3 +180,17 @@ def test_append_replaces_returning_customers_and_repeats(spark, tmp_path):
     artifacts.compact_customer_table(spark, table, str(tmp_path / "compact"))
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
     assert set(schemas.TRANSACTIONS.names) == set(schemas.TRANSACTION_COLUMNS)
+
+
+def test_cuts_give_the_scores_of_ranks(spark):
+    for n in (1, 4, 5, 6, 203):
+        df = spark.createDataFrame([(f"c{i:03d}", i % 7, float(i * i % 11), i % 5) for i in range(n)], "customer_id string, frequency long, monetary double, recency long")
+        want = sorted(tuple(r) for r in rfm.rfm_score_quintile(df).select("customer_id", "r_score", "f_score", "m_score").collect())
+        got = sorted(tuple(r) for r in rfm.score_by_cuts(df, rfm.quintile_cuts(df)).select("customer_id", "r_score", "f_score", "m_score").collect())
+        assert got == want
+
+
+def test_row_without_order_is_kept(spark):
+    stored = spark.createDataFrame([("a", 1.0, 1), ("b", 20.0, None)], "customer_id string, total_spend double, batch_ts int")
+    scored = spark.createDataFrame([("a", 5.0, 2)], "customer_id string, total_spend double, batch_ts int")
+    assert sorted(tuple(r) for r in artifacts.append_scored(stored, scored).collect()) == [("a", 5.0, 2), ("b", 20.0, None)]

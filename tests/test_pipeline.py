@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import bindings as b
+from ledgerlens.operators import clean, rfm
 from ledgerlens.plans import scoring, training
 from ledgerlens.sources import artifacts, schemas
 from ledgerlens.streaming.score_stream import stream_score_append
@@ -33,19 +34,47 @@ def test_scoring_requires_all_columns(spark, small, trained):
 
 def test_stream_equals_batches_and_survives_a_restart(spark, small, trained, tmp_path):
     late = b.transactions(spark, small).where(F.year("invoice_ts") >= 2001)
-    seed = spark.read.parquet(f"{trained.customer_table}/batch_id=0")
-    expected = str(tmp_path / "expected")
-    artifacts.write_batch(seed, expected, 0)
-    arrivals, folder = str(tmp_path / "arrivals"), str(tmp_path / "streamed")
-    models = training.StoredModels(trained.bgnbd, trained.gamma, trained.spend, trained.purchase, folder)
-    artifacts.write_batch(seed, models.customer_table, 0)
-    for number, part in enumerate([late.where("month(invoice_ts) <= 3"), late.where("month(invoice_ts) > 3")], start=1):
-        artifacts.write_batch(scoring.score_new_batch(part, trained), expected, number)
-        part.coalesce(1).write.mode("append").parquet(arrivals)
+    direct, models = copied(spark, trained, tmp_path / "direct"), copied(spark, trained, tmp_path / "streamed")
+    arrivals = str(tmp_path / "arrivals")
+    parts = [late.where("month(invoice_ts) <= 3"), late.where("month(invoice_ts) > 3")]
+    for number, part in enumerate(parts, start=1):
+        assert scoring.score_and_append(part, direct, "by hand", number) == number
+        part.write.mode("append").parquet(arrivals)
         for _ in range(2):  # the second start finds nothing new
-            query = stream_score_append(spark, arrivals, models, str(tmp_path / "progress"))
-            query.awaitTermination()
+            stream_score_append(spark, arrivals, models, str(tmp_path / "progress")).awaitTermination()
     shown = ["customer_id", "batch_id", "segment", "frequency", "n_orders", "recency", "rfm_score"]
-    want = sorted(tuple(r) for r in artifacts.read_customer_table(spark, expected).select(*shown).collect())
+    want = sorted(tuple(r) for r in artifacts.read_customer_table(spark, direct.customer_table).select(*shown).collect())
     got = sorted(tuple(r) for r in artifacts.read_customer_table(spark, models.customer_table).select(*shown).collect())
     assert got == want and {r[1] for r in got} == {0, 1, 2}
+    assert scoring.score_and_append(parts[1], direct, "by hand", 2) == 2  # the same delivery again
+    again = sorted(tuple(r) for r in artifacts.read_customer_table(spark, direct.customer_table).select(*shown).collect())
+    assert again == want
+    # a lost checkpoint reads all files again under new numbers
+    stream_score_append(spark, arrivals, models, str(tmp_path / "new progress")).awaitTermination()
+    assert {r["batch_id"] for r in spark.read.parquet(models.transactions).select("batch_id").distinct().collect()} == {0, 1, 2, 3}
+
+
+def copied(spark, trained, folder):
+    models = trained.at(str(folder))
+    for part in ("customers", "transactions"):
+        artifacts.write_batch(spark.read.parquet(f"{trained.folder}/{part}/batch_id=0"), f"{folder}/{part}", 0)
+    spark.read.parquet(trained.cuts).write.parquet(models.cuts)
+    return models
+
+
+def test_history_is_kept_whatever_the_grouping(spark, small, trained, tmp_path):
+    raw = b.transactions(spark, small)
+    late = raw.where(F.year("invoice_ts") >= 2001)
+    whole = {r["customer_id"]: r for r in rfm.rfm_table(clean.clean_transactions(raw)).collect()}
+    before = {r["customer_id"]: r for r in artifacts.read_customer_table(spark, trained.customer_table).collect()}
+    for name, parts in {"one": [late], "two": [late.where("month(invoice_ts) > 4"), late.where("month(invoice_ts) <= 4")]}.items():
+        models = copied(spark, trained, tmp_path / name)
+        for k, part in enumerate(parts):
+            scoring.score_and_append(part, models, "run", k)
+        after = {r["customer_id"]: r for r in artifacts.read_customer_table(spark, models.customer_table).collect()}
+        assert set(before) <= set(after)
+        touched = {r["customer_id"] for r in clean.clean_transactions(late).select("customer_id").distinct().collect()}
+        for c in touched:
+            assert after[c]["n_orders"] == whole[c]["n_orders"] and after[c]["total_spend"] == pytest.approx(whole[c]["total_spend"])
+        assert all(after[c]["n_orders"] >= r["n_orders"] and after[c]["km_label"] == r["km_label"] for c, r in before.items())
+        assert all(after[c]["prob_alive"] is not None for c in touched & set(before) if before[c]["prob_alive"] is not None)

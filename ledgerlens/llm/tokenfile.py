@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from ledgerlens.llm.frames import map_batches, partitions_for
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 256
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 1_200_000  # of a worker process, about 250 MB
 _PART_BYTES = 32 << 20
 
 
@@ -62,18 +63,35 @@ class Encoder:
 
     def encode(self, texts: list[str | None], dtype: str) -> list[bytes]:
         """Ids of every text as little-endian integers of ``dtype``."""
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept = {}
-        known, new = self.kept, set()
-        for text in texts:
-            if text:
-                new.update([c for c in self.cut(text) if c not in known])
-        fresh = list(new)
-        for lo in range(0, len(fresh), 20_000):
-            some = fresh[lo:lo + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, dtype).tobytes()
-        return [b"".join([known[c] for c in self.cut(text)]) if text else b"" for text in texts]
+        out: list[bytes] = [b""] * len(texts)
+        known, waiting, new = self.kept, [], set()
+        if len(known) > KEPT_CHUNKS:
+            known.clear()
+
+        def flush() -> None:
+            fresh = list(new)
+            for chunk, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                known[chunk] = array(code, found.ids).tobytes()
+            for at, chunks in waiting:
+                out[at] = b"".join([known[c] for c in chunks])
+            waiting.clear()
+            new.clear()
+
+        code = "H" if dtype == "<u2" else "I"
+        for at, text in enumerate(texts):
+            if not text:
+                continue
+            chunks = self.cut(text)
+            ids = list(map(known.get, chunks))
+            try:
+                out[at] = b"".join(ids)
+            except TypeError:  # None: chunks not seen before
+                waiting.append((at, chunks))
+                new.update([c for c, i in zip(chunks, ids) if i is None])
+                if len(new) >= 10_000:
+                    flush()
+        flush()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

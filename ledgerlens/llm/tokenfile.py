@@ -187,23 +187,23 @@ def unpack(payloads: list[bytes], offsets: list[np.ndarray], counts: list[int],
     left = np.full(len(at), CHECKPOINT, np.int64)
     last = np.cumsum(lanes) - 1
     left[last] = np.array(counts) - (np.array(lanes) - 1) * CHECKPOINT
-    window = np.ndarray((len(data) - 3,), ">u4", data, strides=(1,))
-    out = np.zeros((len(at), CHECKPOINT), np.uint32)
+    byte = np.frombuffer(data, np.uint8).astype(np.uint32)
+    window = (byte[:-3] << 24) | (byte[1:-2] << 16) | (byte[2:-1] << 8) | byte[3:]  # 32 bits from every byte on
+    out = np.zeros((CHECKPOINT, len(at)), np.uint32)
     for step in range(CHECKPOINT):
         live = np.flatnonzero(left > step) if step >= left.min(initial=0) else slice(None)
         here = at[live]
-        bits = (window[here >> 3].astype(np.int64) << (here & 7)) & 0xFFFFFFFF
-        code = bits >> (32 - MAX_BITS)
-        out[live, step] = symbol[code]
+        code = (window[here >> 3] << (here & 7).astype(np.uint32)) >> np.uint32(32 - MAX_BITS)
+        out[step, live] = symbol[code]
         at[live] = here + size[code]
     cuts = np.cumsum(lanes)[:-1]
-    return [lane.reshape(-1)[:n] for lane, n in zip(np.split(out, cuts), counts)]
+    return [lane.reshape(-1)[:n] for lane, n in zip(np.split(np.ascontiguousarray(out.T), cuts), counts)]
 
 
 def decode_table(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbol and code size for every value of the next ``MAX_BITS`` bits."""
     codes = canonical_codes(lengths)
-    symbol, size = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.int64)
+    symbol, size = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.uint8)
     order = np.argsort(codes << (MAX_BITS - lengths))
     span = 1 << (MAX_BITS - lengths[order])
     first = (codes << (MAX_BITS - lengths))[order]

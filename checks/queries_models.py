@@ -7,10 +7,12 @@ operators; the values here keep a run on one machine short.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import query
+from ledgerlens.functions.likelihood import mean_log_likelihood
 from ledgerlens.functions.scalars import minus_days
 from ledgerlens.operators import btyd, clean, cluster, density, features, learning, metrics
 from ledgerlens.plans import early_warning, scoring, training
@@ -90,28 +92,42 @@ def _vectors(spark, sf):
 
 @query("kmeans_scan")
 def _(spark, sf):
-    return cluster.kmeans_scan(spark, _vectors(spark, sf), range(2, 9), n_init=1)
+    return cluster.kmeans_scan(spark, _vectors(spark, sf))
 
 
-@query("kmeans_fit")
+@query("kmeans_fit", "SELECT customer_id, true AS in_range, true AS at_nearest_centre FROM rfm_base")
 def _(spark, sf):
+    """Every customer has one of the four labels, that of the nearest centre."""
     vectors = _vectors(spark, sf)
-    return cluster.kmeans_fit(vectors, 4, n_init=RESTARTS).transform(vectors).select("customer_id", "cluster")
+    model = cluster.kmeans_fit(vectors, 4)
+    gaps = F.array(*[sum((F.pow(F.col(z) - float(x), F.lit(2)) for z, x in zip(Z, centre)), F.lit(0.0)) for centre in model.clusterCenters()])
+    own = F.element_at(gaps, F.col("cluster") + 1)
+    return model.transform(vectors).select(
+        "customer_id", F.col("cluster").between(0, 3).alias("in_range"), (own <= F.array_min(gaps) + 1e-9).alias("at_nearest_centre"))
 
 
 @query("gmm_scan")
 def _(spark, sf):
-    return cluster.gmm_scan(spark, _vectors(spark, sf), range(2, 5), n_init=1)
+    return cluster.gmm_scan(spark, _vectors(spark, sf))
 
 
-@query("gmm_fit_certainty")
+def _mixture(spark, sf):
+    return b.stored(spark, sf, "mixture", lambda s, d: cluster.gmm_fit_certainty(_vectors(s, d), 3).drop("features"))
+
+
+@query("gmm_fit_certainty", "SELECT customer_id, true AS sums_to_one, true AS most_likely FROM rfm_base")
 def _(spark, sf):
-    return cluster.gmm_fit_certainty(_vectors(spark, sf), 3, n_init=1).select("customer_id", "gmm_cluster", "certainty")
+    """Memberships sum to one; the cluster is the most likely one and the certainty its membership."""
+    total = F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)
+    own = F.element_at("membership", F.col("gmm_cluster") + 1)
+    return _mixture(spark, sf).select(
+        "customer_id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        ((own == F.col("certainty")) & (F.col("certainty") >= 1 / 3 - 1e-9)).alias("most_likely"))
 
 
 @query("gmm_certainty_summary")
 def _(spark, sf):
-    return cluster.certainty_summary(cluster.gmm_fit_certainty(_vectors(spark, sf), 3, n_init=1))
+    return cluster.certainty_summary(_mixture(spark, sf))
 
 
 def _distances(spark, sf):
@@ -167,9 +183,16 @@ def _(spark, sf):
     return learning.one_hot_encode(b.subscribers(spark, sf).select("subscriber_key", "area_code"), ["area_code"])
 
 
-@query("logit_inference")
+@query("logit_inference", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS score_equation_holds" for c in (*LOGIT_FEATURES, "const")))
 def _(spark, sf):
-    return learning.logit_inference(_split(spark, sf)[0], LOGIT_FEATURES)
+    """At the estimate the residuals are orthogonal to every term."""
+    train = _split(spark, sf)[0]
+    terms = {r["feature"]: r["coef"] for r in learning.logit_inference(train, LOGIT_FEATURES).collect()}
+    linear = sum((F.col(c).cast("double") * terms[c] for c in LOGIT_FEATURES), F.lit(terms["const"]))
+    residual = F.col("label").cast("double") - 1 / (1 + F.exp(-linear))
+    size = {c: F.col(c).cast("double") if c in LOGIT_FEATURES else F.lit(1.0) for c in terms}
+    sums = train.agg(*[(F.abs(F.sum(residual * x)) <= 1e-5 * (1 + F.sum(F.abs(x)))).alias(c) for c, x in size.items()])
+    return sums.unpivot([], list(terms), "feature", "score_equation_holds")
 
 
 @query("logit_reduced")
@@ -223,9 +246,10 @@ def _model_table(spark, sf):
 
 @query("tweedie_regression")
 def _(spark, sf):
-    table = learning.log_features(_model_table(spark, sf), features.FEATURES)
-    model = learning.tweedie_regression(table, features.FEATURES, "sales_90_value")
-    return metrics.regression_metrics(model.transform(table), "sales_90_value", "pred_spend")
+    """Error on the fifth of the customers that the model has not seen."""
+    table = metrics.hash_split(learning.log_features(_model_table(spark, sf), features.FEATURES), F.col("customer_id").cast("bigint"))
+    model = learning.tweedie_regression(table.where("is_train"), features.FEATURES, "sales_90_value")
+    return metrics.regression_metrics(model.transform(table.where("NOT is_train")), "sales_90_value", "pred_spend")
 
 
 @query("cross_validate")
@@ -239,19 +263,25 @@ def _(spark, sf):
         table.withColumn("key", F.col("customer_id").cast("bigint")), "key", "purchased_flag")
 
     def fit(train):
-        model = learning.fit_logit(train, [f"log_{c}" for c in ("recency", "frequency", "sales_value_sum")], "purchased_flag")
-        return model.transform
+        model = learning.boosted_classifier(train, features.FEATURES, "purchased_flag", trees=TREES)
+        return lambda held: learning.positive_probability(model.transform(held), "score")
 
-    buys = learning.cross_validate(even, fit, lambda s: learning.classification_scores(s, "purchased_flag", "probability"))
+    even = materialize(even)  # every fold reads it
+    buys = learning.cross_validate(even, fit, lambda s: learning.classification_scores(s, "purchased_flag", "score"))
+    plain.unpersist()
     return spend.unionByName(buys)
 
 
-@query("save_load_models")
+@query("save_load_models", "SELECT subscriber_key, true AS same FROM subscribers")
 def _(spark, sf):
-    train, test = _split(spark, sf)
+    """The reloaded model gives every subscriber the probability of the saved one."""
+    everyone = _prepared(spark, sf).withColumnRenamed("churn", "label")
     path = b.scratch(spark, "model")
-    artifacts.save_model(learning.fit_logit(train, LOGIT_FEATURES), path)
-    return artifacts.load_model(path).transform(test).select("subscriber_key", "label", "probability")
+    model = learning.fit_logit(_split(spark, sf)[0], LOGIT_FEATURES)
+    artifacts.save_model(model, path)
+    first = model.transform(everyone).select("subscriber_key", F.col("probability").alias("saved"))
+    second = artifacts.load_model(path).transform(everyone).select("subscriber_key", "probability")
+    return first.join(second, "subscriber_key").select("subscriber_key", (F.col("saved") == F.col("probability")).alias("same"))
 
 
 _TERMS = {c: f"{v}e0 * ({c} - (SELECT avg({c}) FROM coded))" for c, v in COEFS.items()}
@@ -278,45 +308,82 @@ def _(spark, sf):
 
 # ---- probabilistic fits, new batches and the stream
 
-@query("bgnbd_fit")
+def _at_maximum(params, objective):
+    """One row a parameter: moving it by one percent either way does not raise the objective."""
+    names, at = list(params), np.array(list(params.values()))
+    moved = [at * np.where(np.arange(len(at)) == i, f, 1.0) for i in range(len(at)) for f in (0.99, 1.01)]
+    values = objective(np.array([at, *moved]))
+    return [(n, bool(max(values[1 + 2 * i], values[2 + 2 * i]) <= values[0] + 1e-6)) for i, n in enumerate(names)]
+
+
+@query("bgnbd_fit", " UNION ALL ".join(f"SELECT '{p}' AS parameter, true AS at_maximum" for p in ("r", "alpha", "a", "b")))
 def _(spark, sf):
-    params = btyd.bgnbd_fit(b.retail_btyd(spark, sf))
-    return b.retail_btyd(spark, sf).select("customer_id", *[F.lit(v).alias(k) for k, v in params.items()],
-                                           btyd.prob_alive(params).alias("prob_alive"))
+    """The penalised likelihood has its maximum at the fitted parameters (time in units of the mean observation)."""
+    summary = b.retail_btyd(spark, sf)
+    params, scale = btyd.bgnbd_fit(summary), float(summary.agg(F.avg("T")).first()[0])
+    scaled = summary.select("x", (F.col("t_x") / scale).alias("t_x"), (F.col("T") / scale).alias("T"), F.lit(1).alias("n"))
 
+    def objective(points):
+        own = points / np.array([1.0, scale, 1.0, 1.0])
+        return mean_log_likelihood(scaled, btyd._bgnbd_kernel, own, "n") - btyd.PENALIZER * (own ** 2).sum(axis=1)
 
-@query("gamma_gamma_fit")
+    return spark.createDataFrame(_at_maximum(params, objective), "parameter string, at_maximum boolean")
+
+
+@query("gamma_gamma_fit", " UNION ALL ".join(f"SELECT '{p}' AS parameter, true AS at_maximum" for p in ("p", "q", "v")))
 def _(spark, sf):
-    params = btyd.gamma_gamma_fit(b.retail_btyd(spark, sf))
-    return btyd.repeat_buyers(b.retail_btyd(spark, sf)).select(
-        "customer_id", *[F.lit(v).alias(k) for k, v in params.items()], btyd.expected_spend(params).alias("expected_spend"))
+    """The same for the spend model (money in units of its mean)."""
+    buyers = btyd.repeat_buyers(b.retail_btyd(spark, sf))
+    params, scale = btyd.gamma_gamma_fit(b.retail_btyd(spark, sf)), float(buyers.agg(F.avg("m")).first()[0])
+    scaled = buyers.select("x", (F.col("m") / scale).alias("m"), F.lit(1).alias("n"))
+
+    def objective(points):
+        own = points / np.array([1.0, 1.0, scale])
+        return mean_log_likelihood(scaled, btyd._gamma_gamma_kernel, own, "n") - btyd.PENALIZER * (own ** 2).sum(axis=1)
 
+    return spark.createDataFrame(_at_maximum(params, objective), "parameter string, at_maximum boolean")
 
-_TRAINED: dict[tuple[str, str], training.StoredModels] = {}
 
+_TRAINED: dict[tuple[str, str, bool], training.StoredModels] = {}
 
-def _trained(spark, sf) -> training.StoredModels:
-    """Models trained on the transactions before 2001."""
-    key = (spark.sparkContext.applicationId, sf)
+
+def _trained(spark, sf, everything: bool = False) -> training.StoredModels:
+    """Models trained on all transactions, or on those before 2001 where later ones arrive as batches."""
+    key = (spark.sparkContext.applicationId, sf, everything)
     if key not in _TRAINED:
-        folder = b.scratch(spark, "train")
-        early = b.transactions(spark, sf).where(F.year("invoice_ts") < 2001)
-        _TRAINED[key] = training.train_customer_models(early, folder, trees=TREES, n_init=1)
+        raw = b.transactions(spark, sf)
+        raw = raw if everything else raw.where(F.year("invoice_ts") < 2001)
+        _TRAINED[key] = training.train_customer_models(raw, b.scratch(spark, "train"), trees=TREES, n_init=RESTARTS)
     return _TRAINED[key]
 
 
-@query("train_customer_models")
+_TOLD = ("customer_id", "frequency", "n_orders", "recency", "total_spend", "r_score", "f_score", "m_score", "rfm_score", "segment")
+
+
+@query("train_customer_models", f"SELECT {', '.join(_TOLD)} FROM customers", doubles="total_spend")
 def _(spark, sf):
-    return artifacts.read_customer_table(spark, _trained(spark, sf).customer_table)
+    """The stored table without the columns of fitted models."""
+    return artifacts.read_customer_table(spark, _trained(spark, sf, everything=True).customer_table).select(*_TOLD)
 
 
-@query("score_new_batch")
+@query("score_new_batch", """
+SELECT customer_id, count(DISTINCT invoice) AS n_orders, sum(order_value) AS total_spend,
+       CAST(floor((epoch_us((SELECT max(invoice_ts) FROM clean_tx)) - epoch_us(max(invoice_ts))) / 86400000000.0) AS BIGINT) AS recency
+FROM clean_tx WHERE customer_id IN (SELECT customer_id FROM clean_tx WHERE year(invoice_ts) >= 2001) GROUP BY customer_id""", doubles="total_spend")
 def _(spark, sf):
+    """Customers of the late lines with all their lines, without the columns of fitted models."""
     late = b.transactions(spark, sf).where(F.year("invoice_ts") >= 2001)
-    return scoring.score_new_batch(late, _trained(spark, sf))
+    return scoring.score_new_batch(late, _trained(spark, sf)).select("customer_id", "n_orders", "total_spend", "recency")
 
 
-@query("stream_score_append")
+@query("stream_score_append", """
+WITH early AS (SELECT customer_id, avg(order_value) AS v, avg(quantity) AS q FROM clean_tx WHERE year(invoice_ts) < 2001 GROUP BY customer_id),
+     fences AS (SELECT quantile_cont(v, 0.75) + 3 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS top_v,
+                       quantile_cont(q, 0.75) + 3 * (quantile_cont(q, 0.75) - quantile_cont(q, 0.25)) AS top_q FROM early),
+     held AS (SELECT customer_id FROM early, fences WHERE v <= top_v AND q <= top_q
+              UNION SELECT customer_id FROM clean_tx WHERE year(invoice_ts) >= 2001)
+SELECT customer_id, count(DISTINCT invoice) AS n_orders, sum(order_value) AS total_spend
+FROM clean_tx WHERE customer_id IN (SELECT customer_id FROM held) GROUP BY customer_id""", doubles="total_spend")
 def _(spark, sf):
     """Transactions of 2001 arrive as quarterly files and are folded into a copy of the trained table."""
     trained = _trained(spark, sf)
@@ -329,4 +396,4 @@ def _(spark, sf):
     for q in (1, 2, 3, 4):
         late.where(F.quarter("invoice_ts") == q).write.mode("append").parquet(f"{folder}/arrivals")
     stream_score_append(spark, f"{folder}/arrivals", models, f"{folder}/progress", files_per_batch=8).awaitTermination()
-    return artifacts.read_customer_table(spark, models.customer_table)
+    return artifacts.read_customer_table(spark, models.customer_table).select("customer_id", "n_orders", "total_spend")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,14 +49,24 @@ def one_hot_encode(df: DataFrame, columns: Sequence[str], sparse: bool = False)
     return out
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+def _inputs(features: Sequence[str], categories: Sequence[str] = ()) -> list:
+    """Stages from columns to ``features``: missing numbers become the training median, categories one-hot vectors.
+
+    ``sources.tables.missing_audit`` counts what is missing beforehand; a missing category is a level of its own.
+    """
+    filled = [f"_filled_{c}" for c in features]
+    return [
+        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
+        *(one_hot_stages(categories, drop_last=True) if categories else []),
+        VectorAssembler(inputCols=[*filled, *[f"{c}_vec" for c in categories]], outputCol="features", handleInvalid="error"),
+        SQLTransformer(statement="SELECT * EXCEPT (" + ", ".join(f"`{c}`" for c in [*filled, *[f"{c}_{k}" for c in categories for k in ("index", "vec")]]) + ") FROM __THIS__"),
+    ]
 
 
-def fit_logit(train: DataFrame, features: Sequence[str], label: str = "label") -> PipelineModel:
+def fit_logit(train: DataFrame, features: Sequence[str], label: str = "label", categories: Sequence[str] = ()) -> PipelineModel:
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol=label, featuresCol="features", predictionCol="probability", maxIter=50)
-    return Pipeline(stages=[_assembler(features), glm]).fit(train)
+    return Pipeline(stages=[*_inputs(features, categories), glm]).fit(train.where(F.col(label).isNotNull()))
 
 
 def logit_inference(train: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
@@ -126,15 +136,16 @@ def what_if_probability(
 
 def boosted_classifier(
     train: DataFrame, features: Sequence[str], label: str = "label", trees: int = TREES, depth: int = DEPTH,
-    learning_rate: float = LEARNING_RATE, weighted: bool = True, seed: int = 42,
+    learning_rate: float = LEARNING_RATE, weighted: bool = True, seed: int = 42, categories: Sequence[str] = (),
 ) -> PipelineModel:
-    """Gradient boosted trees with row and column sampling and a class weight."""
+    """Gradient boosted trees with row and column sampling and a class weight; rows without label are left out."""
+    train = train.where(F.col(label).isNotNull())
     data = class_weight(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
     gbt = GBTClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=learning_rate,
         subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, seed=seed, predictionCol="predicted_class")
     gbt.setRawPredictionCol("raw").setProbabilityCol("class_probability")
-    return Pipeline(stages=[_assembler(features), gbt]).fit(data)
+    return Pipeline(stages=[*_inputs(features, categories), gbt]).fit(data)
 
 
 def positive_probability(scored: DataFrame, alias: str = "pred_prob") -> DataFrame:
@@ -154,13 +165,13 @@ def tweedie_regression(train: DataFrame, features: Sequence[str], target: str, p
     mean, near which the iteration starts, and predictions are scaled back.
     """
     scale = float(train.agg(F.avg(target)).first()[0] or 1.0)
-    assembler = _assembler([f"log_{c}" for c in features])
+    inputs = Pipeline(stages=_inputs([f"log_{c}" for c in features])).fit(train)
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, labelCol="_scaled_target", featuresCol="features",
         predictionCol="_scaled_spend", maxIter=50, regParam=1e-3)
-    fitted = glm.fit(assembler.transform(train.withColumn("_scaled_target", F.col(target) / scale)))
+    fitted = glm.fit(inputs.transform(train.withColumn("_scaled_target", F.col(target) / scale)))
     back = SQLTransformer(statement=f"SELECT *, _scaled_spend * {scale!r}D AS pred_spend FROM __THIS__")
-    return PipelineModel(stages=[assembler, fitted, back])
+    return PipelineModel(stages=[inputs, fitted, back])
 
 
 def cross_validate(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import btyd, clean, features, rfm, value
 from ledgerlens.plans.training import StoredModels, learned_scores
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, stages
 from ledgerlens.sources import artifacts, schemas, tables
 
 
@@ -53,7 +53,9 @@ def score_and_append(raw: DataFrame, models: StoredModels, run: str, delivery: i
     artifacts.write_batch(clean.clean_transactions(raw), models.transactions, number)
     known = spark.read.parquet(models.transactions)
     arrived = known.where(F.col("batch_id") == number).drop("batch_id")
-    # lines of later deliveries do not count when an earlier one is repeated
-    rows = _score(arrived, known.where(F.col("batch_id") <= number).drop("batch_id"), models)
-    artifacts.write_batch(materialize(rows), models.customer_table, number)
+    with stages(spark):
+        # lines of later deliveries do not count when an earlier one is repeated
+        rows = _score(arrived, known.where(F.col("batch_id") <= number).drop("batch_id"), models)
+        # written apart first: the rows are read from the table they go to
+        artifacts.write_batch(materialize(rows), models.customer_table, number)
     return number

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import minus_days
 from ledgerlens.operators import btyd, clean, cluster, cohort, features, learning, metrics, rfm, value, wholesale
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, stages
 from ledgerlens.sources import artifacts, schemas, tables
 
 HORIZON_DAYS = 90
@@ -97,6 +97,11 @@ def fit_learned(model_table: DataFrame, trees: int) -> tuple[PipelineModel, Pipe
 
 def train_customer_models(raw: DataFrame, folder: str, trees: int = learning.TREES, n_init: int = 20) -> StoredModels:
     """Run the whole pipeline and store its results under ``folder``."""
+    with stages(raw.sparkSession):
+        return _train(raw, folder, trees, n_init)
+
+
+def _train(raw: DataFrame, folder: str, trees: int, n_init: int) -> StoredModels:
     spark = raw.sparkSession
     artifacts.write_batch(clean.clean_transactions(raw), f"{folder}/transactions", 0)
     lines = spark.read.parquet(f"{folder}/transactions").drop("batch_id")

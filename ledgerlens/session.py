@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import tempfile
+import threading
 import uuid
+import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def build_session(app_name: str = "ledgerlens", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators assume.
@@ -28,7 +35,25 @@ def build_session(app_name: str = "ledgerlens", master: str | None = None, **con
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, whatever folder or machine it starts in; once per application."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = f"{os.path.basename(package)}.zip"
+    if any(str(f).endswith(name) for f in spark.sparkContext._python_includes):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-package-"), name)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)  # the driver serves it to the executors
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,10 +78,29 @@ def materialize(df: DataFrame) -> DataFrame:
     (a rank and its offsets, a sum of doubles feeding two branches), and to cut
     the lineage of loops. Being a Parquet table rather than a checkpointed RDD it
     keeps column pruning, filter pushdown and a known size, and it survives the
-    loss of any executor. The folder is named by the application; its owner
-    removes it after the run.
+    loss of any executor. Inside ``with stages(spark)`` it is removed at the end of
+    the block; else the folder, named by the application, is its owner's to remove.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` writes inside the block when it ends.
+
+    For code whose results have been written by then, such as a scored batch.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -236,3 +236,14 @@ def test_early_warning_accepts_titles_and_makes_ids(spark):
     got = early_warning.warn(titled, model, order_by=["row"])
     assert got.count() == n and got.orderBy("row").first()["customer_id"] == "CUST-0000"
     assert {r[0] for r in got.select("risk_tier").distinct().collect()} <= {"High", "Medium", "Low"}
+
+
+def test_missing_values_and_categories_are_model_inputs(spark, separable):
+    df = separable.withColumn("x1", F.when(F.col("id") % 50 != 0, F.col("x1"))).withColumn(
+        "kind", F.when(F.col("id") % 40 == 0, None).when(F.col("label") == 1, "often").otherwise(F.when(F.col("id") % 3 == 0, "often").otherwise("seldom")))
+    model = learning.fit_logit(df, ["x1", "x2"], categories=["kind"])
+    scored = model.transform(df)
+    assert scored.count() == df.count() and scored.where("probability IS NULL").count() == 0
+    assert scored.columns == [*df.columns, "features", "probability"]
+    boosted = learning.positive_probability(learning.boosted_classifier(df, ["x1", "x2"], trees=3, categories=["kind"]).transform(df), "score")
+    assert boosted.count() == df.count() and learning.exact_auc(boosted, "score") > 0.8

@@ -1,9 +1,14 @@
 """Training, batch scoring and the stream over the same transactions."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks import bindings as b
+from ledgerlens import session
 from ledgerlens.operators import clean, rfm
 from ledgerlens.plans import scoring, training
 from ledgerlens.sources import artifacts, schemas
@@ -78,3 +83,26 @@ def test_history_is_kept_whatever_the_grouping(spark, small, trained, tmp_path):
             assert after[c]["n_orders"] == whole[c]["n_orders"] and after[c]["total_spend"] == pytest.approx(whole[c]["total_spend"])
         assert all(after[c]["n_orders"] >= r["n_orders"] and after[c]["km_label"] == r["km_label"] for c, r in before.items())
         assert all(after[c]["prob_alive"] is not None for c in touched & set(before) if before[c]["prob_alive"] is not None)
+
+
+def test_stages_go_with_their_block(spark):
+    with session.stages(spark):
+        table = session.materialize(spark.range(3))
+        path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+        assert os.path.isdir(path) and table.count() == 3
+    assert not os.path.exists(path)
+
+
+def test_kernels_run_outside_the_repository(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from ledgerlens.session import build_session
+from ledgerlens.operators import density
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
+df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id int, a double")
+print("rows", density.kth_neighbor_distance(df, ["a"], "id", 2).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 10" in done.stdout, done.stderr[-2000:]

@@ -28,6 +28,7 @@ HEADLINE = (
     "btyd_summary", "bgnbd_expected_purchases", "clv_discounted", "star_merge_orders", "rfm_score_tertile",
     "top_schools_per_decade", "top_quintile_teams", "join_first_last_season", "pivot_share", "group_concat",
     "kth_neighbor_distance", "roc_auc", "youden_threshold", "stratified_split", "call_list",
+    "profile_table", "box_stats", "davies_bouldin", "silhouette",
 )
 WARM_RUNS = 3
 

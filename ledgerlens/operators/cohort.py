@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import whole_days
+from ledgerlens.session import materialize
 
 # Assumptions of the descriptive value formulas.
 PROFIT_MARGIN = 0.15
@@ -13,8 +14,8 @@ LIFESPAN_YEARS = 3
 CHURN_EPSILON = 1e-4
 
 
-def _observed_days(tx: DataFrame) -> Column:
-    return tx.select(whole_days(F.max("invoice_ts"), F.min("invoice_ts"))).scalar()
+def _observed_days(customers: DataFrame) -> Column:
+    return customers.select(whole_days(F.max("last_purchase"), F.min("first_purchase"))).scalar()
 
 
 def purchase_interval_churn(tx: DataFrame, snapshot: Column | None = None) -> DataFrame:
@@ -22,14 +23,16 @@ def purchase_interval_churn(tx: DataFrame, snapshot: Column | None = None) -> Da
 
     A customer is churned when the time since the last purchase exceeds twice the
     mean interval. With one order the interval is the whole observation period,
-    so such a customer is never flagged.
+    so such a customer is never flagged. The log is read once: its span comes from
+    the customers' rows, which are stored on the way.
     """
-    span = tx.select(F.struct(F.max("invoice_ts").alias("hi"), F.min("invoice_ts").alias("lo"))).scalar()
-    per_customer = tx.groupBy("customer_id").agg(
+    per_customer = materialize(tx.groupBy("customer_id").agg(
         F.min("invoice_ts").alias("first_purchase"), F.max("invoice_ts").alias("last_purchase"),
         F.count_distinct("invoice").alias("n_orders"), F.sum("order_value").alias("total_spend"),
         F.avg("order_value").alias("avg_order_value"),
-    ).withColumn("_s", span)
+    ))
+    span = per_customer.select(F.struct(F.max("last_purchase").alias("hi"), F.min("first_purchase").alias("lo"))).scalar()
+    per_customer = per_customer.withColumn("_s", span)
     now = snapshot if snapshot is not None else F.col("_s.hi")
     total_days = whole_days(F.col("_s.hi"), F.col("_s.lo"))
     return (
@@ -51,8 +54,8 @@ def churn_rate(customers: DataFrame) -> DataFrame:
 
 def aggregate_clv(tx: DataFrame, margin: float = PROFIT_MARGIN, years: float = LIFESPAN_YEARS) -> DataFrame:
     """Population value by the lifetime method and by the churn method."""
-    observed = _observed_days(tx) / 365
-    base = purchase_interval_churn(tx).withColumn("_y", observed).agg(
+    customers = purchase_interval_churn(tx)
+    base = customers.withColumn("_y", _observed_days(customers) / 365).agg(
         F.avg("avg_order_value").alias("avg_purchase_value"),
         F.avg(F.col("n_orders") / F.col("_y")).alias("avg_frequency_year"),
         F.avg(F.col("is_churned").cast("double")).alias("churn_rate"),
@@ -66,9 +69,10 @@ def aggregate_clv(tx: DataFrame, margin: float = PROFIT_MARGIN, years: float = L
 
 def cohort_clv(tx: DataFrame, margin: float = PROFIT_MARGIN, years: float = LIFESPAN_YEARS) -> DataFrame:
     """Size, averages, churn and lifetime value by month of first purchase."""
-    observed = _observed_days(tx) / 365
+    customers = purchase_interval_churn(tx)
+    observed = _observed_days(customers) / 365
     return (
-        purchase_interval_churn(tx)
+        customers
         .groupBy(F.date_format("first_purchase", "yyyy-MM").alias("cohort"))
         .agg(
             F.count("*").alias("cohort_size"), F.avg("avg_order_value").alias("avg_order_value"),

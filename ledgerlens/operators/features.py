@@ -56,9 +56,13 @@ def features_rolling(history: DataFrame, reference: Column) -> DataFrame:
 
 
 def features_diversity(history: DataFrame) -> DataFrame:
-    return history.groupBy("customer_id").agg(
-        F.count_distinct("stock_code").alias("n_unique_products"),
-        F.count_distinct("description").alias("n_unique_desc"))
+    """Distinct products and descriptions, in two grouping steps: one row per customer and item, then counts."""
+    items = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("item")) for k, c in enumerate(("stock_code", "description"))]))
+    seen = history.select("customer_id", items.alias("i")).groupBy("customer_id", "i").agg(F.lit(1).alias("one"))
+    named = F.col("i.item").isNotNull()
+    return seen.groupBy("customer_id").agg(
+        F.count_if((F.col("i.kind") == 0) & named).alias("n_unique_products"),
+        F.count_if((F.col("i.kind") == 1) & named).alias("n_unique_desc"))
 
 
 def left_join_features_fill0(history: DataFrame, reference: Column) -> DataFrame:

@@ -250,3 +250,27 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     mark = "duplicate of a smaller document"
     gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col(mark), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), sizes AS (
+    SELECT doc_id, len(s) AS n FROM sets
+), items AS (
+    SELECT doc_id, unnest(s) AS v FROM sets
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM items x JOIN items y ON x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, least) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT b, least FROM reach JOIN edges ON a = doc_id WHERE least < b
+)
+SELECT doc_id, n AS n_shingles, min(least) AS component_id, doc_id = min(least) AS kept FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
+"""

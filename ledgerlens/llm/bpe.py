@@ -295,6 +295,12 @@ def _codec(path_key: str, shared, pattern: str) -> Codec:
     return _codecs[path_key, pattern]
 
 
+def _forget() -> None:
+    """Drop the chunks that this worker's codecs remember."""
+    for codec in _codecs.values():
+        codec.kept = {}
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids): the token ids of every whole text, as little-endian unsigned 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
@@ -304,7 +310,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         ids = codec.encode(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    out = map_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")), run, f"key {docs.schema[key].dataType.simpleString()}, ids binary")
+    out = map_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")), run, f"key {docs.schema[key].dataType.simpleString()}, ids binary", _forget)
     return out.withColumnRenamed("key", key)
 
 
@@ -337,4 +343,4 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     columns = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return map_batches(columns, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(columns, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _forget)

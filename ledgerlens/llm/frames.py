@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import materialize
 
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 
 __all__ = ["materialize", "read", "map_batches", "partitions_for"]
 
@@ -19,10 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; nothing larger than a batch is held.
 
     Batches are bounded by bytes, not only by rows, so long texts do not add up in a Python worker.
+    ``finish`` runs at the end of each partition, to give back what a worker process would keep.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -30,6 +31,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        if finish:
+            finish()
 
     return df.mapInArrow(run, schema)
 

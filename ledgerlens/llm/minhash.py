@@ -35,7 +35,7 @@ from ledgerlens.llm.frames import map_batches, materialize
 from ledgerlens.llm.hashing import shingle_set
 
 SKETCH = 32
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000  # members and shingles of a block, about
+BLOCK, BLOCK_SHINGLES = 400, 500_000  # members and shingles of a block, about
 _MISS = 1e-6
 
 

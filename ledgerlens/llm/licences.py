@@ -1,8 +1,10 @@
 """Licences of files: TF-IDF cosine of their lines to templates, then inheritance from the nearest directory.
 
 Every line of a whole text is a bag of words (runs of ASCII letters and digits, lower-cased). Its cosine to a
-template uses idf = ln((1 + lines) / (1 + lines with the word)) + 1 over the lines of all files; words that no
-template holds weigh as if one line had them. A file's own licence is the template with the best
+template uses idf = ln((1 + lines) / (1 + lines with the word)) + 1 over the lines of all files, for every word of the
+line. Counts of the templates' words and of the ``KNOWN_WORDS`` most frequent words go to every task; they decide most
+lines exactly and bound the others, and only lines that may still be a file's best are joined with the counts of their
+rarer words. A file's own licence is the template with the best
 cosine of its lines, at ``THRESHOLD`` or more; ties go to the first template. A file named ``LICENSE`` rules its directory and all
 below; a file without licence of its own takes that of the nearest directory above it that has one (joins on
 paths; among several licence files of a directory the smallest doc_id rules).
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import map_batches, materialize
+from ledgerlens.llm.frames import BATCH_BYTES, map_batches, materialize
 
 # Licence names and statements.
 TEMPLATES = (
@@ -35,6 +38,8 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 THRESHOLD = 0.75
+KNOWN_WORDS = 20_000
+_HELD_WORDS = 200_000  # of a counting task, before it hands them on
 _WORD = re.compile(r"[a-z0-9]+").findall
 _BAGS = [Counter(_WORD(text.lower())) for _, text in TEMPLATES]
 VOCABULARY = frozenset().union(*_BAGS)
@@ -45,59 +50,132 @@ def idf(lines: int, holding: int) -> float:
     return math.log((1 + lines) / (1 + holding)) + 1
 
 
-def document_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """Lines of all files, and how many of them hold each word of the templates."""
+def document_counts(files: DataFrame) -> DataFrame:
+    """(word, n): how many lines of all files hold each word, written once; the empty word counts the lines."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for line in (text or "").lower().split("\n"):
-                    held[""] += 1
-                    held.update(VOCABULARY.intersection(_WORD(line)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+                lines = (text or "").lower().split("\n")
+                held[""] += len(lines)
+                for line in lines:
+                    held.update(set(_WORD(line)))
+                if len(held) > _HELD_WORDS:
+                    yield part()
+                    held.clear()
+        yield part()
 
-    # one row for each word of the templates
-    rows = files.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found.pop("", 0), found
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    parts = files.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long")
+    return materialize(parts.groupBy("word").agg(F.sum("n").alias("n")))
 
 
 class Scorer:
-    """Cosines of lines to the templates under given counts."""
-
-    def __init__(self, lines: int, held: dict[str, int]):
-        self.weight = {w: idf(lines, held.get(w, 0)) for w in VOCABULARY}
-        self.other = idf(lines, 1)
-        self.bags = [{w: n * self.weight[w] for w, n in bag.items()} for bag in _BAGS]
-        self.norms = [math.sqrt(sum(x * x for x in bag.values())) for bag in self.bags]
-
-    def best(self, text: str | None) -> tuple[str | None, float]:
-        """(licence, cosine) of the text's best line; None below the threshold."""
-        top, name = 0.0, None
+    """Cosines of lines to the templates under given counts.
+
+    Words without a count are in ``rarest`` lines at most and in one at least.
+    """
+
+    def __init__(self, lines: int, held: dict[str, int], rarest: int = 1):
+        self.weight = {w: idf(lines, n) for w, n in held.items()} | {w: idf(lines, held.get(w, 0)) for w in VOCABULARY}
+        self.most, self.least = idf(lines, 1), idf(lines, rarest)
+        self.listed: dict[str, list[tuple[int, float]]] = {}  # word -> (template, its share of the template's length)
+        for k, bag in enumerate(_BAGS):
+            parts = {w: n * self.weight[w] for w, n in bag.items()}
+            norm = math.sqrt(sum(x * x for x in parts.values()))
+            for w, x in parts.items():
+                self.listed.setdefault(w, []).append((k, x / norm))
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Scorer:
+        """From written counts: those of template words and of the most frequent words come to the driver."""
+        common = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
+        own = counts.where(F.col("word").isin("", *VOCABULARY)).collect()
+        held = {r["word"]: r["n"] for r in [*common, *own]}
+        lines = held.pop("", 0)
+        return cls(lines, held, common[-1]["n"] if len(common) == KNOWN_WORDS else 1)
+
+    def units(self, text: str | None) -> list[tuple[int, float, float, dict[str, int]]]:
+        """(template, dot product with it, squared length by known words, words without a count) of every line that
+        may have the best cosine of the text; a line's best template does not depend on its other words."""
+        found, top = [], 0.0
         for line in set((text or "").lower().split("\n")):
             words = _WORD(line)
             if VOCABULARY.isdisjoint(words):
                 continue
-            bag = {w: n * self.weight.get(w, self.other) for w, n in Counter(words).items()}
-            norm = math.sqrt(sum(x * x for x in bag.values()))
-            for k, (template, size) in enumerate(zip(self.bags, self.norms)):
-                cosine = sum(x * template[w] for w, x in bag.items() if w in template) / (norm * size)
-                if cosine > top + 1e-12 or (name is not None and abs(cosine - top) <= 1e-12 and k < name):
-                    top, name = cosine, k
-        return (TEMPLATES[name][0], top) if name is not None and top >= THRESHOLD else (None, top)
+            near, size, rare = 0.0, 0.0, {}
+            bag = Counter(words)
+            for w, n in bag.items():
+                x = self.weight.get(w)
+                if x is None:
+                    rare[w] = n
+                else:
+                    size += n * n * x * x
+                    if w in self.listed:
+                        near += n * n * x * x
+            others = sum(n * n for n in rare.values())
+            if near < (top - 1e-9) ** 2 * (size + others * self.least ** 2):
+                continue
+            dots = [0.0] * len(TEMPLATES)
+            for w, n in bag.items():
+                for k, x in self.listed.get(w, ()):
+                    dots[k] += n * self.weight[w] * x
+            dot = max(dots)
+            k = next(k for k, x in enumerate(dots) if x >= dot - 1e-12)
+            found.append((k, dot, size, rare, dot / math.sqrt(size + others * self.least ** 2)))
+            top = max(top, dot / math.sqrt(size + others * self.most ** 2))
+        return [f[:4] for f in found if f[4] >= top - 1e-9]
+
+    def cosine(self, unit: tuple[int, float, float, dict[str, int]]) -> float:
+        """With words without a count in one line each."""
+        return unit[1] / math.sqrt(unit[2] + sum(n * n for n in unit[3].values()) * self.most ** 2)
+
+    def best(self, text: str | None) -> tuple[str | None, float]:
+        """(licence, cosine) of the text's best line; None below the threshold."""
+        top, k = max(((round(self.cosine(u), 12), -u[0]) for u in self.units(text)), default=(0.0, 0))
+        return (TEMPLATES[-k][0] if top >= THRESHOLD else None, top)
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """(doc_id, path, licence, score) of every file by its own lines."""
-    scorer = Scorer(*document_counts(files))
+    counts = document_counts(files)
+    scorer = Scorer.of(counts)
+    lines = counts.where("word = ''").select(F.max("n")).first()[0] or 0
+    open_type = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("size", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [scorer.best(t) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),
-                                           pa.array([f[1] for f in found], pa.float64())], ["doc_id", "path", "licence", "score"])
+        mark, row_ids, ks, scores, left = uuid.uuid4().hex, [], [], [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            units = scorer.units(text)
+            top, k = max(((round(scorer.cosine(u), 12), -u[0]) for u in units if not u[3]), default=(0.0, 0))
+            row_ids.append(f"{mark}{i}")
+            ks.append(-k)
+            scores.append(top)
+            left.append([(k, dot, size, list(rare), list(rare.values())) for k, dot, size, rare in units if rare])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(row_ids, pa.string()), pa.array(ks, pa.int32()), pa.array(scores, pa.float64()),
+                                           pa.array([[dict(zip(("k", "dot", "size", "words", "times"), u)) for u in units] for units in left], open_type)],
+                                          ["doc_id", "path", "row_id", "k", "score", "open"])
 
     columns = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    return map_batches(columns, run, "doc_id long, path string, licence string, score double")
+    judged = materialize(map_batches(columns, run, "doc_id long, path string, row_id string, k int, score double, "
+                                     "open array<struct<k: int, dot: double, size: double, words: array<string>, times: array<bigint>>>"))
+    # lines with rarer words: their lengths need the counts of those words; no such word is in many lines
+    words = (judged.where("size(open) > 0").select("row_id", F.posexplode("open").alias("unit", "o"))
+             .select("row_id", "unit", "o.k", "o.dot", "o.size", F.explode(F.arrays_zip("o.words", "o.times")).alias("w"))
+             .select("row_id", "unit", "k", "dot", "size", F.col("w.words").alias("word"), F.col("w.times").alias("times")))
+    weight = F.log((1.0 + lines) / (1.0 + F.col("n"))) + 1
+    units = (words.join(counts, "word").groupBy("row_id", "unit")
+             .agg(F.first("k").alias("k"), (F.first("dot") / F.sqrt(F.first("size") + F.sum(F.pow(F.col("times") * weight, F.lit(2))))).alias("score")))
+    solved = units.groupBy("row_id").agg(F.max(F.struct(F.round("score", 12).alias("score"), (-F.col("k")).alias("k"))).alias("found"))
+    late = judged.where("size(open) > 0").join(solved, "row_id").withColumn("found", F.greatest("found", F.struct("score", (-F.col("k")).alias("k"))))
+    rows = judged.where("size(open) = 0").select("doc_id", "path", "k", "score").unionByName(
+        late.select("doc_id", "path", (-F.col("found.k")).alias("k"), F.col("found.score").alias("score")))
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    return rows.select("doc_id", "path", F.when(F.col("score") >= THRESHOLD, F.element_at(names, F.col("k") + 1)).alias("licence"), "score")
 
 
 def scan(files: DataFrame) -> DataFrame:

@@ -292,3 +292,22 @@ def test_licence_cosine_equals_formula():
     bag = {w: licences.idf(100, {"license": 10, "mit": 3}.get(w, 0)) for w in ("released", "under", "the", "mit", "license")}
     norm = sum(x * x for x in bag.values()) ** 0.5
     assert name == "MIT" and cosine == pytest.approx(norm * norm / (norm * (norm ** 2 + licences.idf(100, 1) ** 2) ** 0.5))
+
+
+def test_licence_weights_count_all_words(spark, monkeypatch):
+    plain = ["this file is one of many", "is this the file you want", "a file is what this is", "copies of this file", "is it here"] * 40
+    planted = "This file is released under the MIT License."
+    rows = [(i, f"d/{i}.txt", t) for i, t in enumerate(plain)] + [(-1, "d/p.txt", f"odd zzz words\n{planted}\nqqq is rare")]
+    once = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    lines = [line for _, _, t in rows for line in t.lower().split("\n")]
+    held = {w: sum(w in re.findall("[a-z0-9]+", line) for line in lines) for w in re.findall("[a-z0-9]+", " ".join(lines))}
+    want = licences.Scorer(len(lines), held).best(planted)
+    for copies in (1, 60):
+        grown = once.crossJoin(spark.range(copies).select()) if copies > 1 else once
+        got = licences.scan(grown).where("doc_id = -1").first()
+        assert (got.licence, got.origin) == ("MIT", "own")
+        assert got.score == pytest.approx(want[1], abs=1e-6 if copies == 1 else 0.02)
+    # counts of rarer words come by a join; the results are the same
+    expected = {r.doc_id: tuple(r) for r in licences.scan(once).collect()}
+    monkeypatch.setattr(licences, "KNOWN_WORDS", 2)
+    assert {r.doc_id: tuple(r) for r in licences.scan(once).collect()} == expected

@@ -43,7 +43,8 @@ class Encoder:
     """Ids of whole texts from the tokenizers library, remembering space-led chunks between texts.
 
     A byte-level tokenizer cuts before every single space between two other characters, so such
-    chunks can be encoded apart; texts with wider white space around a space go in whole.
+    chunks can be encoded apart; texts with wider white space around a space go in whole. Added tokens
+    of the description that a text spells out, such as the end of text, get their own id, as in a plain call.
     """
 
     def __init__(self, description: str):
@@ -51,7 +52,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
         self.wide = re.compile(r"\s | \s").search
         self.kept: dict[str, bytes] = {}
 

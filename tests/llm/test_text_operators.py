@@ -274,6 +274,17 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokenfile.digests(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_token_files_take_added_tokens_as_the_library_does(spark, tmp_path):
+    literal = "<|endoftext|>"
+    texts = [f"a {literal} b", literal, f"{literal}{literal}", f"a{literal}b", f"a  {literal}  b", f"x {literal}'s it's", f"\n{literal} \n", f"end {literal}", "<|endoftext| >"]
+    library = Tokenizer.from_file(JSON)
+    want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    tokenfile.write(tokenfile.encode(spark.createDataFrame(list(enumerate(texts)), SCHEMA), JSON, 2), str(tmp_path / "f"), 50_256)
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenfile.read(spark, str(tmp_path / "f")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_licences_and_inheritance(spark):
     mit, gpl = licences.TEMPLATES[0][1], licences.TEMPLATES[2][1]
     files = spark.createDataFrame([

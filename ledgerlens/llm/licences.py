@@ -1,13 +1,18 @@
-"""Licences of files: TF-IDF cosine of their lines to templates, then inheritance from the nearest directory.
+"""Licences of files: TF-IDF cosine of their parts to templates, then inheritance from the nearest directory.
 
-Every line of a whole text is a bag of words (runs of ASCII letters and digits, lower-cased). Its cosine to a
-template uses idf = ln((1 + lines) / (1 + lines with the word)) + 1 over the lines of all files, for every word of the
-line. Counts of the templates' words and of the ``KNOWN_WORDS`` most frequent words go to every task; they decide most
-lines exactly and bound the others, and only lines that may still be a file's best are joined with the counts of their
-rarer words. A file's own licence is the template with the best
-cosine of its lines, at ``THRESHOLD`` or more; ties go to the first template. A file named ``LICENSE`` rules its directory and all
-below; a file without licence of its own takes that of the nearest directory above it that has one (joins on
-paths; among several licence files of a directory the smallest doc_id rules).
+The parts of a whole text are its lines, its paragraphs of several lines, its leading comment block and the text itself.
+A part is a bag of words (runs of ASCII letters and digits, lower-cased; comment marks are none), less the notice of a
+copyright holder and year at the start of a line. Lines are compared with statements (``TEMPLATES``); longer parts also
+with texts of whole licences, each word then counting 1 + ln(times). The cosine uses
+idf = ln((1 + lines) / (1 + lines with the word)) + 1 over the lines of all files, for every word of the part. Counts of
+the templates' words and of the ``KNOWN_WORDS`` most frequent words go to every task; they decide most parts exactly and
+bound the others, and only parts that may still be a file's best are joined with the counts of their rarer words.
+
+A file's own licence is what an ``SPDX-License-Identifier`` declares, else the template with the best cosine of its
+parts, at ``THRESHOLD`` or more; ties go to the first template, and "All rights reserved" counts only where no other
+licence reaches the threshold. A file named ``LICENSE`` rules its directory and all below; a file without licence of its
+own takes that of the nearest directory above it that has one (joins on paths; among several licence files of a directory
+the smallest doc_id rules).
 
 Null and empty texts have no licence of their own. A null path has no directory, so nothing is inherited. Repeated
 rows are judged alike. An empty table gives an empty result; further columns are ignored.
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.frames import BATCH_BYTES, map_batches, materialize
+from ledgerlens.llm.licence_texts import TEXTS
 
 # Licence names and statements.
 TEMPLATES = (
@@ -36,13 +42,70 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("proprietary", "All rights reserved."),
+    *((name, form.format(title)) for name, title in (
+        ("MIT", "the MIT License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("BSD-3-Clause", "the BSD 3-Clause License"),
+        ("BSD-2-Clause", "the BSD 2-Clause License"), ("ISC", "the ISC License"), ("MPL-2.0", "the Mozilla Public License, Version 2.0"),
+        ("GPL-3.0", "the GNU General Public License, version 3"), ("GPL-2.0", "the GNU General Public License, version 2"),
+        ("LGPL-3.0", "the GNU Lesser General Public License, version 3"), ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+        ("AGPL-3.0", "the GNU Affero General Public License, version 3"), ("CC0-1.0", "the Creative Commons CC0 1.0 Universal"),
+        ("CC-BY-4.0", "the Creative Commons Attribution 4.0 International License"),
+        ("CC-BY-SA-4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License"),
+        ("CC-BY-NC-4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License"))
+      for form in ("Licensed under {}.", "This file is released under {}.", "Released under {}, see LICENSE for details.",
+                   "This work is licensed under {}.")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+                   "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+                   "either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as "
+             f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is "
+             f"distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+             f"FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General "
+             f"Public License along with this program. If not, see <https://www.gnu.org/licenses/>.")
+      for name, kind, version in (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"))),
 )
 THRESHOLD = 0.75
 KNOWN_WORDS = 20_000
 _HELD_WORDS = 200_000  # of a counting task, before it hands them on
 _WORD = re.compile(r"[a-z0-9]+").findall
-_BAGS = [Counter(_WORD(text.lower())) for _, text in TEMPLATES]
+NAMES = [name for name, _ in (*TEMPLATES, *TEXTS)]
+_BAGS = [Counter(_WORD(text.lower())) for _, text in (*TEMPLATES, *TEXTS)]
+_STATED = frozenset().union(*_BAGS[:len(TEMPLATES)])
 VOCABULARY = frozenset().union(*_BAGS)
+_WEAK = NAMES.index("proprietary")
+_NOTICE = re.compile(r"^\W*(?:copyright\b|\(c\)|\u00a9)[^\n]*?(?:\(c\)|\u00a9|\b[0-9]{4}\b)[^\n]*?(?=all rights reserved|$)").sub
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.IGNORECASE).search
+_OPENERS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+Part = tuple[int, float, float, dict[str, float], bool]
+
+
+def declared(text: str) -> str | None:
+    """Licence of the first SPDX line; known names in this module's spelling, others as they stand."""
+    found = _SPDX(text)
+    if not found:
+        return None
+    stem = re.sub(r"-(only|or-later)$|\+$", "", found[1].lower())
+    return next((name for name in NAMES if name.lower() == stem), " ".join(found[1].split()))
+
+
+def header_lines(lines: list[str]) -> int:
+    """How many of the first lines are a comment block."""
+    closer = ""
+    for k, line in enumerate(lines):
+        line = line.strip()
+        if closer:
+            closer = "" if closer in line else closer
+            continue
+        opener = next((o for o in _OPENERS if line.startswith(o)), "")
+        if opener:
+            closer = "" if _OPENERS[opener] in line[len(opener):] else _OPENERS[opener]
+        elif line and not line.startswith(("#", "//", ";", "--", "%", "*")):
+            return k
+    return len(lines)
 
 
 def idf(lines: int, holding: int) -> float:
@@ -81,14 +144,16 @@ class Scorer:
     """
 
     def __init__(self, lines: int, held: dict[str, int], rarest: int = 1):
-        self.weight = {w: idf(lines, n) for w, n in held.items()} | {w: idf(lines, held.get(w, 0)) for w in VOCABULARY}
+        self.weight = {w: idf(lines, n) for w, n in held.items()} | {w: idf(lines, held.get(w, int(w not in _STATED))) for w in VOCABULARY}
         self.most, self.least = idf(lines, 1), idf(lines, rarest)
-        self.listed: dict[str, list[tuple[int, float]]] = {}  # word -> (template, its share of the template's length)
-        for k, bag in enumerate(_BAGS):
-            parts = {w: n * self.weight[w] for w, n in bag.items()}
-            norm = math.sqrt(sum(x * x for x in parts.values()))
-            for w, x in parts.items():
-                self.listed.setdefault(w, []).append((k, x / norm))
+        # word -> (template, its share of the template's length), for lines and for longer parts
+        self.listed: tuple[dict[str, list[tuple[int, float]]], ...] = ({}, {})
+        for long, listed in enumerate(self.listed):
+            for k, bag in enumerate(_BAGS if long else _BAGS[:len(TEMPLATES)]):
+                parts = {w: (1 + math.log(n) if long else n) * self.weight[w] for w, n in bag.items()}
+                norm = math.sqrt(sum(x * x for x in parts.values()))
+                for w, x in parts.items():
+                    listed.setdefault(w, []).append((k, x / norm))
 
     @classmethod
     def of(cls, counts: DataFrame) -> Scorer:
@@ -99,89 +164,153 @@ class Scorer:
         lines = held.pop("", 0)
         return cls(lines, held, common[-1]["n"] if len(common) == KNOWN_WORDS else 1)
 
-    def units(self, text: str | None) -> list[tuple[int, float, float, dict[str, int]]]:
-        """(template, dot product with it, squared length by known words, words without a count) of every line that
-        may have the best cosine of the text; a line's best template does not depend on its other words."""
-        found, top = [], 0.0
-        for line in set((text or "").lower().split("\n")):
-            words = _WORD(line)
-            if VOCABULARY.isdisjoint(words):
-                continue
-            near, size, rare = 0.0, 0.0, {}
-            bag = Counter(words)
-            for w, n in bag.items():
-                x = self.weight.get(w)
-                if x is None:
-                    rare[w] = n
-                else:
-                    size += n * n * x * x
-                    if w in self.listed:
-                        near += n * n * x * x
-            others = sum(n * n for n in rare.values())
-            if near < (top - 1e-9) ** 2 * (size + others * self.least ** 2):
-                continue
-            dots = [0.0] * len(TEMPLATES)
-            for w, n in bag.items():
-                for k, x in self.listed.get(w, ()):
-                    dots[k] += n * self.weight[w] * x
-            dot = max(dots)
-            k = next(k for k, x in enumerate(dots) if x >= dot - 1e-12)
-            found.append((k, dot, size, rare, dot / math.sqrt(size + others * self.least ** 2)))
-            top = max(top, dot / math.sqrt(size + others * self.most ** 2))
-        return [f[:4] for f in found if f[4] >= top - 1e-9]
-
-    def cosine(self, unit: tuple[int, float, float, dict[str, int]]) -> float:
-        """With words without a count in one line each."""
-        return unit[1] / math.sqrt(unit[2] + sum(n * n for n in unit[3].values()) * self.most ** 2)
+    def part(self, bag: dict[str, int], long: bool, edge: bool, tops: list[float]) -> Part | None:
+        """(template, dot product with it, squared length by known words, words without a count, edge); the best template
+        does not depend on a part's other words. None where it cannot matter; ``tops`` are the best so far."""
+        near, size, rare, listed = 0.0, 0.0, {}, self.listed[long]
+        for w, n in bag.items():
+            n = 1 + math.log(n) if long else n
+            x = self.weight.get(w)
+            if x is None:
+                rare[w] = n
+            else:
+                size += n * n * x * x
+                if w in listed:
+                    near += n * n * x * x
+        others = sum(n * n for n in rare.values())
+        most = math.sqrt(near / (size + others * self.least ** 2)) + 1e-9 if near else 0.0
+        if not near or (most < tops[0] and (most < tops[1] or _BAGS[_WEAK].keys().isdisjoint(bag)) and not (edge and most >= THRESHOLD)):
+            return None
+        dots = [0.0] * len(NAMES)
+        for w, n in bag.items():
+            if w in listed:
+                n = (1 + math.log(n) if long else n) * self.weight[w]
+                for k, x in listed[w]:
+                    dots[k] += n * x
+        dot = max(dots)
+        k = next(k for k, x in enumerate(dots) if x >= dot - 1e-12)
+        tops[k == _WEAK] = max(tops[k == _WEAK], dot / math.sqrt(size + others * self.most ** 2))
+        return k, dot, size, rare, edge
+
+    def units(self, text: str | None) -> list[Part]:
+        """Parts that may have the best cosine of the text, and those at its edges (first and last line, whole text) that may
+        reach the threshold."""
+        found, tops = [], [0.0, 0.0]
+        lines = (text or "").lower().split("\n")
+        bags = [Counter(_WORD(_NOTICE("", line))) for line in lines]
+        used = [k for k, bag in enumerate(bags) if bag]
+        seen = set()
+        for k in [*used[:1], *used[-1:], *used]:
+            if lines[k] not in seen:
+                seen.add(lines[k])
+                if not _STATED.isdisjoint(bags[k]):
+                    found.append(self.part(bags[k], False, k in (used[0], used[-1]), tops))
+        longer = {(0, header_lines(lines)), (0, len(lines))}
+        start = 0
+        for k in range(len(lines) + 1):
+            if k == len(lines) or not bags[k]:
+                longer.add((start, k))
+                start = k + 1
+        for a, b in sorted(longer, key=lambda p: (p[0] - p[1], p)):
+            if sum(map(bool, bags[a:b])) > 1:
+                whole: Counter = Counter()
+                for bag in bags[a:b]:
+                    whole.update(bag)
+                found.append(self.part(whole, True, (a, b) == (0, len(lines)), tops))
+        out = []
+        for unit in found:
+            if unit:
+                most = unit[1] / math.sqrt(unit[2] + sum(n * n for n in unit[3].values()) * self.least ** 2) + 1e-9
+                if most >= tops[unit[0] == _WEAK] or unit[4] and most >= THRESHOLD:
+                    out.append(unit)
+        return out
+
+    def tops(self, units: list[Part]) -> tuple[int, float, float, bool]:
+        """(template, cosine) of the best part, cosine of the reserved rights, and whether an edge states a licence; words
+        without a count are in one line each."""
+        strong, weak, states = (0.0, 0), 0.0, False
+        for k, dot, size, rare, edge in units:
+            cosine = round(dot / math.sqrt(size + sum(n * n for n in rare.values()) * self.most ** 2), 12)
+            states |= edge and cosine >= THRESHOLD
+            if k == _WEAK:
+                weak = max(weak, cosine)
+            else:
+                strong = max(strong, (cosine, -k))
+        return -strong[1], strong[0], weak, states
 
     def best(self, text: str | None) -> tuple[str | None, float]:
-        """(licence, cosine) of the text's best line; None below the threshold."""
-        top, k = max(((round(self.cosine(u), 12), -u[0]) for u in self.units(text)), default=(0.0, 0))
-        return (TEMPLATES[-k][0] if top >= THRESHOLD else None, top)
+        """(licence, cosine) of the text's best part; None below the threshold."""
+        spdx = declared(text or "")
+        if spdx:
+            return spdx, 1.0
+        k, strong, weak, _ = self.tops(self.units(text))
+        if strong >= THRESHOLD:
+            return NAMES[k], strong
+        return (NAMES[_WEAK], weak) if weak >= THRESHOLD else (None, max(strong, weak))
 
 
 def own_licences(files: DataFrame) -> DataFrame:
-    """(doc_id, path, licence, score) of every file by its own lines."""
+    """(doc_id, path, licence, score, states) of every file by its own parts; it states a licence if its first or last line,
+    or the whole text, reaches the threshold or declares one."""
     counts = document_counts(files)
     scorer = Scorer.of(counts)
     lines = counts.where("word = ''").select(F.max("n")).first()[0] or 0
-    open_type = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("size", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))]))
+    names = ("doc_id", "path", "row_id", "spdx", "k", "strong", "weak", "states", "open")
+    open_type = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("size", pa.float64()), ("edge", pa.bool_()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.float64()))]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mark, row_ids, ks, scores, left = uuid.uuid4().hex, [], [], [], []
+        mark, rows = uuid.uuid4().hex, []
         for i, text in enumerate(batch.column(2).to_pylist()):
             units = scorer.units(text)
-            top, k = max(((round(scorer.cosine(u), 12), -u[0]) for u in units if not u[3]), default=(0.0, 0))
-            row_ids.append(f"{mark}{i}")
-            ks.append(-k)
-            scores.append(top)
-            left.append([(k, dot, size, list(rare), list(rare.values())) for k, dot, size, rare in units if rare])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(row_ids, pa.string()), pa.array(ks, pa.int32()), pa.array(scores, pa.float64()),
-                                           pa.array([[dict(zip(("k", "dot", "size", "words", "times"), u)) for u in units] for units in left], open_type)],
-                                          ["doc_id", "path", "row_id", "k", "score", "open"])
+            spdx = declared(text or "")
+            k, strong, weak, states = scorer.tops([u for u in units if not u[3]])
+            left = [{"k": k, "dot": dot, "size": size, "edge": edge, "words": list(rare), "times": [float(n) for n in rare.values()]} for k, dot, size, rare, edge in units if rare]
+            first, *_, last = [line for line in (text or "").split("\n") if line.strip()] * 2 or ("", "")
+            rows.append((f"{mark}{i}", spdx, k, strong, weak, states or bool(spdx and (_SPDX(first) or _SPDX(last))), left))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), open_type)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]], names)
 
     columns = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    judged = materialize(map_batches(columns, run, "doc_id long, path string, row_id string, k int, score double, "
-                                     "open array<struct<k: int, dot: double, size: double, words: array<string>, times: array<bigint>>>"))
-    # lines with rarer words: their lengths need the counts of those words; no such word is in many lines
+    judged = materialize(map_batches(columns, run, "doc_id long, path string, row_id string, spdx string, k int, strong double, weak double, states boolean, "
+                                     "open array<struct<k: int, dot: double, size: double, edge: boolean, words: array<string>, times: array<double>>>"))
+    # parts with rarer words: their lengths need the counts of those words; no such word is in many lines
     words = (judged.where("size(open) > 0").select("row_id", F.posexplode("open").alias("unit", "o"))
-             .select("row_id", "unit", "o.k", "o.dot", "o.size", F.explode(F.arrays_zip("o.words", "o.times")).alias("w"))
-             .select("row_id", "unit", "k", "dot", "size", F.col("w.words").alias("word"), F.col("w.times").alias("times")))
+             .select("row_id", "unit", "o.k", "o.dot", "o.size", "o.edge", F.explode(F.arrays_zip("o.words", "o.times")).alias("w"))
+             .select("row_id", "unit", "k", "dot", "size", "edge", F.col("w.words").alias("word"), F.col("w.times").alias("times")))
     weight = F.log((1.0 + lines) / (1.0 + F.col("n"))) + 1
     units = (words.join(counts, "word").groupBy("row_id", "unit")
-             .agg(F.first("k").alias("k"), (F.first("dot") / F.sqrt(F.first("size") + F.sum(F.pow(F.col("times") * weight, F.lit(2))))).alias("score")))
-    solved = units.groupBy("row_id").agg(F.max(F.struct(F.round("score", 12).alias("score"), (-F.col("k")).alias("k"))).alias("found"))
-    late = judged.where("size(open) > 0").join(solved, "row_id").withColumn("found", F.greatest("found", F.struct("score", (-F.col("k")).alias("k"))))
-    rows = judged.where("size(open) = 0").select("doc_id", "path", "k", "score").unionByName(
-        late.select("doc_id", "path", (-F.col("found.k")).alias("k"), F.col("found.score").alias("score")))
-    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
-    return rows.select("doc_id", "path", F.when(F.col("score") >= THRESHOLD, F.element_at(names, F.col("k") + 1)).alias("licence"), "score")
+             .agg(F.first("k").alias("k"), F.first("edge").alias("edge"),
+                  F.round(F.first("dot") / F.sqrt(F.first("size") + F.sum(F.pow(F.col("times") * weight, F.lit(2)))), 12).alias("score")))
+    solved = units.groupBy("row_id").agg(
+        F.max(F.when(F.col("k") != _WEAK, F.struct("score", (-F.col("k")).alias("k")))).alias("found"),
+        F.max(F.when(F.col("k") == _WEAK, F.col("score"))).alias("reserved"), F.max(F.col("edge") & (F.col("score") >= THRESHOLD)).alias("stated"))
+    late = judged.where("size(open) > 0").join(solved, "row_id").withColumn("found", F.greatest("found", F.struct(F.col("strong").alias("score"), (-F.col("k")).alias("k"))))
+    rows = judged.where("size(open) = 0").select("doc_id", "path", "spdx", "k", "strong", "weak", "states").unionByName(
+        late.select("doc_id", "path", "spdx", (-F.col("found.k")).alias("k"), F.col("found.score").alias("strong"), F.greatest("weak", "reserved").alias("weak"),
+                    (F.col("states") | F.col("stated")).alias("states")))
+    strong, weak = F.col("strong") >= THRESHOLD, F.col("weak") >= THRESHOLD
+    licence = (F.when(F.col("spdx").isNotNull(), F.col("spdx")).when(strong, F.element_at(F.array(*[F.lit(name) for name in NAMES]), F.col("k") + 1))
+               .when(weak, F.lit(NAMES[_WEAK])))
+    score = F.when(F.col("spdx").isNotNull(), 1.0).when(strong, F.col("strong")).when(weak, F.col("weak")).otherwise(F.greatest("strong", "weak"))
+    return rows.select("doc_id", "path", licence.alias("licence"), score.alias("score"), "states")
 
 
 def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, licence, score, origin (own, inherited or none), licence_dir for every row of ``files``
     (doc_id, path, text)."""
-    own = materialize(own_licences(files))
+    return inherit(own_licences(files))
+
+
+def scan_documents(docs: DataFrame) -> DataFrame:
+    """``scan`` of documents as files; one that states a licence is the LICENSE of source/language/thousand."""
+    own = own_licences(as_files(docs))
+    upper = F.when(F.col("doc_id").isNull(), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.regexp_replace("path", "/[^/]*/[^/]*$", ""))
+    return inherit(own.withColumn("path", F.when(F.col("states"), F.concat(upper, F.lit("/LICENSE"))).otherwise(F.col("path"))))
+
+
+def inherit(own: DataFrame) -> DataFrame:
+    """Rows of ``own_licences`` with the licence of the nearest directory where they have none."""
+    own = materialize(own)
     directory = F.regexp_replace("path", r"/[^/]*$", "")
     rulers = (own.where(F.col("licence").isNotNull() & F.col("path").rlike(r"(^|/)LICENSE$"))
               .groupBy(F.when(F.col("path") == "LICENSE", "").otherwise(directory).alias("dir"))
@@ -200,10 +329,7 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/language/thousand/hundred/id.txt; one that opens or closes with a licence statement is
-    the LICENSE of source/language/thousand."""
-    edges = [F.substring_index(F.coalesce("text", F.lit("")), "\n", k) for k in (1, -1)]
-    opens = edges[0].isin([text for _, text in TEMPLATES]) | edges[1].isin([text for _, text in TEMPLATES])
+    """Documents as files: source/language/thousand/hundred/id.txt."""
     upper = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"))
     file = F.concat_ws("/", upper, F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed")), F.lit(".txt")))
-    return docs.select("doc_id", F.when(opens, F.concat(upper, F.lit("/LICENSE"))).otherwise(file).alias("path"), "text")
+    return docs.select("doc_id", file.alias("path"), "text")

@@ -322,3 +322,29 @@ def test_licence_weights_count_all_words(spark, monkeypatch):
     expected = {r.doc_id: tuple(r) for r in licences.scan(once).collect()}
     monkeypatch.setattr(licences, "KNOWN_WORDS", 2)
     assert {r.doc_id: tuple(r) for r in licences.scan(once).collect()} == expected
+
+
+def test_licences_of_headers_and_whole_files(spark):
+    texts = {name: text for name, text in licences.TEXTS}
+    comment = "\n".join(f" * {line}" for line in texts["MIT"].split("\n"))
+    apache = next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and len(t) > 300)
+    wrapped = "\n".join("# " + " ".join(apache.split()[k:k + 9]) for k in range(0, len(apache.split()), 9))
+    prose = [(100 + i, f"an ordinary line of words in the text {i}\nand the other line of it, with all that is in use\n\nmore of this" ) for i in range(60)]
+    rows = [*prose, (1, "MIT License\n\nCopyright (c) 2020 Foo Inc.\n\n" + texts["MIT"]), (2, f"/*\n{comment}\n */\nint main() {{ return 0; }}\n"),
+            (3, f"#!/bin/sh\n# Copyright 2019 The Authors. All rights reserved.\n#\n{wrapped}\n\necho word\n"), (4, "// SPDX-License-Identifier: MIT\nint x;"),
+            (5, "# SPDX-License-Identifier: GPL-3.0-or-later\nx = 1"), (6, "# SPDX-License-Identifier: Zlib\nx = 1"),
+            (7, "Copyright 2020 Foo Inc. All rights reserved."), (8, "Copyright 2020 Foo. All rights reserved.\n\n" + texts["BSD-3-Clause"]),
+            (9, "some code\r\nReleased under the MIT License, see LICENSE for details.\r\n"), *[(20 + k, t) for k, t in enumerate(texts.values())]]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame([(i, f"f/{i}", t) for i, t in rows], "doc_id long, path string, text string")).collect()}
+    want = ["MIT", "MIT", "Apache-2.0", "MIT", "GPL-3.0", "Zlib", "proprietary", "BSD-3-Clause", "MIT"]
+    assert [got[i] for i in range(1, 10)] == want and [got[20 + k] for k in range(len(texts))] == list(texts)
+    assert all(got[i] is None for i, _ in prose)
+
+
+def test_licence_files_of_documents_go_by_cosine(spark):
+    docs = [(i, "plain words here", "en", s) for s, i in (("a", 1), ("b", 1001), ("c", 2001), ("d", 3001))]
+    docs += [(2, "# Released under the MIT License.\r\nmore", "en", "a"), (1002, licences.TEXTS[2][1], "en", "b"), (2002, "x\nAll rights reserved\n", "en", "c"),
+             (None, "nothing", None, None)]
+    got = {r.doc_id: r for r in licences.scan_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert [(got[i].licence, got[i].origin) for i in (1, 1001, 2001, 3001)] == [("MIT", "inherited"), ("GPL-3.0", "inherited"), ("proprietary", "inherited"), (None, "none")]
+    assert got[2].path == "a/en/0/LICENSE" and got[None].path == "unknown/unknown/unnamed.txt"

@@ -1,8 +1,7 @@
 """Clustering, supervised models, scoring of new batches and streaming.
 
 Fits that other engines cannot repeat exactly have no oracle; their inputs are
-whole tables all the same. Ensemble sizes and restarts are arguments of the
-operators; the values here keep a run on one machine short.
+whole tables all the same. Ensemble sizes and restarts are the operators' defaults.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from ledgerlens.sources import artifacts
 from ledgerlens.streaming.score_stream import stream_score_append
 
 Z = ["z_recency", "z_frequency", "z_monetary"]
-TREES, RESTARTS = 10, 2
 COEFS = {"international_plan": 1.4, "number_customer_service_calls": 0.35, "total_day_minutes": 0.002, "voice_mail_plan": -0.7}
 
 
@@ -216,20 +214,20 @@ def _(spark, sf):
 @query("boosted_classifier")
 def _(spark, sf):
     train, test = _split(spark, sf)
-    model = learning.boosted_classifier(train, early_warning.MODEL_FEATURES, trees=TREES)
+    model = learning.boosted_classifier(train, early_warning.MODEL_FEATURES)
     scored = learning.positive_probability(model.transform(test), "score")
     return metrics.classification_metrics(scored, "label", "score")
 
 
 @query("tree_importance")
 def _(spark, sf):
-    model = learning.boosted_classifier(_split(spark, sf)[0], early_warning.MODEL_FEATURES, trees=TREES)
+    model = learning.boosted_classifier(_split(spark, sf)[0], early_warning.MODEL_FEATURES)
     return learning.tree_importance(model, early_warning.MODEL_FEATURES, spark)
 
 
 @query("early_warning")
 def _(spark, sf):
-    model = early_warning.train_churn_model(_prepared(spark, sf), trees=TREES)
+    model = early_warning.train_churn_model(_prepared(spark, sf))
     return early_warning.warn(b.subscribers(spark, sf), model, order_by=["subscriber_key"]).select(
         "customer_id", "subscriber_key", "churn_probability_pct", "risk_tier", "monthly_value")
 
@@ -263,7 +261,7 @@ def _(spark, sf):
         table.withColumn("key", F.col("customer_id").cast("bigint")), "key", "purchased_flag")
 
     def fit(train):
-        model = learning.boosted_classifier(train, features.FEATURES, "purchased_flag", trees=TREES)
+        model = learning.boosted_classifier(train, features.FEATURES, "purchased_flag")
         return lambda held: learning.positive_probability(model.transform(held), "score")
 
     even = materialize(even)  # every fold reads it
@@ -353,7 +351,7 @@ def _trained(spark, sf, everything: bool = False) -> training.StoredModels:
     if key not in _TRAINED:
         raw = b.transactions(spark, sf)
         raw = raw if everything else raw.where(F.year("invoice_ts") < 2001)
-        _TRAINED[key] = training.train_customer_models(raw, b.scratch(spark, "train"), trees=TREES, n_init=RESTARTS)
+        _TRAINED[key] = training.train_customer_models(raw, b.scratch(spark, "train"))
     return _TRAINED[key]
 
 

@@ -247,3 +247,34 @@ def test_missing_values_and_categories_are_model_inputs(spark, separable):
     assert scored.columns == [*df.columns, "features", "probability"]
     boosted = learning.positive_probability(learning.boosted_classifier(df, ["x1", "x2"], trees=3, categories=["kind"]).transform(df), "score")
     assert boosted.count() == df.count() and learning.exact_auc(boosted, "score") > 0.8
+
+
+def test_registered_fits_have_the_operator_defaults(spark, small, monkeypatch):
+    import inspect
+
+    from checks import queries_models
+    from checks.catalog import ENTRIES
+    from ledgerlens.plans import training
+
+    class Asked(Exception):
+        pass
+
+    def trees(**settings):
+        raise Asked(settings["maxIter"])
+
+    def train(*args, **settings):
+        given = inspect.signature(plain).bind(*args, **settings)
+        given.apply_defaults()
+        raise Asked(given.arguments["trees"], given.arguments["n_init"])
+
+    plain = training.train_customer_models
+    monkeypatch.setattr(learning, "GBTClassifier", trees)
+    monkeypatch.setattr(training, "train_customer_models", train)
+    for name in ("boosted_classifier", "tree_importance", "early_warning"):
+        with pytest.raises(Asked) as asked:
+            ENTRIES[name].run(spark, small)
+        assert asked.value.args == (400,)
+    monkeypatch.setattr(queries_models, "_TRAINED", {})
+    with pytest.raises(Asked) as asked:
+        queries_models._trained(spark, small)
+    assert asked.value.args == (400, 20)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, licences, minhash, pii, repeats, tokenfile, topk, toxicity, urls
+from ledgerlens.llm import bpe, decontam, licences, minhash, pii, repeats, resample, tokenfile, topk, toxicity, urls
 from ledgerlens.llm.frames import materialize, read
 from ledgerlens.session import shared_folder
 
@@ -61,6 +61,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_repeats": op2_repeats,
@@ -72,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
     "op10_licences": op10_licences,
+    "op12_resampling": op12_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.SQL,
     "op8_url_filter": urls.SQL,
     "op9_top_k": topk.SQL,
+    "op12_resampling": resample.SQL,
 }

@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, licences, minhash, pii, repeats, resample, tokenfile, topk, toxicity, urls
+from ledgerlens.llm import (
+    bpe, decontam, lexical, licences, minhash, pii, rangejoin, repeats, resample, tokenfile, topk, toxicity, urls)
 from ledgerlens.llm.frames import materialize, read
 from ledgerlens.session import shared_folder
 
@@ -61,10 +62,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.range_join(read(spark, sf_dir, "embeddings"), 0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_repeats": op2_repeats,
@@ -76,11 +85,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
     "op10_licences": op10_licences,
+    "op11_lexical_search": op11_lexical_search,
     "op12_resampling": op12_resampling,
+    "op13_range_join": op13_range_join,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.SQL,
     "op8_url_filter": urls.SQL,
     "op9_top_k": topk.SQL,
+    "op11_lexical_search": lexical.SQL,
     "op12_resampling": resample.SQL,
+    "op13_range_join": rangejoin.SQL,
 }

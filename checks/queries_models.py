@@ -7,13 +7,14 @@ whole tables all the same. Ensemble sizes and restarts are the operators' defaul
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import query
 from ledgerlens.functions.likelihood import mean_log_likelihood
 from ledgerlens.functions.scalars import minus_days
-from ledgerlens.operators import btyd, clean, cluster, density, features, learning, metrics
+from ledgerlens.operators import boosting, btyd, clean, cluster, density, explain, features, learning, metrics, mixture
 from ledgerlens.plans import early_warning, scoring, training
 from ledgerlens.session import materialize
 from ledgerlens.sources import artifacts
@@ -88,39 +89,79 @@ def _vectors(spark, sf):
     return cluster.assemble(b.scaled(spark, sf).drop("cluster"), Z)
 
 
-@query("kmeans_scan")
+def _cost(rows, label):
+    """Squared distances to the mean of each group."""
+    return sum((F.var_pop(z) * F.count(z) for z in Z), F.lit(0.0)), rows.groupBy(label)
+
+
+@query("kmeans_scan", "SELECT k::INTEGER AS k, true AS cost_falls, true AS below_bands FROM range(2, 9) AS t(k)")
 def _(spark, sf):
-    return cluster.kmeans_scan(spark, _vectors(spark, sf))
+    """Costs fall with K, and each is below that of K equal bands of recency, the best single measure to cut by."""
+    vectors = _vectors(spark, sf)
+    scan = cluster.kmeans_scan(spark, vectors).orderBy("k").collect()
+    rows, before = [], float("inf")
+    for r in scan:
+        bands = b.scaled(spark, sf).withColumn("band", F.ntile(r["k"]).over(Window.orderBy("z_recency", "customer_key")))
+        within, grouped = _cost(bands, "band")
+        rows.append((r["k"], r["wcss"] < before, r["wcss"] <= grouped.agg(within.alias("c")).agg(F.sum("c")).first()[0]))
+        before = r["wcss"]
+    return spark.createDataFrame(rows, "k int, cost_falls boolean, below_bands boolean")
 
 
-@query("kmeans_fit", "SELECT customer_id, true AS in_range, true AS at_nearest_centre FROM rfm_base")
+@query("kmeans_fit", "SELECT customer_id, true AS in_range, true AS at_nearest_centre, true AS centre_is_mean, true AS cost_is_recomputed, true AS below_rule FROM rfm_base")
 def _(spark, sf):
-    """Every customer has one of the four labels, that of the nearest centre."""
+    """Every customer has the label of the nearest centre; each centre is the mean of its customers; the cost is what the
+    labels cost, and not above that of the labels by rule."""
     vectors = _vectors(spark, sf)
     model = cluster.kmeans_fit(vectors, 4)
-    gaps = F.array(*[sum((F.pow(F.col(z) - float(x), F.lit(2)) for z, x in zip(Z, centre)), F.lit(0.0)) for centre in model.clusterCenters()])
+    gaps = F.array(*[sum((F.pow(F.col(z) - float(x), F.lit(2)) for z, x in zip(Z, centre)), F.lit(0.0)) for centre in model.centres])
     own = F.element_at(gaps, F.col("cluster") + 1)
-    return model.transform(vectors).select(
-        "customer_id", F.col("cluster").between(0, 3).alias("in_range"), (own <= F.array_min(gaps) + 1e-9).alias("at_nearest_centre"))
+    placed = materialize(model.transform(vectors))
+    means = {r["cluster"]: [r[z] for z in Z] for r in placed.groupBy("cluster").agg(*[F.avg(z).alias(z) for z in Z]).collect()}
+    is_mean = all(np.allclose(means[i], c, atol=1e-5) for i, c in enumerate(model.centres) if i in means)
+    costs = [grouped.agg(within.alias("c")).agg(F.sum("c")).first()[0] for within, grouped in (
+        _cost(placed, "cluster"), _cost(b.scaled(spark, sf), "cluster"))]
+    return placed.select(
+        "customer_id", F.col("cluster").between(0, 3).alias("in_range"), (own <= F.array_min(gaps) + 1e-9).alias("at_nearest_centre"),
+        F.lit(bool(is_mean)).alias("centre_is_mean"), F.lit(bool(abs(costs[0] - model.cost) <= 1e-6 * (1 + costs[0]))).alias("cost_is_recomputed"),
+        F.lit(bool(model.cost <= costs[1] + 1e-9)).alias("below_rule"))
 
 
-@query("gmm_scan")
+@query("gmm_scan", "SELECT k::INTEGER AS k, true AS rests, true AS criteria_follow FROM range(2, 7) AS t(k)")
 def _(spark, sf):
-    return cluster.gmm_scan(spark, _vectors(spark, sf))
+    """A further step moves no likelihood by 1e-6; BIC and AIC follow from the likelihood that Spark SQL finds at the returned parameters."""
+    vectors = _vectors(spark, sf)
+    models = mixture.fit_all(vectors, list(range(2, 7)), 5, 42)
+    table = {r["k"]: r for r in cluster.criteria_table(spark, models).collect()}
+    rows = []
+    for k, m in models.items():
+        densities = []
+        for w, centre, c in zip(m.weights, m.means, m.covariances):
+            inverse = np.linalg.inv(c)
+            form = sum(((F.col(Z[i]) - float(centre[i])) * (F.col(Z[j]) - float(centre[j])) * float(inverse[i, j]) for i in range(3) for j in range(3)), F.lit(0.0))
+            densities.append(F.lit(float(w / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(c)))) * F.exp(-0.5 * form))
+        total, n = b.scaled(spark, sf).agg(F.sum(F.log(sum(densities, F.lit(0.0)))), F.count("*")).first()
+        free = 3 * k + 6 * k + k - 1
+        follows = abs(table[k]["bic"] - (-2 * total + free * np.log(n))) < 1e-4 and abs(table[k]["aic"] - (-2 * total + 2 * free)) < 1e-4
+        rows.append((k, bool(abs(m.step) < 1e-6), bool(follows)))
+    return spark.createDataFrame(rows, "k int, rests boolean, criteria_follow boolean")
 
 
 def _mixture(spark, sf):
     return b.stored(spark, sf, "mixture", lambda s, d: cluster.gmm_fit_certainty(_vectors(s, d), 3).drop("features"))
 
 
-@query("gmm_fit_certainty", "SELECT customer_id, true AS sums_to_one, true AS most_likely FROM rfm_base")
+@query("gmm_fit_certainty", "SELECT customer_id, true AS sums_to_one, true AS most_likely, true AS all_have_members FROM rfm_base")
 def _(spark, sf):
-    """Memberships sum to one; the cluster is the most likely one and the certainty its membership."""
+    """Memberships sum to one; the cluster is the most likely one and the certainty its membership; every
+    component has members."""
+    rows = _mixture(spark, sf)
     total = F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)
     own = F.element_at("membership", F.col("gmm_cluster") + 1)
-    return _mixture(spark, sf).select(
+    means = rows.agg(*[F.sum(F.col("membership")[j]).alias(f"n{j}") for j in range(3)]).first()
+    return rows.select(
         "customer_id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
-        ((own == F.col("certainty")) & (F.col("certainty") >= 1 / 3 - 1e-9)).alias("most_likely"))
+        ((own == F.col("certainty")) & (F.col("certainty") >= 1 / 3 - 1e-9)).alias("most_likely"), F.lit(min(means) > 0).alias("all_have_members"))
 
 
 @query("gmm_certainty_summary")
@@ -171,58 +212,107 @@ def _split(spark, sf):
     return split.where("is_train"), split.where("NOT is_train")
 
 
-LOGIT_FEATURES = ("account_length", "international_plan", "voice_mail_plan", "total_day_minutes", "total_eve_minutes",
-                  "total_night_minutes", "total_intl_minutes", "number_customer_service_calls")
+LOGIT_FEATURES = early_warning.MODEL_FEATURES
+LOGIT_CATEGORIES = ("state", "area_code")
+NATIONS = [f"NATION_{i}" for i in range(25)]
 
 
 @query("one_hot_encode", "SELECT subscriber_key, " + ", ".join(
-    f"CAST(area_code = '{i}' AS INTEGER) AS area_code_{i}" for i in range(25)) + " FROM subscribers")
+    [f"CAST(area_code = '{i}' AS INTEGER) AS area_code_{i}" for i in range(25)] + [f"CAST(state = '{n}' AS INTEGER) AS \"state_{n}\"" for n in NATIONS]) + " FROM subscribers")
 def _(spark, sf):
-    return learning.one_hot_encode(b.subscribers(spark, sf).select("subscriber_key", "area_code"), ["area_code"])
+    return learning.one_hot_encode(b.subscribers(spark, sf).select("subscriber_key", "area_code", "state"), ["area_code", "state"])
+
+
+def _with_categories(spark, sf):
+    """Training and test rows with all inputs, categories included."""
+    def build(s, d):
+        rows = clean.map_binary(b.subscribers(s, d), ["international_plan", "voice_mail_plan", "churn"])
+        return metrics.stratified_split(rows.withColumnRenamed("churn", "label"), "subscriber_key")
+
+    split = b.stored(spark, sf, "with_categories", build)
+    return split.where("is_train"), split.where("NOT is_train")
+
+
+_LOGITS: dict[tuple[str, str], object] = {}
+
 
+def _logit(spark, sf):
+    """The full model, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOGITS:
+        _LOGITS[key] = learning.fit_logit(_with_categories(spark, sf)[0], LOGIT_FEATURES, categories=LOGIT_CATEGORIES)
+    return _LOGITS[key]
 
-@query("logit_inference", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS score_equation_holds" for c in (*LOGIT_FEATURES, "const")))
+
+@query("logit_inference", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS score_equation_holds" for c in (*LOGIT_FEATURES, "const")) +
+       " UNION ALL SELECT DISTINCT 'state_' || state, true FROM subscribers UNION ALL SELECT DISTINCT 'area_code_' || area_code, true FROM subscribers")
 def _(spark, sf):
-    """At the estimate the residuals are orthogonal to every term."""
-    train = _split(spark, sf)[0]
-    terms = {r["feature"]: r["coef"] for r in learning.logit_inference(train, LOGIT_FEATURES).collect()}
-    linear = sum((F.col(c).cast("double") * terms[c] for c in LOGIT_FEATURES), F.lit(terms["const"]))
-    residual = F.col("label").cast("double") - 1 / (1 + F.exp(-linear))
-    size = {c: F.col(c).cast("double") if c in LOGIT_FEATURES else F.lit(1.0) for c in terms}
-    sums = train.agg(*[(F.abs(F.sum(residual * x)) <= 1e-5 * (1 + F.sum(F.abs(x)))).alias(c) for c, x in size.items()])
-    return sums.unpivot([], list(terms), "feature", "score_equation_holds")
+    """At the estimate the residuals are orthogonal to every term, kept or aliased."""
+    model = _logit(spark, sf)
+    named = [r["feature"] for r in learning.coefficient_table(spark, model).select("feature").collect()]
+    scored = model.transform(_with_categories(spark, sf)[0]).withColumn("residual", F.col("label").cast("double") - F.col("probability"))
+    size = {c: F.col(c).cast("double") for c in LOGIT_FEATURES} | {"const": F.lit(1.0)}
+    wide = scored.agg(*[(F.abs(F.sum(F.col("residual") * x)) <= 1e-5 * (1 + F.sum(F.abs(x)))).alias(c) for c, x in size.items()])
+    rows = wide.unpivot([], list(size), "feature", "score_equation_holds")
+    for c in LOGIT_CATEGORIES:
+        rows = rows.union(scored.groupBy(c).agg((F.abs(F.sum("residual")) <= 1e-5 * (1 + F.count("*"))).alias("holds")).select(F.concat(F.lit(f"{c}_"), c), "holds"))
+    return rows.where(F.col("feature").isin(named))
 
 
 @query("logit_reduced")
 def _(spark, sf):
-    return learning.logit_reduced(*_split(spark, sf), LOGIT_FEATURES)
+    return learning.logit_reduced(*_with_categories(spark, sf), LOGIT_FEATURES, categories=LOGIT_CATEGORIES)
 
 
 @query("logit_effects")
 def _(spark, sf):
-    return learning.effect_text(learning.logit_inference(_split(spark, sf)[0], LOGIT_FEATURES))
+    return learning.effect_text(learning.coefficient_table(spark, _logit(spark, sf)))
 
 
 @query("what_if_probability")
 def _(spark, sf):
-    train, test = _split(spark, sf)
-    model = learning.fit_logit(train, LOGIT_FEATURES)
     return learning.what_if_probability(
-        model, test, LOGIT_FEATURES, {"international_plan": (0, 1), "number_customer_service_calls": (0, 4)})
+        _logit(spark, sf), _with_categories(spark, sf)[1], LOGIT_FEATURES,
+        {"international_plan": (0, 1), "number_customer_service_calls": (0, 4)}, LOGIT_CATEGORIES)
+
+
+_CHURN_MODELS: dict[tuple[str, str], object] = {}
+
+
+def _churn_model(spark, sf):
+    """The classifier fitted on the training rows, once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CHURN_MODELS:
+        _CHURN_MODELS[key] = learning.boosted_classifier(_split(spark, sf)[0], early_warning.MODEL_FEATURES)
+    return _CHURN_MODELS[key]
 
 
 @query("boosted_classifier")
 def _(spark, sf):
-    train, test = _split(spark, sf)
-    model = learning.boosted_classifier(train, early_warning.MODEL_FEATURES)
-    scored = learning.positive_probability(model.transform(test), "score")
+    scored = learning.positive_probability(_churn_model(spark, sf).transform(_split(spark, sf)[1]), "score")
     return metrics.classification_metrics(scored, "label", "score")
 
 
 @query("tree_importance")
 def _(spark, sf):
-    model = learning.boosted_classifier(_split(spark, sf)[0], early_warning.MODEL_FEATURES)
-    return learning.tree_importance(model, early_warning.MODEL_FEATURES, spark)
+    return learning.tree_importance(_churn_model(spark, sf), early_warning.MODEL_FEATURES, spark)
+
+
+@query("tree_contributions", "SELECT subscriber_key, 12::BIGINT AS n_features, true AS adds_up FROM subscribers")
+def _(spark, sf):
+    """The contributions of all features and the base value add up to the raw score of every subscriber."""
+    model = _churn_model(spark, sf)
+    scored = model.transform(_prepared(spark, sf)).select("subscriber_key", "margin")
+    parts = explain.tree_contributions(_prepared(spark, sf), model, ["subscriber_key"]).groupBy("subscriber_key").agg(
+        F.count("*").alias("n_features"), F.sum("contribution").alias("total"))
+    return parts.join(scored, "subscriber_key").select(
+        "subscriber_key", "n_features", (F.abs(F.col("total") + explain.base_value(model) - F.col("margin")) < 1e-6).alias("adds_up"))
+
+
+@query("tree_contributions_global")
+def _(spark, sf):
+    """Mean absolute contribution of each input over all subscribers."""
+    return explain.tree_importance_global(_prepared(spark, sf), _churn_model(spark, sf))
 
 
 @query("early_warning")
@@ -244,30 +334,29 @@ def _model_table(spark, sf):
 
 @query("tweedie_regression")
 def _(spark, sf):
-    """Error on the fifth of the customers that the model has not seen."""
-    table = metrics.hash_split(learning.log_features(_model_table(spark, sf), features.FEATURES), F.col("customer_id").cast("bigint"))
-    model = learning.tweedie_regression(table.where("is_train"), features.FEATURES, "sales_90_value")
-    return metrics.regression_metrics(model.transform(table.where("NOT is_train")), "sales_90_value", "pred_spend")
+    """Error and deviance of the linear and the boosted model on the fifth of the customers that neither has seen."""
+    table = materialize(metrics.hash_split(learning.log_features(_model_table(spark, sf), features.FEATURES), F.col("customer_id").cast("bigint")))
+    train, held = table.where("is_train"), table.where("NOT is_train")
+    linear = learning.tweedie_regression(train, features.FEATURES, "sales_90_value").transform(held)
+    boosted = learning.positive_probability(learning.boosted_tweedie(train, features.FEATURES, "sales_90_value").transform(held), "pred_spend")
+    rows = []
+    for name, scored in (("linear", linear), ("boosted", boosted)):
+        scored = scored.select("sales_90_value", "pred_spend")
+        rows.append(metrics.regression_metrics(scored, "sales_90_value", "pred_spend").join(
+            learning.tweedie_deviance(scored, "sales_90_value", "pred_spend"), "n").select(F.lit(name).alias("model"), "*"))
+    return rows[0].union(rows[1])
 
 
 @query("cross_validate")
 def _(spark, sf):
-    table = learning.log_features(_model_table(spark, sf), features.FEATURES)
-    plain = metrics.fold_column(table, F.col("customer_id").cast("bigint")).persist()
-    spend = learning.cross_validate(
-        plain, lambda train: learning.tweedie_regression(train, features.FEATURES, "sales_90_value").transform,
-        lambda s: learning.regression_scores(s, "sales_90_value", "pred_spend"))
-    even = metrics.stratified_folds(
-        table.withColumn("key", F.col("customer_id").cast("bigint")), "key", "purchased_flag")
-
-    def fit(train):
-        model = learning.boosted_classifier(train, features.FEATURES, "purchased_flag")
-        return lambda held: learning.positive_probability(model.transform(held), "score")
-
-    even = materialize(even)  # every fold reads it
-    buys = learning.cross_validate(even, fit, lambda s: learning.classification_scores(s, "purchased_flag", "score"))
-    plain.unpersist()
-    return spend.unionByName(buys)
+    """Five folds of the spend and of the purchase model: ten models of 400 trees in one scan."""
+    table = _model_table(spark, sf).withColumn("key", F.col("customer_id").cast("bigint"))
+    table = metrics.fold_column(table, F.col("key")).withColumnRenamed("fold", "spend_fold")
+    table = materialize(metrics.stratified_folds(table, "key", "purchased_flag"))
+    models = boosting.fit_many(table, features.FEATURES, [
+        *learning.fold_specs("sales_90_value", "tweedie", 5, "spend_fold"), *learning.fold_specs("purchased_flag", "logistic")])
+    spend = learning.fold_scores(table, models[:5], lambda s: learning.regression_scores(s, "sales_90_value", "prediction"), "spend_fold")
+    return spend.unionByName(learning.fold_scores(table, models[5:], lambda s: learning.classification_scores(s, "purchased_flag", "prediction")))
 
 
 @query("save_load_models", "SELECT subscriber_key, true AS same FROM subscribers")

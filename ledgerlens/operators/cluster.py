@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import share_pct
+from ledgerlens.operators import lloyd, mixture
+from ledgerlens.operators.lloyd import CentreModel
+from ledgerlens.operators.mixture import Mixture
 from ledgerlens.operators.value import bounded_sample
 from ledgerlens.session import materialize
 
@@ -38,53 +39,50 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="error").transform(df)
 
 
-def kmeans_fit(vectors: DataFrame, k: int = 4, max_iter: int = 500, n_init: int = 20, seed: int = 42) -> KMeansModel:
+def kmeans_fit(vectors: DataFrame, k: int = 4, max_iter: int = 500, n_init: int = 20, seed: int = 42) -> CentreModel:
     """Best of ``n_init`` k-means runs by within-cluster sum of squares."""
-    models = (KMeans(k=k, maxIter=max_iter, seed=seed + i, predictionCol="cluster").fit(vectors) for i in range(n_init))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    return lloyd.fit_all(vectors, [k], n_init, max_iter, seed)[k]
 
 
 def kmeans_scan(
     spark: SparkSession, vectors: DataFrame, ks: Sequence[int] = range(2, 9), max_iter: int = 300, n_init: int = 15, seed: int = 42,
 ) -> DataFrame:
     """Cost and silhouette for each K; ``best`` marks the greatest silhouette."""
+    return scan_table(spark, vectors, lloyd.fit_all(vectors, list(ks), n_init, max_iter, seed))
+
+
+def scan_table(spark: SparkSession, vectors: DataFrame, models: Mapping[int, CentreModel]) -> DataFrame:
+    """k, wcss, silhouette and best of fitted models."""
     evaluator = ClusteringEvaluator(predictionCol="cluster")
-    vectors = vectors.select("features").persist()  # every iteration of every fit reads it
-    rows = []
-    for k in ks:
-        model = kmeans_fit(vectors, k, max_iter, n_init, seed)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
-    vectors.unpersist()
+    vectors = vectors.select("features").persist()
+    try:
+        rows = [(k, m.cost, float(evaluator.evaluate(m.transform(vectors)))) for k, m in models.items()]
+    finally:
+        vectors.unpersist()
     top = max(r[2] for r in rows)
     return spark.createDataFrame([(*r, r[2] == top) for r in rows], "k int, wcss double, silhouette double, best boolean")
 
 
-def _gmm(vectors: DataFrame, k: int, n_init: int, seed: int) -> GaussianMixtureModel:
-    models = (GaussianMixture(k=k, seed=seed + i, predictionCol="gmm_cluster", probabilityCol="membership").fit(vectors)
-              for i in range(n_init))
-    return max(models, key=lambda m: m.summary.logLikelihood)
-
-
 def gmm_scan(
     spark: SparkSession, vectors: DataFrame, ks: Sequence[int] = range(2, 7), n_init: int = 5, seed: int = 42,
 ) -> DataFrame:
     """BIC and AIC of full-covariance mixtures; ``best`` marks the lowest BIC."""
-    vectors = vectors.select("features").persist()
-    n, dim = vectors.count(), len(vectors.first()[0])
+    return criteria_table(spark, mixture.fit_all(vectors, list(ks), n_init, seed))
+
+
+def criteria_table(spark: SparkSession, models: Mapping[int, Mixture]) -> DataFrame:
+    """k, bic, aic and best of fitted mixtures."""
     rows = []
-    for k in ks:
-        ll = _gmm(vectors, k, n_init, seed).summary.logLikelihood
-        free = k * dim + k * dim * (dim + 1) / 2 + k - 1
-        rows.append((k, float(-2 * ll + free * math.log(n)), float(-2 * ll + 2 * free)))
-    vectors.unpersist()
+    for k, m in models.items():
+        loss, free = -2 * m.mean_log_likelihood * m.rows, m.free_parameters
+        rows.append((k, float(loss + free * math.log(m.rows)), float(loss + 2 * free)))
     low = min(r[1] for r in rows)
     return spark.createDataFrame([(*r, r[1] == low) for r in rows], "k int, bic double, aic double, best boolean")
 
 
 def gmm_fit_certainty(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Hard cluster, soft membership and the greatest membership per row."""
-    scored = _gmm(vectors, k, n_init, seed).transform(vectors)
-    return scored.withColumn("membership", vector_to_array("membership")).withColumn("certainty", F.array_max("membership"))
+    return mixture.fit_all(vectors, [k], n_init, seed)[k].transform(vectors).withColumn("certainty", F.array_max("membership"))
 
 
 def certainty_summary(scored: DataFrame, below: float = 0.6) -> DataFrame:

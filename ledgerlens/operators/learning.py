@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.order import exact_quantiles
 from ledgerlens.functions.scalars import as_column
-from ledgerlens.operators.metrics import class_weight, classification_metrics, regression_metrics
+from ledgerlens.operators import boosting, logit
+from ledgerlens.operators.boosting import DEPTH, LEARNING_RATE, TREES, TWEEDIE_POWER, BoostedModel, Settings, Spec
+from ledgerlens.operators.logit import LogitModel
+from ledgerlens.operators.metrics import classification_metrics, regression_metrics
 
-# Ensemble settings and the two-sided 95% normal quantile.
-TREES, DEPTH, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 400, 5, 0.05, 0.8, "0.8"
-TWEEDIE_POWER = 1.5
+# Fixed value: the two-sided 95% normal quantile.
 NORMAL_975 = 1.959963984540054
 
 
@@ -63,32 +63,29 @@ def _inputs(features: Sequence[str], categories: Sequence[str] = ()) -> list:
     ]
 
 
-def fit_logit(train: DataFrame, features: Sequence[str], label: str = "label", categories: Sequence[str] = ()) -> PipelineModel:
-    glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol=label, featuresCol="features", predictionCol="probability", maxIter=50)
-    return Pipeline(stages=[*_inputs(features, categories), glm]).fit(train.where(F.col(label).isNotNull()))
+def fit_logit(train: DataFrame, features: Sequence[str], label: str = "label", categories: Sequence[str] = ()) -> LogitModel:
+    """Unpenalised logistic regression on numbers and all levels of categories; adds ``probability``."""
+    return logit.fit(train, features, label, categories)
 
 
-def logit_inference(train: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+def logit_inference(train: DataFrame, features: Sequence[str], label: str = "label", categories: Sequence[str] = ()) -> DataFrame:
     """Coefficient table of an unpenalised logistic regression, with the pseudo R2 on every row."""
-    return coefficient_table(train.sparkSession, fit_logit(train, features, label), features)
-
-
-def coefficient_table(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """coef, standard error, z, p, 95% interval, odds ratio and significance per term."""
-    fitted = model.stages[-1]
-    summary = fitted.summary
-    names = [*features, "const"]
-    coefs = [*[float(c) for c in fitted.coefficients], float(fitted.intercept)]
-    rows = list(zip(names, coefs, *[[float(v) for v in column] for column in (
-        summary.coefficientStandardErrors, summary.tValues, summary.pValues)]))
-    pseudo = 1 - summary.deviance / summary.nullDeviance
-    table = spark.createDataFrame(rows, "feature string, coef double, std_err double, z double, p_value double")
+    return coefficient_table(train.sparkSession, fit_logit(train, features, label, categories))
+
+
+def coefficient_table(spark: SparkSession, model: LogitModel) -> DataFrame:
+    """coef, standard error, z, p, 95% interval, odds ratio and significance per term; aliased terms have no coefficient."""
+    errors = np.sqrt(np.maximum(np.diag(model.covariance), 0))
+    rows = [(name, float(c), float(e), float(c / e) if e > 0 else None, logit.two_sided(c / e) if e > 0 else None, False)
+            for name, c, e in zip(model.names, model.coefs, errors)]
+    rows += [(name, None, None, None, None, True) for name in model.aliased]
+    pseudo = 1 - model.deviance / model.null_deviance if model.null_deviance else 0.0
+    table = spark.createDataFrame(rows, "feature string, coef double, std_err double, z double, p_value double, aliased boolean")
     return table.select(
-        "*", (F.col("coef") - NORMAL_975 * F.col("std_err")).alias("ci_low"),
+        "feature", "coef", "std_err", "z", "p_value", (F.col("coef") - NORMAL_975 * F.col("std_err")).alias("ci_low"),
         (F.col("coef") + NORMAL_975 * F.col("std_err")).alias("ci_high"),
-        F.round(F.exp("coef"), 4).alias("odds_ratio"), (F.col("p_value") < 0.05).alias("significant"),
-        F.lit(float(pseudo)).alias("pseudo_r2"))
+        F.round(F.exp("coef"), 4).alias("odds_ratio"), F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"),
+        F.lit(float(pseudo)).alias("pseudo_r2"), "aliased")
 
 
 def effect_text(table: DataFrame) -> DataFrame:
@@ -106,23 +103,26 @@ def exact_auc(scored: DataFrame, score: str, label: str = "label") -> float:
     ).evaluate(scored.select(F.col(label).cast("double").alias(label), F.col(score).cast("double").alias(score)))
 
 
-def logit_reduced(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """Full model against the model on its significant features: size, accuracy, AUC."""
+def logit_reduced(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label", categories: Sequence[str] = ()) -> DataFrame:
+    """Full model against the model on its significant terms: size, accuracy, AUC."""
     spark = train.sparkSession
-    full = fit_logit(train, features, label)
-    kept = [r["feature"] for r in effect_text(coefficient_table(spark, full, features)).collect()] or list(features)
+    full = fit_logit(train, features, label, categories)
+    kept = [r["feature"] for r in effect_text(coefficient_table(spark, full)).collect()] or [n for n in full.names if n != "const"]
+    reduced = logit.fit(train, features, label, categories, only=kept)
     rows = []
-    for name, columns, model in (("full", list(features), full), ("reduced", kept, fit_logit(train, kept, label))):
-        scored = model.transform(test)
+    for name, model in (("full", full), ("reduced", reduced)):
+        scored = model.transform(test).persist()
         accuracy = classification_metrics(scored, label, "probability").first()["accuracy"]
-        rows.append((name, len(columns), float(accuracy), float(exact_auc(scored, "probability", label)), ", ".join(columns)))
+        used = [n for n in model.names if n != "const"]
+        rows.append((name, len(used), float(accuracy), float(exact_auc(scored, "probability", label)), ", ".join(used)))
+        scored.unpersist()
     return spark.createDataFrame(rows, "model string, n_features int, accuracy double, auc double, features string")
 
 
 def what_if_probability(
-    model: PipelineModel, data: DataFrame, features: Sequence[str], changes: Mapping[str, Sequence[float]],
+    model: LogitModel, data: DataFrame, features: Sequence[str], changes: Mapping[str, Sequence[float]], categories: Sequence[str] = (),
 ) -> DataFrame:
-    """Predicted probability of the median profile with one feature set to each given value."""
+    """Predicted probability of the median profile with one feature set to each given value; the profile has no level."""
     spark = data.sparkSession
     long = data.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "value")
     medians = exact_quantiles(long, "value", [0.5], by=["feature"], alias="q")
@@ -130,26 +130,38 @@ def what_if_probability(
     rows = [(name, float(v), *[float(v if c == name else profile[c]) for c in features])
             for name, values in changes.items() if name in features for v in values]
     schema = "changed string, set_to double, " + ", ".join(f"`{c}` double" for c in features)
-    return model.transform(spark.createDataFrame(rows, schema)).select(
+    wide = spark.createDataFrame(rows, schema).withColumns({c: F.lit(None).cast("string") for c in categories})
+    return model.transform(wide).select(
         "changed", "set_to", "probability", F.round(F.col("probability") * 100, 1).alias("probability_pct"))
 
 
 def boosted_classifier(
     train: DataFrame, features: Sequence[str], label: str = "label", trees: int = TREES, depth: int = DEPTH,
     learning_rate: float = LEARNING_RATE, weighted: bool = True, seed: int = 42, categories: Sequence[str] = (),
-) -> PipelineModel:
+) -> BoostedModel:
     """Gradient boosted trees with row and column sampling and a class weight; rows without label are left out."""
-    train = train.where(F.col(label).isNotNull())
-    data = class_weight(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
-    gbt = GBTClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=learning_rate,
-        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, seed=seed, predictionCol="predicted_class")
-    gbt.setRawPredictionCol("raw").setProbabilityCol("class_probability")
-    return Pipeline(stages=[*_inputs(features, categories), gbt]).fit(data)
+    spec = Spec(label, "logistic", balanced=weighted, seed=seed)
+    return boosting.fit_many(train, features, [spec], Settings(trees, depth, learning_rate), categories)[0]
+
+
+def boosted_tweedie(
+    train: DataFrame, features: Sequence[str], target: str, trees: int = TREES, depth: int = DEPTH,
+    learning_rate: float = LEARNING_RATE, seed: int = 42,
+) -> BoostedModel:
+    """Boosted spend model for zero-inflated, right-skewed targets: Tweedie deviance, log link."""
+    return boosting.fit_many(train, features, [Spec(target, "tweedie", seed=seed)], Settings(trees, depth, learning_rate))[0]
 
 
 def positive_probability(scored: DataFrame, alias: str = "pred_prob") -> DataFrame:
-    return scored.withColumn(alias, vector_to_array("class_probability")[1])
+    """The boosted model's answer under a name of its own."""
+    return scored.withColumnRenamed("prediction", alias).drop("margin")
+
+
+def tweedie_deviance(scored: DataFrame, actual: str, predicted: str, power: float = TWEEDIE_POWER) -> DataFrame:
+    """Mean deviance of a Tweedie distribution with variance power between 1 and 2."""
+    y, m = F.col(actual).cast("double"), F.greatest(F.col(predicted), F.lit(1e-12))
+    unit = 2 * (F.pow(y, F.lit(2 - power)) / ((1 - power) * (2 - power)) - y * F.pow(m, F.lit(1 - power)) / (1 - power) + F.pow(m, F.lit(2 - power)) / (2 - power))
+    return scored.agg(F.count("*").alias("n"), F.avg(unit).alias("deviance"))
 
 
 def log_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -183,8 +195,28 @@ def cross_validate(
     ``fit(train)`` returns a scorer, ``measure(scored)`` a dictionary of metrics.
     """
     results = [measure(fit(df.where(F.col(fold) != i))(df.where(F.col(fold) == i))) for i in range(folds)]
+    return _over_folds(df.sparkSession, results)
+
+
+def fold_specs(label: str, objective: str, folds: int = 5, fold: str = "fold", seed: int = 42) -> list[Spec]:
+    """One model a fold, which learns from the other folds; to be fitted in one scan."""
+    return [Spec(label, objective, F.col(fold) != i, objective == "logistic", seed) for i in range(folds)]
+
+
+def fold_scores(
+    df: DataFrame, models: Sequence[BoostedModel], measure: Callable[[DataFrame], Mapping[str, float]], fold: str = "fold",
+) -> DataFrame:
+    """Mean and standard deviation of each metric over held-out folds, every row scored by its fold's model."""
+    scored = boosting.out_of_fold(df, models, fold).persist()
+    try:
+        return _over_folds(df.sparkSession, [measure(scored.where(F.col(fold) == i)) for i in range(len(models))])
+    finally:
+        scored.unpersist()
+
+
+def _over_folds(spark: SparkSession, results: Sequence[Mapping[str, float]]) -> DataFrame:
     rows = [(name, i, float(r[name])) for i, r in enumerate(results) for name in r]
-    return df.sparkSession.createDataFrame(rows, "metric string, fold int, value double").groupBy("metric").agg(
+    return spark.createDataFrame(rows, "metric string, fold int, value double").groupBy("metric").agg(
         F.count("*").alias("folds"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
@@ -223,8 +255,6 @@ def row_contributions(df: DataFrame, coefs: Mapping[str, float], keys: Sequence[
         "direction", F.when(F.col("contribution") > 0, "pushes toward churn").otherwise("reduces churn risk"))
 
 
-def tree_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Impurity-based importance of a fitted ensemble."""
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double").orderBy(F.desc("importance"))
+def tree_importance(model: BoostedModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """Share of the total gain of the features asked for."""
+    return boosting.importance(model, spark).where(F.col("feature").isin(list(features)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ledgerlens.operators import churn, clean, learning
+from ledgerlens.operators.boosting import BoostedModel
 from ledgerlens.sources.tables import normalize_headers, validate_schema
 
 # Model inputs after identifiers are dropped, and extra columns of the call list.
@@ -25,12 +25,12 @@ def prepare_subscribers(raw: DataFrame, label: str = "churn") -> DataFrame:
     return clean.drop_identifiers(df)
 
 
-def train_churn_model(prepared: DataFrame, label: str = "churn", trees: int = learning.TREES) -> PipelineModel:
+def train_churn_model(prepared: DataFrame, label: str = "churn", trees: int = learning.TREES) -> BoostedModel:
     return learning.boosted_classifier(prepared, MODEL_FEATURES, label, trees=trees)
 
 
 def warn(
-    raw: DataFrame, model: PipelineModel, key: str = "customer_id", high: float = 70, medium: float = 40,
+    raw: DataFrame, model: BoostedModel, key: str = "customer_id", high: float = 70, medium: float = 40,
     order_by: Sequence[str] = (), closed: str = "left",
 ) -> DataFrame:
     """Probability in percent, risk tier and monthly value for every uploaded subscriber.
@@ -41,7 +41,6 @@ def warn(
     validate_schema(df, MODEL_FEATURES)
     if key not in df.columns:
         df = clean.id_generator(df, order_by or df.columns, start=0, alias=key)
-    scored = learning.positive_probability(model.transform(df), "score").drop(
-        "features", "raw", "class_probability", "predicted_class")
+    scored = learning.positive_probability(model.transform(df), "score")
     tiered = churn.churn_risk_tiers(churn.predict_probability(scored), high=high, medium=medium, closed=closed)
     return churn.monthly_value(tiered)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import minus_days
-from ledgerlens.operators import btyd, clean, cluster, cohort, features, learning, metrics, rfm, value, wholesale
+from ledgerlens.operators import boosting, btyd, clean, cluster, cohort, features, learning, lloyd, metrics, rfm, value, wholesale
+from ledgerlens.operators.boosting import BoostedModel
 from ledgerlens.session import materialize, stages
 from ledgerlens.sources import artifacts, schemas, tables
 
@@ -23,8 +23,8 @@ class StoredModels:
 
     bgnbd: dict[str, float]
     gamma: dict[str, float]
-    spend: PipelineModel
-    purchase: PipelineModel
+    spend: BoostedModel
+    purchase: BoostedModel
     folder: str
 
     @property
@@ -47,12 +47,12 @@ class StoredModels:
 
 
 def add_clusters(customers: DataFrame, n_init: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
-    """K = 4 or 5 by silhouette, then the final fit; a fifth cluster shares the last tier name's place."""
+    """K = 4 or 5 by silhouette; a fifth cluster shares the last tier name's place."""
     scaled = cluster.assemble(cluster.standardize(customers, RFM_COLUMNS), [f"z_{c}" for c in RFM_COLUMNS]).persist()
     try:
-        scan = cluster.kmeans_scan(customers.sparkSession, scaled, (4, 5), n_init=n_init, seed=seed)
-        k = scan.where("best").orderBy("k").first()["k"]
-        labelled = cluster.kmeans_fit(scaled, k, max_iter, n_init, seed).transform(scaled)
+        models = lloyd.fit_all(scaled, (4, 5), n_init, max_iter, seed)  # both K and all restarts share every pass
+        k = cluster.scan_table(customers.sparkSession, scaled, models).where("best").orderBy("k").first()["k"]
+        labelled = models[k].transform(scaled)
         names = cluster.TIER_NAMES if k == 4 else (*cluster.TIER_NAMES, "Lowest Value")
         named = cluster.cluster_tier_label(labelled.withColumnRenamed("cluster", "km_cluster"), names=names)
         return materialize(named.select(*customers.columns, "km_cluster", "km_label"))
@@ -60,24 +60,32 @@ def add_clusters(customers: DataFrame, n_init: int = 20, max_iter: int = 500, se
         scaled.unpersist()
 
 
-def learned_scores(spend: PipelineModel, purchase: PipelineModel, table: DataFrame) -> DataFrame:
+def learned_scores(spend: BoostedModel, purchase: BoostedModel, table: DataFrame) -> DataFrame:
     """Predicted spend, purchase probability and their product per customer."""
-    scored = learning.positive_probability(purchase.transform(table)).drop("features", "raw", "class_probability", "predicted_class")
-    scored = spend.transform(learning.log_features(scored, features.FEATURES))
+    scored = learning.positive_probability(purchase.transform(table), "pred_prob")
+    scored = learning.positive_probability(spend.transform(scored), "pred_spend")
     return value.combined_clv(scored).select("customer_id", "pred_spend", "pred_prob", "pred_clv_90d")
 
 
-def fit_learned(model_table: DataFrame, trees: int) -> tuple[PipelineModel, PipelineModel, DataFrame]:
-    """Spend and purchase models on the hashed training share, with held-out metrics.
+def fit_learned(model_table: DataFrame, trees: int, folds: int = 5) -> tuple[BoostedModel, BoostedModel, DataFrame]:
+    """Spend and purchase models on the hashed training share, with held-out and cross-validated metrics.
 
-    The decision threshold is chosen on one half of the held-out rows and its F1
-    measured on the other half.
+    The final fits and those of all folds share one scan of the training rows. The decision threshold is
+    chosen on one half of the held-out rows and its F1 measured on the other half.
     """
     split = metrics.hash_split(model_table, F.xxhash64("customer_id"))
-    train, test = split.where("is_train").persist(), split.where("NOT is_train").persist()
+    train = materialize(metrics.stratified_folds(metrics.fold_column(split.where("is_train"), F.xxhash64("customer_id"), folds).withColumnRenamed(
+        "fold", "spend_fold").withColumn("_key", F.xxhash64("customer_id")), "_key", "purchased_flag", folds).drop("_key"))
+    test = split.where("NOT is_train").persist()
     try:
-        spend = learning.tweedie_regression(learning.log_features(train, features.FEATURES), features.FEATURES, "sales_90_value")
-        purchase = learning.boosted_classifier(train, features.FEATURES, "purchased_flag", trees=trees)
+        models = boosting.fit_many(train, features.FEATURES, [
+            boosting.Spec("sales_90_value", "tweedie"), boosting.Spec("purchased_flag", balanced=True),
+            *learning.fold_specs("sales_90_value", "tweedie", folds, "spend_fold"), *learning.fold_specs("purchased_flag", "logistic", folds)],
+            boosting.Settings(trees))
+        spend, purchase = models[:2]
+        crossed = {r["metric"]: r for r in learning.fold_scores(
+            train, models[2:2 + folds], lambda s: learning.regression_scores(s, "sales_90_value", "prediction"), "spend_fold").union(learning.fold_scores(
+                train, models[2 + folds:], lambda s: learning.classification_scores(s, "purchased_flag", "prediction"))).collect()}
         scored = learned_scores(spend, purchase, test).join(test, "customer_id").withColumn(
             "tuning", F.pmod(F.xxhash64("customer_id", F.lit(7)), F.lit(2)) == 0).persist()
         threshold = metrics.youden_threshold(scored.where("tuning"), "purchased_flag", "pred_prob").first()["threshold"]
@@ -87,11 +95,12 @@ def fit_learned(model_table: DataFrame, trees: int) -> tuple[PipelineModel, Pipe
             regression["r2"], regression["mae"], learning.exact_auc(scored, "pred_prob", "purchased_flag"), threshold,
             metrics.classification_metrics(scored.where("tuning"), "purchased_flag", "pred_prob", threshold).first()["f1"],
             metrics.classification_metrics(scored.where("NOT tuning"), "purchased_flag", "pred_prob", threshold).first()["f1"],
-        )], "reg_r2 double, reg_mae double, clf_auc double, threshold double, f1_tuning double, f1_holdout double")
+            crossed["r2"]["mean"], crossed["r2"]["sd"], crossed["auc"]["mean"], crossed["auc"]["sd"],
+        )], "reg_r2 double, reg_mae double, clf_auc double, threshold double, f1_tuning double, f1_holdout double, "
+            "cv_r2 double, cv_r2_sd double, cv_auc double, cv_auc_sd double")
         scored.unpersist()
         return spend, purchase, report
     finally:
-        train.unpersist()
         test.unpersist()
 
 

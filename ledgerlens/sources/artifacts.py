@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.boosting import BoostedModel
+from ledgerlens.operators.logit import LogitModel
 from ledgerlens.sources.tables import scan_union_parts
 
 
@@ -22,12 +24,20 @@ def load_params(spark: SparkSession, path: str) -> dict[str, float]:
     return spark.read.parquet(path).first().asDict()
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """A fitted pipeline keeps its feature order in its assembler stage."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedModel | LogitModel, path: str) -> None:
+    """A fitted pipeline keeps its feature order in its assembler stage, the models of this package in tables of their own."""
+    if isinstance(model, (BoostedModel, LogitModel)):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | BoostedModel | LogitModel:
+    spark = SparkSession.active()
+    for kind, table in ((BoostedModel, "trees"), (LogitModel, "logit")):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return kind.load(spark, path)
     return PipelineModel.load(path)
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import cluster, density, learning, metrics
+from ledgerlens.operators import boosting, cluster, density, learning, metrics
 from ledgerlens.plans import early_warning
 
 
@@ -259,8 +259,8 @@ def test_registered_fits_have_the_operator_defaults(spark, small, monkeypatch):
     class Asked(Exception):
         pass
 
-    def trees(**settings):
-        raise Asked(settings["maxIter"])
+    def trees(df, features, specs, settings=boosting.Settings(), categories=()):
+        raise Asked(settings.trees)
 
     def train(*args, **settings):
         given = inspect.signature(plain).bind(*args, **settings)
@@ -268,9 +268,10 @@ def test_registered_fits_have_the_operator_defaults(spark, small, monkeypatch):
         raise Asked(given.arguments["trees"], given.arguments["n_init"])
 
     plain = training.train_customer_models
-    monkeypatch.setattr(learning, "GBTClassifier", trees)
+    monkeypatch.setattr(boosting, "fit_many", trees)
     monkeypatch.setattr(training, "train_customer_models", train)
-    for name in ("boosted_classifier", "tree_importance", "early_warning"):
+    monkeypatch.setattr(queries_models, "_CHURN_MODELS", {})
+    for name in ("boosted_classifier", "tree_importance", "early_warning", "tweedie_regression", "cross_validate"):
         with pytest.raises(Asked) as asked:
             ENTRIES[name].run(spark, small)
         assert asked.value.args == (400,)

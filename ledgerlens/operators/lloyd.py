@@ -112,10 +112,11 @@ def assign(pack: Pack, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     whole = possible.sum(axis=1) == 1
     owner = possible.argmax(axis=1)[whole]
     sizes, sums, squares = pack.sizes[whole], pack.sums[whole], pack.squares[whole]
-    n = np.bincount(owner, sizes, k)
-    s = np.stack([np.bincount(owner, sums[:, i], k) for i in range(dim)], axis=1)
+    # an empty bincount has integers
+    n = np.bincount(owner, sizes, k).astype(float)
+    s = np.stack([np.bincount(owner, sums[:, i], k) for i in range(dim)], axis=1).astype(float)
     c = centres[owner]
-    cost = np.bincount(owner, np.maximum(squares - 2 * (c * sums).sum(axis=1) + sizes * (c ** 2).sum(axis=1), 0), k)
+    cost = np.bincount(owner, np.maximum(squares - 2 * (c * sums).sum(axis=1) + sizes * (c ** 2).sum(axis=1), 0), k).astype(float)
     points = pack.points[np.repeat(~whole, pack.sizes)]
     if len(points):
         gap = squared(points, centres)

@@ -244,7 +244,7 @@ def test_missing_values_and_categories_are_model_inputs(spark, separable):
     model = learning.fit_logit(df, ["x1", "x2"], categories=["kind"])
     scored = model.transform(df)
     assert scored.count() == df.count() and scored.where("probability IS NULL").count() == 0
-    assert scored.columns == [*df.columns, "features", "probability"]
+    assert scored.columns == [*df.columns, "probability"]
     boosted = learning.positive_probability(learning.boosted_classifier(df, ["x1", "x2"], trees=3, categories=["kind"]).transform(df), "score")
     assert boosted.count() == df.count() and learning.exact_auc(boosted, "score") > 0.8
 

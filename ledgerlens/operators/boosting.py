@@ -151,7 +151,7 @@ def best_splits(sums: np.ndarray) -> tuple[np.ndarray, ...]:
     all_g, all_h = g.sum(axis=-1, keepdims=True), h.sum(axis=-1, keepdims=True)
     left_g, left_h = np.cumsum(g[..., :MISSING], axis=-1), np.cumsum(h[..., :MISSING], axis=-1)
     best = None
-    for to_left in (False, True):
+    for to_left in (False, True) if missing_h.any() else (False,):
         gl, hl = (left_g + missing_g, left_h + missing_h) if to_left else (left_g, left_h)
         gr, hr = all_g - gl, all_h - hl
         gain = gl ** 2 / (hl + L2) + gr ** 2 / (hr + L2) - all_g ** 2 / (all_h + L2)

@@ -6,13 +6,16 @@ them. One pass over the packed points serves all restarts of all K: for each it
 centre. A box is given to a centre whole, from its sums, when by the distance bounds of the box no other centre
 can be nearer to any of its points; only the rows of the other boxes are compared with the centres.
 
+Points that fit one pack have nothing to add up between tasks: every restart then runs where the pack is, one task
+each, by the same steps and with the same result.
+
 Seeding is k-means++ in the same way: a pass draws the next centre of every restart, each row racing with an
 exponential variable of rate d**2 from its own hash, so the draw is exact, mergeable and repeatable.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerlens.session import materialize
 
 LEAF = 64
-PACK_ROWS = 65_536  # of one packed record
+PACK_ROWS = 131_072  # of one packed record
 TOLERANCE = 1e-10  # squared movement of all centres of a restart at which it rests
 _PACKED = "pack long, n long, points binary, leaf_ends binary"
 
@@ -35,6 +38,7 @@ def pack(vectors: DataFrame, features: str = "features") -> tuple[DataFrame, int
     arrays = vectors.select(vector_to_array(features).alias("x")).where("x IS NOT NULL AND NOT exists(x, v -> v IS NULL OR isnan(v))")
     first = arrays.first()
     dim = len(first["x"]) if first else 1
+    parts = -(-arrays.count() // PACK_ROWS) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, rows = TaskContext.get().partitionId() << 32, [], 0
@@ -49,13 +53,13 @@ def pack(vectors: DataFrame, features: str = "features") -> tuple[DataFrame, int
                 continue
             held.append(batch.column(0).flatten().to_numpy().reshape(-1, dim))
             rows += batch.num_rows
-            if rows >= PACK_ROWS:
+            if rows >= PACK_ROWS * 1.5:  # one pack is kept whole when the partition is a little over
                 yield packed()
                 number, held, rows = number + 1, [], 0
         if held:
             yield packed()
 
-    return materialize(arrays.mapInArrow(run, _PACKED)), dim
+    return materialize(arrays.repartition(parts).mapInArrow(run, _PACKED)), dim
 
 
 def ordered(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,28 +139,34 @@ def races(pack: Pack, seed: int, step: int) -> np.ndarray:
     return -np.log((((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)
 
 
+def draw(pack: Pack, chosen: np.ndarray, seed: int, step: int) -> tuple[float, np.ndarray]:
+    """The row of a pack that wins the race for the next centre, and its time."""
+    rate = squared(pack.points, chosen).min(axis=1) if step else np.ones(len(pack.points))
+    with np.errstate(divide="ignore"):
+        key = races(pack, seed, step) / rate
+    at = int(key.argmin())
+    return float(key[at]), pack.points[at]
+
+
 def seeds(packed: DataFrame, dim: int, ks: Sequence[int], first_seed: int) -> list[np.ndarray]:
     """k-means++ centres of every restart (``ks`` has its K), one pass a centre for all of them."""
     chosen = [np.empty((0, dim)) for _ in ks]
     for step in range(max(ks)):
         wanting = [i for i, k in enumerate(ks) if k > step]
 
-        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[float, list[float]]] = {}
             for batch in batches:
                 for row in batch.to_pylist():
                     pack = Pack.of(row, dim)
                     for i in wanting:
-                        rate = squared(pack.points, chosen[i]).min(axis=1) if step else np.ones(len(pack.points))
-                        with np.errstate(divide="ignore"):
-                            key = races(pack, first_seed + i, step) / rate
-                        at = int(key.argmin())
-                        if i not in best or key[at] < best[i][0]:
-                            best[i] = (float(key[at]), pack.points[at].tolist())
+                        key, point = draw(pack, chosen[i], first_seed + i, step)
+                        if i not in best or key < best[i][0]:
+                            best[i] = (key, point.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([b[0] for b in best.values()], pa.float64()),
                                               pa.array([b[1] for b in best.values()], pa.list_(pa.float64()))], ["fit", "key", "x"])
 
-        found = packed.mapInArrow(draw, "fit int, key double, x array<double>").groupBy("fit").agg(F.min_by("x", "key").alias("x"))
+        found = packed.mapInArrow(run, "fit int, key double, x array<double>").groupBy("fit").agg(F.min_by("x", "key").alias("x"))
         for r in found.collect():  # a row a restart
             chosen[r["fit"]] = np.vstack([chosen[r["fit"]], r["x"]])
     return chosen
@@ -192,7 +202,7 @@ def lloyd_pass(packed: DataFrame, dim: int, centres: dict[int, np.ndarray]) -> d
 
 @dataclass
 class CentreModel:
-    """Centres of a fit, its cost, and the passes that the whole scan took."""
+    """Centres of a fit, its cost, and the passes it took."""
 
     centres: np.ndarray
     cost: float
@@ -206,17 +216,15 @@ class CentreModel:
         return placed.withColumn(alias, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_x", "_gaps")
 
 
-def fit_all(vectors: DataFrame, ks: Sequence[int], n_init: int, max_iter: int, seed: int) -> dict[int, CentreModel]:
-    """The best of ``n_init`` restarts for each K; all restarts share every pass."""
-    packed, dim = pack(vectors)
-    fits = [k for k in ks for _ in range(n_init)]
-    now = dict(enumerate(seeds(packed, dim, fits, seed)))
-    active, cost, passes = dict(now), {}, max(fits)
-    for _ in range(max_iter):
-        if not active:
-            break
+Found = tuple[np.ndarray, float, int]  # centres, cost, passes
+
+
+def iterate(advance: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray, float]]], start: dict[int, np.ndarray], max_iter: int) -> dict[int, Found]:
+    """Move all restarts until each rests; ``advance`` is one pass for those that do not."""
+    now, active, cost, passes = dict(start), dict(start), {}, 0
+    while active and passes < max_iter:
         passes += 1
-        for i, (n, s, c) in lloyd_pass(packed, dim, active).items():
+        for i, (n, s, c) in advance(active).items():
             moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], active[i])  # a centre without members stays
             cost[i] = c
             if ((moved - active[i]) ** 2).sum() <= TOLERANCE:
@@ -224,10 +232,48 @@ def fit_all(vectors: DataFrame, ks: Sequence[int], n_init: int, max_iter: int, s
             else:
                 now[i] = active[i] = moved
     if active:  # stopped by max_iter: the costs are those of the centres before
-        passes += 1
-        cost.update({i: v[2] for i, v in lloyd_pass(packed, dim, active).items()})
+        cost.update({i: v[2] for i, v in advance(active).items()})
+    return {i: (now[i], float(cost[i]), passes) for i in start}
+
+
+def each_in_a_task(packed: DataFrame, dim: int, fits: int, run_one: Callable[[Pack, int], Sequence[np.ndarray]], arrays: int) -> dict[int, list[np.ndarray]]:
+    """What ``run_one`` returns for the only pack and each fit: ``arrays`` arrays of doubles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                made = [np.asarray(x, np.float64).tobytes() for x in run_one(Pack.of(row, dim), row["fit"])]
+                yield pa.RecordBatch.from_arrays([pa.array([row["fit"]], pa.int32()), *[pa.array([x], pa.binary()) for x in made]], ["fit", *[f"x{i}" for i in range(arrays)]])
+
+    dealt = packed.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(fits - 1)))).repartition("fit")
+    rows = dealt.mapInArrow(run, "fit int, " + ", ".join(f"x{i} binary" for i in range(arrays))).collect()  # a row a fit
+    return {r["fit"]: [np.frombuffer(r[f"x{i}"]) for i in range(arrays)] for r in rows}
+
+
+def _fit_in_task(packed: DataFrame, dim: int, fits: Sequence[int], seed: int, max_iter: int) -> dict[int, Found]:
+    def one(pack: Pack, i: int) -> list[np.ndarray]:
+        chosen = np.empty((0, dim))
+        for step in range(fits[i]):
+            chosen = np.vstack([chosen, draw(pack, chosen, seed + i, step)[1]])
+        centres, cost, passes = iterate(lambda active: {j: (lambda n, s, c, _: (n, s, float(c.sum())))(*assign(pack, x)) for j, x in active.items()}, {i: chosen}, max_iter)[i]
+        return [centres.ravel(), [cost, passes]]
+
+    return {i: (x.reshape(-1, dim), float(rest[0]), int(rest[1])) for i, (x, rest) in each_in_a_task(packed, dim, len(fits), one, 2).items()}
+
+
+def fit_all(vectors: DataFrame, ks: Sequence[int], n_init: int, max_iter: int, seed: int) -> dict[int, CentreModel]:
+    """The best of ``n_init`` restarts for each K; all restarts share every pass."""
+    packed, dim = pack(vectors)
+    fits = [k for k in ks for _ in range(n_init)]
+    if one_pack(packed):
+        found = _fit_in_task(packed, dim, fits, seed, max_iter)
+    else:
+        found = iterate(lambda active: lloyd_pass(packed, dim, active), dict(enumerate(seeds(packed, dim, fits, seed))), max_iter)
     out = {}
     for place, k in enumerate(ks):
-        best = min(range(place * n_init, (place + 1) * n_init), key=lambda i: cost[i])
-        out[k] = CentreModel(now[best], float(cost[best]), passes)
+        best = min(range(place * n_init, (place + 1) * n_init), key=lambda i: found[i][1])
+        out[k] = CentreModel(*found[best])
     return out
+
+
+def one_pack(packed: DataFrame) -> bool:
+    return packed.limit(2).count() == 1

@@ -8,7 +8,7 @@ the mean log-likelihood by less than ``COARSE``; the best restart of each K goes
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.lloyd import Pack, pack, seeds
+from ledgerlens.operators.lloyd import Pack, each_in_a_task, one_pack, pack, seeds
 
 # The covariance floor and the coarse tolerance.
 FLOOR, COARSE = 1e-6, 1e-3
@@ -68,24 +68,46 @@ class Mixture:
         return placed.withColumn("gmm_cluster", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
 
 
+def _sums(fit: Mixture, points: np.ndarray) -> np.ndarray:
+    """(component, sum): memberships, likelihood and rows (with the first component), weighted points and products."""
+    d = points.shape[1]
+    member, ll = fit.memberships(points)
+    out = np.zeros((len(fit.weights), 3 + d + d * (d + 1) // 2))
+    out[:, 0] = member.sum(axis=0)
+    out[0, 1:3] = ll.sum(), len(points)
+    out[:, 3:3 + d] = member.T @ points
+    out[:, 3 + d:] = member.T @ np.stack([points[:, a] * points[:, b] for a, b in _upper(d)], axis=1)
+    return out
+
+
+def _upper(dim: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(dim) for b in range(a, dim)]
+
+
+def _after(fit: Mixture, table: np.ndarray) -> Mixture:
+    """The parameters after a step, from the sums over all rows, with the likelihood of ``fit``, the parameters before it."""
+    dim = fit.means.shape[1]
+    n, likelihood = table[:, 2].sum(), table[:, 1].sum()
+    r = np.maximum(table[:, 0], 1e-10)
+    means = table[:, 3:3 + dim] / r[:, None]
+    covariances = np.empty((len(r), dim, dim))
+    for c, (a, b) in enumerate(_upper(dim)):
+        covariances[:, a, b] = covariances[:, b, a] = table[:, 3 + dim + c] / r - means[:, a] * means[:, b]
+    covariances += FLOOR * np.eye(dim)
+    return Mixture(r / r.sum(), means, covariances, likelihood / n, int(n))
+
+
 def expectation_pass(packed: DataFrame, dim: int, fits: dict[int, Mixture]) -> dict[int, Mixture]:
     """The parameters after one step of each fit, with the likelihood of the parameters before it."""
-    upper = [(a, b) for a in range(dim) for b in range(a, dim)]
-    names = ["r", "ll", "n", *[f"s{a}" for a in range(dim)], *[f"p{a}_{b}" for a, b in upper]]
+    names = ["r", "ll", "n", *[f"s{a}" for a in range(dim)], *[f"p{a}_{b}" for a, b in _upper(dim)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 points = Pack.of(row, dim).points
-                products = np.stack([points[:, a] * points[:, b] for a, b in upper], axis=1)
                 for i, fit in fits.items():
-                    member, ll = fit.memberships(points)
-                    own = np.zeros((len(fit.weights), len(names)))
-                    own[:, 0] = member.sum(axis=0)
-                    own[0, 1:3] = ll.sum(), len(points)
-                    own[:, 3:3 + dim] = member.T @ points
-                    own[:, 3 + dim:] = member.T @ products
+                    own = _sums(fit, points)
                     totals[i] = totals[i] + own if i in totals else own
         if totals:
             whole = np.concatenate(list(totals.values()))
@@ -98,37 +120,37 @@ def expectation_pass(packed: DataFrame, dim: int, fits: dict[int, Mixture]) -> d
     rows: dict[int, dict[int, list[float]]] = {}
     for r in summed.collect():  # a row a component
         rows.setdefault(r["fit"], {})[r["component"]] = [r[c] for c in names]
-    out = {}
-    for i, fit in fits.items():
-        table = np.array([rows[i][j] for j in range(len(fit.weights))])
-        n, likelihood = table[:, 2].sum(), table[:, 1].sum()
-        r = np.maximum(table[:, 0], 1e-10)
-        means = table[:, 3:3 + dim] / r[:, None]
-        covariances = np.empty((len(r), dim, dim))
-        for c, (a, b) in enumerate(upper):
-            covariances[:, a, b] = covariances[:, b, a] = table[:, 3 + dim + c] / r - means[:, a] * means[:, b]
-        covariances += FLOOR * np.eye(dim)
-        out[i] = Mixture(r / r.sum(), means, covariances, likelihood / n, int(n), abs(likelihood / n - fit.mean_log_likelihood))
-    return out
+    return {i: _after(fit, np.array([rows[i][j] for j in range(len(fit.weights))])) for i, fit in fits.items()}
 
 
-def _run(packed: DataFrame, dim: int, fits: dict[int, Mixture], tolerance: float, max_iter: int) -> dict[int, Mixture]:
-    """Each fit as it was when a further step moved its likelihood by less than ``tolerance``."""
+def _run(advance: Callable[[dict[int, Mixture]], dict[int, Mixture]], fits: dict[int, Mixture], tolerance: float, max_iter: int) -> dict[int, Mixture]:
+    """Each fit as it was when a further step moved its likelihood by less than ``tolerance``; ``advance`` is a step of all."""
     rest, active = {}, dict(fits)
     for _ in range(max_iter):
-        after = expectation_pass(packed, dim, active)
-        for i, new in after.items():
+        for i, new in advance(active).items():
             before = active[i]
-            # ``new`` tells the likelihood of ``before``
-            known = Mixture(before.weights, before.means, before.covariances, new.mean_log_likelihood, new.rows, new.mean_log_likelihood - before.mean_log_likelihood)
-            if known.step < tolerance and np.isfinite(before.mean_log_likelihood):
-                rest[i] = known
+            moved = new.mean_log_likelihood - before.mean_log_likelihood  # ``new`` tells the likelihood of ``before``
+            if moved < tolerance:
+                rest[i] = Mixture(before.weights, before.means, before.covariances, new.mean_log_likelihood, new.rows, moved)
                 del active[i]
             else:
-                active[i] = Mixture(new.weights, new.means, new.covariances, new.mean_log_likelihood, new.rows)
+                active[i] = new
         if not active:
             break
-    return rest | {i: f for i, f in active.items()}
+    return rest | active
+
+
+def _run_in_task(packed: DataFrame, dim: int, fits: dict[int, Mixture], tolerance: float, max_iter: int) -> dict[int, Mixture]:
+    """The same where all points are in one pack: a task a fit."""
+    keys = list(fits)
+    plain = [fits[k] for k in keys]
+
+    def one(pack: Pack, place: int) -> list[np.ndarray]:
+        m = _run(lambda active: {i: _after(f, _sums(f, pack.points)) for i, f in active.items()}, {0: plain[place]}, tolerance, max_iter)[0]
+        return [m.weights, m.means.ravel(), m.covariances.ravel(), np.array([m.mean_log_likelihood, m.rows, m.step])]
+
+    found = each_in_a_task(packed, dim, len(keys), one, 4)
+    return {keys[i]: Mixture(w, m.reshape(-1, dim), c.reshape(-1, dim, dim), float(x[0]), int(x[1]), float(x[2])) for i, (w, m, c, x) in found.items()}
 
 
 def fit_all(vectors: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_iter: int = 500) -> dict[int, Mixture]:
@@ -137,10 +159,15 @@ def fit_all(vectors: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_i
     fits = [k for k in ks for _ in range(n_init)]
     spread = _covariance(packed, dim)
     start = {i: Mixture(np.full(len(c), 1 / len(c)), c, np.repeat(spread[None], len(c), axis=0)) for i, c in enumerate(seeds(packed, dim, fits, seed))}
-    coarse = _run(packed, dim, start, COARSE, 100)
+
+    def run(some: dict[int, Mixture], tolerance: float, steps: int) -> dict[int, Mixture]:
+        if one_pack(packed):
+            return _run_in_task(packed, dim, some, tolerance, steps)
+        return _run(lambda active: expectation_pass(packed, dim, active), some, tolerance, steps)
+
+    coarse = run(start, COARSE, 100)
     best = {k: coarse[max(range(p * n_init, (p + 1) * n_init), key=lambda i: coarse[i].mean_log_likelihood)] for p, k in enumerate(ks)}
-    fine = _run(packed, dim, {k: Mixture(m.weights, m.means, m.covariances) for k, m in best.items()}, FINE, max_iter)
-    return fine
+    return run({k: Mixture(m.weights, m.means, m.covariances) for k, m in best.items()}, FINE, max_iter)
 
 
 def _covariance(packed: DataFrame, dim: int) -> np.ndarray:

@@ -51,6 +51,21 @@ def test_every_k_reaches_a_fixed_point_at_low_cost(points):
     assert scan[4]["best"] and not scan[2]["best"]
 
 
+def test_packs_and_one_task_give_the_same_fits(points, monkeypatch):
+    _, df = points
+    start = lloyd.fit_all(df, [3], 2, 50, 3)[3]
+    monkeypatch.setattr(lloyd, "PACK_ROWS", 90)
+    packed, dim = lloyd.pack(df)
+    assert not lloyd.one_pack(packed)
+    many = lloyd.iterate(lambda active: lloyd.lloyd_pass(packed, dim, active), {0: start.centres + 0.01}, 50)[0]
+    assert many[0] == pytest.approx(start.centres, abs=1e-5) and many[1] == pytest.approx(start.cost)
+    best = lloyd.fit_all(df, [4], 3, 50, 3)[4]
+    assert best.cost <= lloyd.fit_all(df, [3], 3, 50, 3)[3].cost
+    monkeypatch.setattr(mixture, "COARSE", 0.05)
+    monkeypatch.setattr(mixture, "FINE", 0.02)
+    assert mixture.fit_all(df, [2], 1, 1)[2].step < 0.02
+
+
 def test_fewer_points_than_centres(spark):
     df = cluster.assemble(spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (3.0, 3.0)], ["a", "b"]), ["a", "b"])
     model = lloyd.fit_all(df, [3], 2, 20, 0)[3]

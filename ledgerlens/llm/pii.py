@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -30,18 +31,18 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
 _ORDER = {kind: k for k, kind in enumerate(KINDS)}
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# a later start in the same run of digits fares no better than its first, so only that is tried
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#@\"'<>]+@[^\s\"'<>]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?:password|passwd|token|secret|api_?key)\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})", re.I)
+_SECRET = re.compile(r"(?:password|passwd|token|secret|api_?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})", re.I)
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 # Runs that a match of the kind cannot leave, from an anchor to the right.
 _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+@-]*")
 _NUMBER_RUN = re.compile(r"[0-9. -]*[0-9]")
 _PHONE_RUN = re.compile(r"\+[ ().0-9+-]*")
 _CUE_SPAN = 120
@@ -51,13 +52,10 @@ _CUES = ("password", "passwd", "token", "secret", "apikey", "api_key")
 
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for anchor, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), ("AKIA", "key"), *[(d, "digit") for d in "0123456789"]]:
+    for anchor, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), ("akia", "key"), ("iban", "iban"), *[(d, "digit") for d in "0123456789"]]:
         out.add_word(anchor, (kind, len(anchor)))
     for cue in _CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            out.add_word(form, ("cue", len(form)))
-    for word in ("IBAN", "Iban", "iban"):
-        out.add_word(word, ("iban", len(word)))
+        out.add_word(cue, ("cue", len(cue)))
     out.make_automaton()
     return out
 
@@ -88,13 +86,31 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lowered(text: str) -> str:
+    """ASCII letters in lower case, at their places."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def _emails(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Addresses of a run of local characters and at-signs: each sign is tried once, with all that stands before it."""
+    while (at := text.find("@", start, stop)) >= 0:
+        if at > start and (m := _DOMAIN.match(text, at + 1, stop)):
+            yield start, m.end()
+            start = m.end()
+        else:
+            start = at + 1
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by kind as listed."""
     out: list[tuple[int, int, str]] = []
     if not text:
         return out
-    mail = number = phone = url = iban = 0  # where the next run of each kind may begin
-    for last, (kind, size) in _AUTOMATON.iter(text):
+    mail = number = phone = url = iban = secret = 0  # where the next run of each kind may begin
+    for last, (kind, size) in _AUTOMATON.iter(_lowered(text)):
         at = last - size + 1
         if kind == "digit":
             if at < number:
@@ -115,7 +131,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             start = _left(text, at, _LOCAL, mail)
             mail = _EMAIL_RIGHT.match(text, at).end()
-            out.extend((m.start(), m.end(), "email") for m in _EMAIL.finditer(text, start, mail))
+            out.extend((a, b, "email") for a, b in _emails(text, start, mail))
         elif kind == "plus":
             if at < phone:
                 continue
@@ -132,8 +148,9 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if m := _KEY_ID.match(text, at):
                 out.append((m.start(), m.end(), "secret"))
         elif kind == "cue":
-            if m := _SECRET.match(text, at):
+            if at >= secret and (m := _SECRET.match(text, at)):  # a cue inside a secret is a part of it
                 out.append((m.start(1), m.end(1), "secret"))
+                secret = m.end()
         elif at >= iban:
             if (m := _IBAN.search(text, last + 1, last + _CUE_SPAN)) and _iban(m[0]):
                 out.append((m.start(), m.end(), "account"))

@@ -218,7 +218,7 @@ def test_decontamination_equals_alignment():
 def test_decontamination_rows(spark, monkeypatch):
     item = "a passage of some length that a benchmark asks about, word by word"
     other = "another question about rivers, mountains and the weather in spring"
-    benchmark = spark.createDataFrame([(1, item), (2, other), (3, None), (None, item), (4, "ab"), (5, item.upper())], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, other), (3, None), (None, item), (4, "zq"), (5, item.upper())], "item_id long, text string")
     docs = odd(spark, [(7, f"before {item.replace('some', 'same')} after"), (8, "clean words only"), (9, f"{item} {other}")])
     got = {r.doc_id: r for r in decontam.contamination(docs, benchmark).collect()}
     assert got[7].items == [1] and got[7].least_edits == 1 and got[9].items == [1, 2] and not got[8].contaminated and not got[1].contaminated

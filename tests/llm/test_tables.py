@@ -55,6 +55,41 @@ def test_search_equals_all_pairs(spark, monkeypatch, rows):
     assert got == best(rounded, 5)
 
 
+def plain_best(queries, query_ids, points, ids, k):
+    out = []
+    for q, i in zip(queries.tolist(), query_ids.tolist()):
+        scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for c, j in zip(points.tolist(), ids.tolist()) if j != i)[:k]
+        out.append([(-s, j) for s, j in scores])
+    return out
+
+
+def test_clusters_are_pruned_before_they_are_scored():
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(200, 16)) * 200
+    points = np.rint(centres[np.arange(8192) % 200] + rnd.normal(size=(8192, 16)) * 4).astype(np.int64)
+    queries = np.rint(centres[np.arange(512) % 200] + rnd.normal(size=(512, 16)) * 4).astype(np.int64)
+    search = topk.Search(queries, np.arange(512) + 100_000, points, np.arange(8192), 5)
+    search.run()
+    assert search.pairs < 0.25 * 512 * 8192
+    got = [list(zip(s, f)) for s, f in zip(search.score[:40].tolist(), search.found[:40].tolist())]
+    assert got == plain_best(queries[:40], np.arange(40) + 100_000, points, np.arange(8192), 5)
+
+
+@pytest.mark.parametrize("scale", [3, 1 << 20, 1 << 29])
+def test_scores_are_exact_integers(scale):
+    rnd = np.random.default_rng(scale)
+    points = rnd.integers(-scale, scale + 1, (300, 4))
+    search = topk.Search(points[:40], np.arange(40), points, np.arange(300), 7)
+    search.run()
+    assert [list(zip(s, f)) for s, f in zip(search.score.tolist(), search.found.tolist())] == plain_best(points[:40], np.arange(40), points, np.arange(300), 7)
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    points = np.full((10, 4), 1 << 31)
+    with pytest.raises(OverflowError):
+        topk.Search(points, np.arange(10), points, np.arange(10) + 20, 3).run()
+
+
 def test_search_of_nothing(spark):
     none = topk.integers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(none, none).count() == 0

@@ -81,21 +81,14 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def monthly_trend(df: DataFrame, ts: str, value: str, invoice: str, customer: str) -> DataFrame:
     """Lines, revenue, distinct orders and active customers per calendar month.
 
-    Two grouping steps instead of distinct counts: lines to (month, customer, invoice), those to a
-    row per customer and a row per invoice of the month, which are counted apart.
+    Two grouping steps instead of distinct counts: lines to (month, customer, invoice), those to a row per
+    invoice and to a row per customer of the month; both small results meet on the month.
     """
-    month = F.trunc(ts, "MM").alias("month")
-    per_order = df.groupBy(month, customer, invoice).agg(F.count("*").alias("_l"), F.sum(value).alias("_v"))
-    tags = F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col(invoice).cast("string").alias("id"), F.col("_l"), F.col("_v")),
-        F.struct(F.lit(1).alias("kind"), F.col(customer).cast("string").alias("id"), F.lit(None).cast("bigint").alias("_l"), F.lit(None).cast("double").alias("_v"))))
-    tagged = per_order.select("month", tags.alias("t")).select("month", "t.*")
-    per_id = tagged.groupBy("month", "kind", "id").agg(F.sum("_l").alias("_l"), F.sum("_v").alias("_v"))
-    named = F.col("id").isNotNull()
-    return per_id.groupBy("month").agg(
-        F.sum("_l").alias("n_lines"), F.sum("_v").alias("revenue"),
-        F.count_if((F.col("kind") == 0) & named).alias("n_orders"), F.count_if((F.col("kind") == 1) & named).alias("n_customers"),
-    ).orderBy("month")
+    per_order = df.groupBy(F.trunc(ts, "MM").alias("month"), customer, invoice).agg(F.count("*").alias("_l"), F.sum(value).alias("_v"))
+    orders = per_order.groupBy("month", invoice).agg(F.sum("_l").alias("_l"), F.sum("_v").alias("_v")).groupBy("month").agg(
+        F.sum("_l").alias("n_lines"), F.sum("_v").alias("revenue"), F.count(invoice).alias("n_orders"))
+    buyers = per_order.select("month", customer).distinct().groupBy(F.col("month").alias("_m")).agg(F.count(customer).alias("n_customers"))
+    return orders.join(buyers, F.col("month").eqNullSafe(F.col("_m"))).drop("_m").orderBy("month")
 
 
 def repeat_rate(df: DataFrame, customer: str, invoice: str) -> DataFrame:

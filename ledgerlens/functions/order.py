@@ -8,7 +8,7 @@ narrowing to the few rows around the wanted rank.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +121,73 @@ def equal_count_bin(row_no: Column, n: Column, bins: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(raw, F.lit(1))).cast("int")
 
 
+Pair = tuple[float, object]
+
+
+def after(value: Column, key: Column, cut: Pair) -> Column:
+    """Whether (value, key) comes after ``cut`` in their order; no value is less than any."""
+    v = F.coalesce(value.cast("double"), F.lit(float("-inf")))
+    return (v > cut[0]) | ((v == cut[0]) & (key > F.lit(cut[1])))
+
+
+def rows_at_ranks(
+    df: DataFrame, columns: Sequence[str], key: str, places: Callable[[int], Sequence[int]], bound: int = 4096,
+) -> tuple[int, dict[str, list[Pair]]]:
+    """The number of rows n, and for each column the (value, key) of the rows at the ranks ``places(n)`` (from 1).
+
+    Multiple selection without a sort: a hash sample of at most ``bound`` rows proposes edges around every wanted
+    rank, one aggregation counts the rows up to each edge exactly, and the next sample is drawn between the edges,
+    until no more rows than ``bound`` lie there. Ties of a value are told apart by ``key``, which is unique
+    and never null, so a value that a third of the rows share is narrowed like any other. Nothing is shuffled but
+    counts; ``df`` is read a few times: pass a stored table.
+    """
+    narrow = df.select(F.col(key).alias("_k"), *[F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"_v{i}") for i, c in enumerate(columns)])
+
+    def sample(rows: DataFrame) -> list:
+        return rows.orderBy(F.xxhash64("_k"), "_k").limit(bound + 1).collect()
+
+    first = sample(narrow)
+    n = len(first) if len(first) <= bound else narrow.count()
+    out = {}
+    for i, c in enumerate(columns):
+        held = sorted((r[f"_v{i}"], r["_k"]) for r in first)
+        out[c] = [held[r - 1] for r in places(n)] if n == len(first) else _select(narrow, f"_v{i}", held, places(n), n, bound, sample)
+    return n, out
+
+
+def _select(narrow: DataFrame, column: str, held: list[Pair], ranks: Sequence[int], n: int, bound: int, sample: Callable[[DataFrame], list]) -> list[Pair]:
+    """``rows_at_ranks`` of one column beyond ``bound`` rows; ``held`` is a sorted sample of it."""
+    value, key = F.col(column), F.col("_k")
+    low: dict[int, tuple[Pair | None, int]] = {r: (None, 0) for r in ranks}  # before the row, with the rows up to it
+    high: dict[int, tuple[Pair | None, int]] = {r: (None, n) for r in ranks}
+
+    def inside(pair: Pair, r: int) -> bool:
+        return (low[r][0] is None or pair > low[r][0]) and (high[r][0] is None or pair <= high[r][0])
+
+    while True:
+        edges = set()
+        for r in ranks:
+            own = [p for p in held if inside(p, r)]
+            at = (r - low[r][1]) * len(own) / max(1, high[r][1] - low[r][1])
+            slack = 1 + 1.5 * len(own) ** 0.5
+            edges |= {own[max(0, min(len(own) - 1, int(p)))] for p in (at - slack, at + slack)} if own else set()
+        ordered = sorted(edges)
+        counts = narrow.agg(*[F.count_if(~after(value, key, e)).alias(f"c{j}") for j, e in enumerate(ordered)]).first()
+        for e, c in zip(ordered, counts):
+            for r in ranks:
+                if c < r and inside(e, r):
+                    low[r] = (e, c)
+                elif c >= r and (high[r][0] is None or e < high[r][0]):
+                    high[r] = (e, c)
+        between = F.lit(False)
+        for r in ranks:
+            between = between | ((F.lit(True) if low[r][0] is None else after(value, key, low[r][0])) & (F.lit(True) if high[r][0] is None else ~after(value, key, high[r][0])))
+        rows = sample(narrow.where(between))
+        held = sorted((x[column], x["_k"]) for x in rows)
+        if len(rows) <= bound:  # all there are
+            return [[p for p in held if inside(p, r)][r - low[r][1] - 1] for r in ranks]
+
+
 def ntile_bucket(row_no: Column, n: Column, tiles: int) -> Column:
     """SQL ``NTILE`` bucket of a row number: the first n mod k tiles get one row more."""
     small = F.floor(n / tiles)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.order import bounded_quantiles, equal_count_bin, exact_quantiles, global_row_number
+from ledgerlens.functions.order import after, bounded_quantiles, exact_quantiles, rows_at_ranks
 from ledgerlens.functions.scalars import whole_days
 from ledgerlens.functions.stats import share_pct
 from ledgerlens.operators.clean import snapshot_of
@@ -59,11 +59,15 @@ def rfm_table_orders(orders: DataFrame) -> DataFrame:
     ).withColumn("recency", whole_days(snapshot, "_last")).drop("_last")
 
 
+def _quintile_places(n: int) -> list[int]:
+    """Ranks of the last rows of the first four of five equally large groups."""
+    return [1 + i * (n - 1) // 5 for i in range(1, 5)] if n else []
+
+
 def quintile_score_ranked(df: DataFrame, column: str, alias: str, key: str = "customer_id") -> DataFrame:
-    """1..5 by position (ties split in key order), so the five groups are equally large."""
-    ranked = global_row_number(df, [column, key], "_no")
-    n = ranked.select(F.count("*")).scalar()
-    return ranked.withColumn(alias, equal_count_bin(F.col("_no"), n, 5)).drop("_no")
+    """1..5 by position (ties split in key order), so the five groups are equally large; ``df`` is read a few times."""
+    _, cuts = rows_at_ranks(df, [column], key, _quintile_places)
+    return df.withColumn(alias, sum((after(F.col(column), F.col(key), c).cast("int") for c in cuts[column]), F.lit(1)).cast("int"))
 
 
 def quintile_score_raw(df: DataFrame, column: str, alias: str) -> DataFrame:
@@ -76,19 +80,12 @@ def quintile_score_raw(df: DataFrame, column: str, alias: str) -> DataFrame:
 def quintile_cuts(rfm: DataFrame, key: str = "customer_id") -> DataFrame:
     """(measure, place, value, key) of the four rows after which the quintiles of frequency and monetary end,
     and the four recency edges (key NULL). Scores from these equal ``rfm_score_quintile`` on the same rows."""
-    parts = []
-    for measure in ("frequency", "monetary"):
-        narrow = rfm.select(F.col(measure).cast("double").alias("value"), F.col(key).cast("string").alias("key"))
-        ranked = global_row_number(narrow, ["value", "key"], "_no")
-        n = ranked.select(F.count("*")).scalar()
-        places = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.floor(1 + F.lit(i) * (n - 1) / 5).alias("at")) for i in range(1, 5)]))
-        wanted = ranked.sparkSession.range(1).select(places.alias("w")).select("w.*")
-        parts.append(ranked.join(F.broadcast(wanted), F.col("_no") == F.col("at")).select(  # four rows
-            F.lit(measure).alias("measure"), "place", "value", "key"))
-    edges = rfm.select(bounded_quantiles("recency", [0.2, 0.4, 0.6, 0.8]).alias("e"))
-    parts.append(edges.select(F.posexplode("e").alias("place", "value")).select(
-        F.lit("recency").alias("measure"), (F.col("place") + 1).alias("place"), "value", F.lit(None).cast("string").alias("key")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    narrow = rfm.select("frequency", "monetary", F.col(key).cast("string").alias("key"))
+    _, found = rows_at_ranks(narrow, ["frequency", "monetary"], "key", _quintile_places)
+    rows = [(measure, i + 1, float(value), name) for measure, cuts in found.items() for i, (value, name) in enumerate(cuts)]
+    edges = rfm.select(bounded_quantiles("recency", [0.2, 0.4, 0.6, 0.8]).alias("e")).first()["e"] or []
+    rows += [("recency", i + 1, float(value), None) for i, value in enumerate(edges)]
+    return rfm.sparkSession.createDataFrame(rows, "measure string, place int, value double, key string")
 
 
 def score_by_cuts(rfm: DataFrame, cuts: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -99,7 +96,7 @@ def score_by_cuts(rfm: DataFrame, cuts: DataFrame, key: str = "customer_id") ->
 
     def passed(measure: str) -> Column:
         value, name = F.col(measure).cast("double"), F.col(key).cast("string")
-        above = [(value > v) if k is None else (value > v) | ((value == v) & (name > k)) for v, k in stored[measure]]
+        above = [(value > v) if k is None else after(value, name, (v, k)) for v, k in stored[measure]]
         return sum((c.cast("int") for c in above), F.lit(0))
 
     scored = rfm.withColumns({"f_score": (1 + passed("frequency")).cast("int"), "m_score": (1 + passed("monetary")).cast("int"),
@@ -108,10 +105,8 @@ def score_by_cuts(rfm: DataFrame, cuts: DataFrame, key: str = "customer_id") ->
 
 
 def rfm_score_quintile(rfm: DataFrame) -> DataFrame:
-    """r, f and m scores 1..5 and their sum."""
-    scored = quintile_score_ranked(quintile_score_ranked(rfm, "frequency", "f_score"), "monetary", "m_score")
-    scored = quintile_score_raw(scored, "recency", "r_score")
-    return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
+    """r, f and m scores 1..5 and their sum; ``rfm`` is read a few times, nothing is sorted or written."""
+    return score_by_cuts(rfm, quintile_cuts(rfm))
 
 
 def segment_quintile(scored: DataFrame) -> DataFrame:

@@ -96,3 +96,33 @@ def test_quantiles_of_heavily_tied_values(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     got = order.exact_quantiles(df, "v", [0.2, 0.5, 0.8]).first()["quantiles"]
     assert got == pytest.approx(pd.Series(values, dtype=float).quantile([0.2, 0.5, 0.8]).tolist())
+
+
+@pytest.mark.parametrize("bound", [12, 40, 5000])
+def test_rows_at_ranks_equal_a_sort(spark, bound):
+    rng = np.random.default_rng(6)
+    few = [float(v) for v in rng.integers(0, 3, 900)]  # a third of the rows share each value
+    wide = [None if i % 40 == 0 else float(v) for i, v in enumerate(rng.gamma(0.5, 10, 900))]
+    df = spark.createDataFrame([(f"k{i:04d}", a, w) for i, (a, w) in enumerate(zip(few, wide))], "key string, few double, wide double").repartition(5)
+    ranks = [1, 7, 300, 301, 512, 899, 900]
+    n, got = order.rows_at_ranks(df, ["few", "wide"], "key", lambda n: ranks, bound)
+    low = float("-inf")
+    for name, values in (("few", few), ("wide", wide)):
+        rows = sorted((low if v is None else v, f"k{i:04d}") for i, v in enumerate(values))
+        assert n == 900 and got[name] == [rows[r - 1] for r in ranks]
+
+
+def test_ranks_of_nothing(spark):
+    none = spark.createDataFrame([], "key string, a double")
+    assert order.rows_at_ranks(none, ["a"], "key", lambda n: [1] if n else []) == (0, {"a": []})
+
+
+def test_quintiles_need_no_sort_and_no_table(spark):
+    from ledgerlens.operators import rfm
+
+    df = spark.createDataFrame([(f"c{i}", i % 7, float(i * 37 % 101), i % 11) for i in range(103)], "customer_id string, frequency int, monetary double, recency int")
+    scored = rfm.rfm_score_quintile(df)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    rows = sorted((r["frequency"], r["customer_id"], r["f_score"]) for r in scored.collect())
+    assert [r[2] for r in rows] == [max(1, -(-5 * i // 102)) for i in range(103)]

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.frames import BATCH_BYTES, map_batches, materialize
 from ledgerlens.llm.terms import dictionary_terms
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 BLOCK = 128  # postings
 WINDOW = 2048  # documents scored at once
 SET_TERMS = 50_000

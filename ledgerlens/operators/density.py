@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.functions.order import exact_quantiles, global_row_number
+from ledgerlens.functions.order import exact_quantiles, global_row_number, salted_join
 from ledgerlens.session import materialize
 
 LEAF_POINTS = 2000
-MAX_LEAVES = 1 << 14  # bounds the split tables and the sample they are built from
+ROUND_DEPTH = 8  # levels of planes a region gets in one round; bounds its sample and its row of planes
+MAX_DEPTH = 62  # a region is named by its path, one bit a level
 SAMPLE_PER_LEAF = 64
 QUERIES_PER_CHUNK = 50_000
 _HALO = 11  # rows after a row that a 10-point mean and two differences look at
@@ -45,22 +44,63 @@ def _split_planes(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     return axis, value
 
 
-def _leaf_of(points: np.ndarray, axis: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
-    node = np.zeros(len(points), dtype=np.int64)
-    rows = np.arange(len(points))
-    for _ in range(depth):
-        node = 2 * node + 1 + (points[rows, axis[node]] > value[node])
-    return node - ((1 << depth) - 1)
+def _beyond(columns: Sequence[str], node: Column) -> Column:
+    """Signed distance of a row's point from the plane of ``node``."""
+    return F.element_at(F.array(*columns), F.element_at("axis", node + 1) + 1) - F.element_at("value", node + 1)
 
 
-def _leaves_within(points: np.ndarray, radius: np.ndarray, axis, value, depth) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) pairs whose region may hold a point closer than the row's radius."""
-    row, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
-    for _ in range(depth):
-        gap = points[row, axis[node]] - value[node]
-        left, right = gap - radius[row] < 0, gap + radius[row] > 0
-        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-    return row, node - ((1 << depth) - 1)
+def _first_child() -> Column:
+    """What turns a last-level node of a row's planes into the name of its region."""
+    width = F.pow(F.lit(2), F.col("depth")).cast("long")
+    return F.col("region") * width + 1 - width
+
+
+def _child(columns: Sequence[str]) -> Column:
+    """Name of the region, among those its row's planes cut, that holds the point."""
+    node = F.aggregate(F.sequence(F.lit(1), "depth"), F.lit(0),
+                       lambda at, _: 2 * at + 1 + (_beyond(columns, at) > 0).cast("int"))
+    return _first_child() + node
+
+
+def _children_within(columns: Sequence[str]) -> Column:
+    """Names of all regions that may hold a point closer than ``r``."""
+    def down(at: Column) -> Column:
+        left = F.when(_beyond(columns, at) - F.col("r") < 0, 2 * at + 1)
+        right = F.when(_beyond(columns, at) + F.col("r") > 0, 2 * at + 2)
+        return F.array_compact(F.array(left, right))
+
+    nodes = F.aggregate(F.sequence(F.lit(1), "depth"), F.array(F.lit(0)), lambda at, _: F.flatten(F.transform(at, down)))
+    return F.transform(nodes, lambda n: _first_child() + n)
+
+
+def _regions(points: DataFrame, columns: Sequence[str], leaf_points: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``points`` with the ``region`` of each, none of more than ``leaf_points``, and the planes of each round.
+
+    A round cuts every over-full region by the median planes of a sample of its own points, up to
+    ``ROUND_DEPTH`` levels at once. Planes are one row a region, in a table; regions are named by their path,
+    so later rounds need no knowledge of earlier ones.
+    """
+    placed, rounds = points.withColumn("region", F.lit(1).cast("long")), []
+    while True:
+        levels = F.least(F.lit(ROUND_DEPTH), F.ceil(F.log2(F.col("n") / leaf_points))).cast("int")
+        full = materialize(placed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > leaf_points).withColumn("depth", levels))
+        if full.isEmpty():
+            return placed, rounds
+        if (len(rounds) + 1) * ROUND_DEPTH > MAX_DEPTH:
+            raise RuntimeError(f"regions of more than {leaf_points} points after {len(rounds)} rounds of {ROUND_DEPTH} levels")
+        draw = F.pmod(F.xxhash64(*columns, F.lit(len(rounds))), F.lit(1 << 40)) / float(1 << 40)  # another sample each round
+        share = SAMPLE_PER_LEAF * F.pow(F.lit(2), F.col("depth")) / F.col("n")
+        sample = placed.join(full, "region").where(draw < share).select("region", "depth", *columns)
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            depth = int(pdf["depth"].iloc[0])
+            axis, value = _split_planes(pdf[columns].to_numpy(float), depth)
+            return pd.DataFrame({"region": [pdf["region"].iloc[0]], "depth": [depth], "axis": [axis], "value": [value]})
+
+        planes = materialize(sample.groupBy("region").applyInPandas(cut, "region bigint, depth int, axis array<int>, value array<double>"))
+        rounds.append(planes)
+        moved = placed.join(planes, "region", "left").withColumn("region", F.coalesce(_child(columns), "region"))
+        placed = materialize(moved.drop("depth", "axis", "value"))
 
 
 def _nearest(queries: np.ndarray, points: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +130,8 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
     """Exact Euclidean distance of every row to its k-th nearest row, itself counted first.
 
     Equal rows are folded into one weighted point, so a value shared by a large
-    part of the table costs one comparison. Space is cut into regions of about
-    ``leaf_points`` distinct points. A point's k-th distance inside its region
+    part of the table costs one comparison. Space is cut into regions of at most
+    ``leaf_points`` distinct points, in as many rounds as that takes. A point's k-th distance inside its region
     bounds the answer; only the few regions that reach into that radius are
     searched as well. A row with a NULL coordinate is nobody's neighbour and has no distance (NULL). Regions asked by very many points are copied to several tasks.
     """
@@ -100,46 +140,29 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
     base = whole.dropna(subset=columns)
     points = materialize(
         base.groupBy(*columns).agg(F.count("*").alias("w")).withColumn("pid", F.monotonically_increasing_id()))
-    n = points.count()
-    depth = max(0, min(int(math.log2(MAX_LEAVES)), math.ceil(math.log2(max(n, 1) / leaf_points)) if n > leaf_points else 0))
-    share = min(1.0, SAMPLE_PER_LEAF * (1 << depth) / max(n, 1))
-    picked = points.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20))))
-    sample = picked.select(*columns).toPandas().to_numpy(float) if depth else np.zeros((0, len(columns)))
-    axis, value = _split_planes(sample, depth)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(leaf=_leaf_of(pdf[columns].to_numpy(float), axis, value, depth))
-
-    placed = materialize(points.mapInPandas(place, T.StructType(points.schema.fields + [T.StructField("leaf", T.LongType())])))
+    placed, rounds = _regions(points, columns, leaf_points)
 
     near_type = "d array<double>, dw array<bigint>"
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         xyz, w = pdf[columns].to_numpy(float), pdf["w"].to_numpy()
         d, dw = _nearest(xyz, xyz, w, k)
-        return pd.DataFrame({"pid": pdf["pid"], **{c: pdf[c] for c in columns}, "leaf": pdf["leaf"],
+        return pd.DataFrame({"pid": pdf["pid"], **{c: pdf[c] for c in columns}, "region": pdf["region"],
                              "r": _kth(d, dw, k), "d": list(d), "dw": list(dw)})
 
     coords = ", ".join(f"`{c}` double" for c in columns)
-    first = materialize(placed.groupBy("leaf").applyInPandas(inside, f"pid bigint, {coords}, leaf bigint, r double, {near_type}"))
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            row, leaf = _leaves_within(pdf[columns].to_numpy(float), pdf["r"].to_numpy(float), axis, value, depth)
-            other = leaf != pdf["leaf"].to_numpy()[row]
-            row, leaf = row[other], leaf[other]
-            yield pd.DataFrame({"pid": pdf["pid"].to_numpy()[row], **{c: pdf[c].to_numpy()[row] for c in columns}, "leaf": leaf})
-
-    asked = materialize(first.select("pid", *columns, "leaf", "r").mapInPandas(reach, f"pid bigint, {coords}, leaf bigint"))
-    # one row per region, at most MAX_LEAVES
-    load = materialize(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("chunks")))
-    per_query = F.broadcast(load.select("leaf", F.col("chunks").alias("n_query")))
-    per_copy = F.broadcast(load.select("leaf", F.col("chunks").alias("n_copy")))
-    queries = asked.join(per_query, "leaf").select(
-        "pid", *columns, "leaf", F.pmod(F.hash("pid"), F.col("n_query")).alias("chunk"))
-    copies = placed.join(per_copy, "leaf").select(
-        *columns, "w", "leaf", F.explode(F.sequence(F.lit(0), F.col("n_copy") - 1)).alias("chunk"))
+    first = materialize(placed.groupBy("region").applyInPandas(inside, f"pid bigint, {coords}, region bigint, r double, {near_type}"))
+
+    asked = first.select("pid", *columns, F.col("region").alias("home"), "r", F.lit(1).cast("long").alias("region"))
+    for planes in rounds:  # regions that a round did not cut pass through it
+        cut = asked.join(planes, "region", "left")
+        asked = cut.withColumn("region", F.explode(F.when(F.col("depth").isNull(), F.array("region")).otherwise(
+            _children_within(columns)))).drop("depth", "axis", "value")
+    asked = materialize(asked.where("region <> home").select("pid", *columns, "region"))
+    load = materialize(asked.groupBy("region").agg(F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("chunks")))
+    queries = salted_join(asked, load, ["region"]).select("pid", *columns, "region", F.pmod(F.hash("pid"), F.col("chunks")).alias("chunk"))
+    copies = placed.join(load, "region").select(
+        *columns, "w", "region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def across(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or have.empty:
@@ -147,7 +170,7 @@ def kth_neighbor_distance(df: DataFrame, columns: Sequence[str], key: str, k: in
         d, dw = _nearest(ask[columns].to_numpy(float), have[columns].to_numpy(float), have["w"].to_numpy(), k)
         return pd.DataFrame({"pid": ask["pid"], "d": list(d), "dw": list(dw)})
 
-    second = queries.groupBy("leaf", "chunk").cogroup(copies.groupBy("leaf", "chunk")).applyInPandas(
+    second = queries.groupBy("region", "chunk").cogroup(copies.groupBy("region", "chunk")).applyInPandas(
         across, f"pid bigint, {near_type}")
 
     pairs = F.arrays_zip("d", "dw")

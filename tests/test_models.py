@@ -35,6 +35,29 @@ def test_many_queries_to_one_region_are_split(spark, monkeypatch):
     assert got.kth_distance.to_numpy() == pytest.approx(brute_kth(points), abs=1e-9)
 
 
+@pytest.mark.parametrize("depth", [2, 8])
+def test_over_full_regions_are_cut_again(spark, monkeypatch, depth):
+    monkeypatch.setattr(density, "ROUND_DEPTH", depth)
+    monkeypatch.setattr(density, "SAMPLE_PER_LEAF", 4)  # planes of a poor sample
+    rng = np.random.default_rng(5)
+    points = np.vstack([rng.normal(size=(300, 2)), rng.normal(5, 1e-6, (200, 2)), np.stack([np.full(100, 2.0), np.arange(100)], axis=1)])
+    pdf = pd.DataFrame(points, columns=["a", "b"]).assign(id=range(600))
+    df = spark.createDataFrame(pdf)
+    placed, rounds = density._regions(df, ["a", "b"], 16)
+    assert placed.count() == 600 and placed.groupBy("region").count().agg(F.max("count")).first()[0] <= 16
+    assert len(rounds) >= 6 // depth
+    got = density.kth_neighbor_distance(df, ["a", "b"], "id", leaf_points=16).toPandas().sort_values("id")
+    assert got.kth_distance.to_numpy() == pytest.approx(brute_kth(points), abs=1e-9)
+
+
+def test_regions_that_cannot_be_told_apart_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(density, "ROUND_DEPTH", 40)
+    monkeypatch.setattr(density, "_split_planes", lambda rows, depth: (np.zeros(1, np.int32), np.full(1, np.inf)))
+    df = spark.createDataFrame([(float(i),) for i in range(9)], "a double")
+    with pytest.raises(RuntimeError, match="after 1 round"):
+        density._regions(df, ["a"], 5)
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0)], "id int, a double")
     assert [r["kth_distance"] for r in density.kth_neighbor_distance(df, ["a"], "id").collect()] == [None, None]

@@ -7,11 +7,14 @@
    is the whole set). So only the rarest ``k - least + 1`` retained values of a set need listing:
    very frequent shingles are left out of the lists without losing a pair.
 3. Every list is turned into a star around its smallest member, so a list of n costs n rows, never n**2.
-   Two sets that share a listed value are in the same star. Large stars are cut into
-   blocks, and each pair of blocks is one unit of work.
-4. In each unit the union sketches of all pairs are estimated with array operations; members
+   Two sets that share a listed value are in the same star. Large stars are cut into blocks.
+4. First every block is compared within itself and with the star's head, which takes n rows. Members of one
+   component need no further comparison with each other: only those outside the head's component are
+   compared with the whole star, in pairs of their blocks and all blocks. So a star of near copies of one text is
+   written once, and one of n members with u outside about n * u / 400 times.
+5. In each unit the union sketches of pairs are formed and estimate their similarity; members
    with a possible partner stay, again at most one row a member.
-5. The full sets of those members are fetched once and verified exactly inside the units; a spanning
+6. The full sets of those members are fetched once and verified exactly inside the units; a spanning
    set of the verified links leaves each unit, and components follow from them.
 
 Documents without words are linked with nothing. Rows that share a doc_id count as one document with the
@@ -27,9 +30,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.order import salted_join
 from ledgerlens.llm.components import components
 from ledgerlens.llm.frames import map_batches, materialize
 from ledgerlens.llm.hashing import shingle_set
@@ -85,16 +89,53 @@ def _stars(listed: DataFrame) -> DataFrame:
     return listed.join(heads.select("value", "star"), "value").select("star", "rep", "n").distinct()
 
 
-def _units(stars: DataFrame) -> DataFrame:
-    """(star, unit, side, rep): members dealt to the pairs of blocks of their star."""
-    sizes = stars.groupBy("star").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = stars.join(sizes, "star").withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = dealt.select("star", "rep", "block", other.alias("other"))
-    return pairs.select("star", F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).alias("unit"),
-                        (F.col("block") > F.col("other")).alias("second"), "rep")
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _block_of(member: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(member), F.col(blocks)).cast("int")
+
+
+def _unit(low: Column, high: Column) -> Column:
+    return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")).alias("unit")
+
+
+def _dealt(stars: DataFrame) -> DataFrame:
+    """(star, rep, n, block, blocks): members dealt to the blocks of their star."""
+    sizes = stars.groupBy("star").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    # a star may hold a large share of all rows; those of one block need no row of their own
+    sized = salted_join(stars, sizes.where("blocks > 1"), ["star"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return sized.withColumn("block", _block_of("rep", "blocks"))
+
+
+def _first_units(dealt: DataFrame) -> DataFrame:
+    """(star, unit, rep, label): every block by itself, with the head of its star; each member has a label of its own."""
+    block = F.col("block")
+    heads = dealt.where("rep = star").select("star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("guest"), "block")
+    rows = dealt.select("star", _unit(block, block), "rep").union(
+        heads.where("guest <> block").select("star", _unit(F.col("guest"), F.col("guest")), F.col("star").alias("rep")))
+    return rows.withColumn("label", F.col("rep"))
+
+
+def _second_units(dealt: DataFrame, groups: DataFrame) -> DataFrame:
+    """(star, unit, rep, label): members outside their head's component, in pairs of their blocks and all blocks of the star.
+
+    ``groups`` are the components so far; two members with one label are not compared.
+    """
+    large = dealt.where("blocks > 1")
+    label = F.coalesce("component", "rep").alias("label")
+    rows = large.join(groups, F.col("rep") == F.col("node"), "left").select("star", "rep", "n", "block", "blocks", label)
+    heads = rows.where("rep = star").select("star", F.col("label").alias("core"))
+    apart = F.col("label") != F.col("core")
+    rows = materialize(salted_join(rows, heads, ["star"]).withColumn("apart", apart).drop("core"))
+    sizes = rows.where("apart").groupBy("star").agg(_blocks(F.count("*"), F.sum("n")).alias("shares"))
+    rows = salted_join(rows, sizes, ["star"]).withColumn("share", _block_of("rep", "shares"))
+    other = F.col("other")
+    everyone = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    outside = rows.where("apart").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    return everyone.select("star", _unit(other, F.col("block")), "rep", "label").union(
+        outside.select("star", _unit(F.col("share"), other), "rep", "label"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -120,7 +161,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _by_unit(units: DataFrame, values: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
     """``run`` on each unit's rows joined with ``values`` by rep."""
     rows = units.join(values, "rep").select(
-        "star", F.xxhash64("unit.low", "unit.high").alias("unit_no"), "unit", "rep", *columns)
+        "star", F.xxhash64("unit.low", "unit.high").alias("unit_no"), "unit", "rep", "label", *columns)
     rows = rows.repartition("star", "unit_no").sortWithinPartitions("star", "unit_no")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,36 +178,59 @@ def _by_unit(units: DataFrame, values: DataFrame, columns: list[str], run, schem
     return rows.mapInArrow(over, schema)
 
 
+def _union_sketch(left: np.ndarray, right: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of both sets in, and size of, the sketch of the union of each row's sets; ``none`` fills up short rows."""
+    merged = np.sort(np.concatenate([left, right], axis=1), axis=1)
+    real = merged < none
+    again = (merged[:, 1:] == merged[:, :-1]) & real[:, 1:]
+    place = np.cumsum(np.concatenate([real[:, :1], real[:, 1:] & ~again], axis=1), axis=1)
+    return (again & (place[:, 1:] <= SKETCH)).sum(axis=1), np.minimum(place[:, -1], SKETCH)
+
+
 def _hopeful(units: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(star, unit, rep): members whose union sketch with another member of the unit can reach the threshold."""
+    """(star, unit, rep, label): members whose union sketch with a member of another label can reach the threshold."""
     least = least_overlap(SKETCH, percent)
 
     def run(unit: pa.Table) -> pa.RecordBatch | None:
         sketch = unit.column("sketch").combine_chunks()
-        flat = sketch.flatten().to_numpy()
+        flat = sketch.flatten().to_numpy().view(np.uint64)
         sizes = np.diff(sketch.offsets.to_numpy())
         owner = np.repeat(np.arange(len(sizes)), sizes)
         value, index = np.unique(flat, return_inverse=True)
+        ranks = np.full((len(sizes), SKETCH), len(value), np.int32)
+        ranks[owner, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = index
         shared = np.bincount(index)[index] > 1
         _, index = np.unique(index[shared], return_inverse=True)
         if not len(index):
             return None
         matrix = np.zeros((len(sizes), index.max() + 1), np.float32)
         matrix[owner[shared], index] = 1
-        n = unit.column("n").to_numpy()
+        n, label = unit.column("n").to_numpy(), unit.column("label").to_numpy()
+
+        def reaches(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            both, size = _union_sketch(ranks[i], ranks[j], len(value))
+            return np.where(size == SKETCH, both >= least, 100 * both >= percent * size)  # a short one is the union itself
+
         hope = np.zeros(len(sizes), bool)
         for lo in range(0, len(sizes), 500):
-            both = matrix[lo:lo + 500] @ matrix.T
-            need = np.minimum(sizes[lo:lo + 500, None], sizes[None]) * (least / SKETCH)
+            both = matrix[lo:lo + 500] @ matrix.T  # no less than the shared values of the union's sketch
             small, large = np.minimum(n[lo:lo + 500, None], n[None]), np.maximum(n[lo:lo + 500, None], n[None])
-            ok = (both >= np.maximum(1, np.floor(need))) & (100 * small >= percent * large)
-            ok[np.arange(ok.shape[0]), lo + np.arange(ok.shape[0])] = False
-            hope[lo:lo + 500] = ok.any(axis=1)
+            ok = (both > 0) & (100 * small >= percent * large) & (label[lo:lo + 500, None] != label[None])
+            ok &= both >= np.minimum(least, np.floor(np.minimum(sizes[lo:lo + 500, None], sizes[None]) * (percent / 100)))
+            first = np.flatnonzero(ok.any(axis=1))  # the likeliest partner settles most members
+            likely = np.where(ok[first], both[first], -1).argmax(axis=1)
+            hope[lo + first] = reaches(lo + first, likely)
+            ok[hope[lo:lo + 500]] = False
+            i, j = np.nonzero(ok)
+            for at in range(0, len(i), 20_000):
+                row, partner = lo + i[at:at + 20_000], j[at:at + 20_000]
+                hope[row[reaches(row, partner)]] = True
         if not hope.any():
             return None
-        return unit.filter(pa.array(hope)).select(["star", "unit", "rep"]).combine_chunks().to_batches()[0]
+        return unit.filter(pa.array(hope)).select(["star", "unit", "rep", "label"]).combine_chunks().to_batches()[0]
 
-    return _by_unit(units, classes.select("rep", "n", "sketch"), ["n", "sketch"], run, "star long, unit struct<low:int,high:int>, rep long")
+    return _by_unit(units, classes.select("rep", "n", "sketch"), ["n", "sketch"], run,
+                    "star long, unit struct<low:int,high:int>, rep long, label long")
 
 
 def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +240,7 @@ def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         members = [np.frombuffer(s, np.uint64) for s in unit.column("set").to_pylist()]
         n = np.array([len(m) for m in members])
         order = np.argsort(n, kind="stable")
-        label = np.arange(len(rep))
+        label = unit.column("label").to_numpy().copy()
         _, index = np.unique(np.concatenate(members), return_inverse=True)
         often = np.bincount(index)
         column = np.cumsum(often > 1) - 1  # values of one member add nothing to an intersection
@@ -217,6 +281,12 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return map_batches(wanted, run, "rep long, set binary")
 
 
+def _verified(docs: DataFrame, units: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): the links inside ``units``."""
+    hopeful = materialize(_hopeful(materialize(units), classes, percent))
+    return materialize(_links(hopeful, _sets(docs, hopeful.select("rep").distinct(), width), percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id for every row of ``docs``.
 
@@ -227,10 +297,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = materialize(sketches(docs, width))
     classes = materialize(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(
         F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
-    units = materialize(_units(_stars(_listed(classes, percent))))
-    hopeful = materialize(_hopeful(units, classes, percent))
-    sets = _sets(docs, hopeful.select("rep").distinct(), width)
-    links = materialize(_links(hopeful, sets, percent))
+    dealt = materialize(_dealt(_stars(_listed(classes, percent))))
+    links = _verified(docs, _first_units(dealt), classes, width, percent)
+    if not dealt.where("blocks > 1").isEmpty():
+        links = links.union(_verified(docs, _second_units(dealt, components(links)), classes, width, percent))
     # rows that share a doc_id but not a set are tied through their classes
     shared = (found.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
               .where("low <> high").select("doc_id"))

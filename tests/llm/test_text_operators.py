@@ -169,6 +169,34 @@ def test_least_overlap_is_safe():
     assert minhash.least_overlap(32, 85) == 16 and minhash.least_overlap(32, 80) <= 14
 
 
+def test_union_sketch_is_that_of_the_merged_sets():
+    rng, none = np.random.default_rng(3), 1000
+    sets = [np.sort(rng.choice(60 if i % 2 else 400, rng.integers(1, 60), replace=False)) for i in range(60)]
+    ranks = np.full((60, minhash.SKETCH), none, np.int32)
+    for row, values in zip(ranks, sets):
+        row[:len(values[:minhash.SKETCH])] = values[:minhash.SKETCH]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    both, size = minhash._union_sketch(ranks[i], ranks[j], none)
+    for a, b, got, n in zip(i, j, both, size):
+        union = np.union1d(sets[a], sets[b])[:minhash.SKETCH]
+        assert n == len(union) and got == np.isin(union, np.intersect1d(sets[a], sets[b])).sum()
+
+
+def test_a_star_of_near_copies_is_written_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    written = []
+    monkeypatch.setattr(minhash, "_hopeful", lambda units, *rest, plain=minhash._hopeful: (written.append(units.count()), plain(units, *rest))[1])
+    words = [f"w{i}" for i in range(300)]
+    near = [(i, " ".join([*words[:i % 290], f"own{i}", *words[i % 290 + 1:]])) for i in range(1200)]
+    other = [(5000 + i, " ".join([*words[:70], *[f"v{i}x{k}" for k in range(200)]])) for i in range(30)]  # share words, not likeness
+    pair = [(6000, other[3][1] + " more"), (6001, other[4][1] + " more")]
+    df = spark.createDataFrame(near + other + pair, SCHEMA)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert {got[i] for i, _ in near} == {0}
+    assert got[6000] == 5003 and got[6001] == 5004 and all(got[i] == i for i, _ in other)
+    assert written[0] < 3 * 1400 and sum(written) < 10 * 1400  # whole pairs of blocks would be 1200 * 30 rows for the one star
+
+
 def test_repeats_equal_lookup(spark):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abcd éü\n") for _ in range(rnd.randint(30, 400))) for _ in range(30)]

@@ -112,6 +112,7 @@ def rfm_score_quintile(rfm: DataFrame) -> DataFrame:
 def segment_quintile(scored: DataFrame) -> DataFrame:
     """First matching rule on 1..5 scores; lapsed high-value customers are tested before the merely lapsed."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    # The rules, their order and the names.
     rule = (
         F.when((r <= 2) & (f >= 4) & (m >= 4), "Cannot Lose Them")
         .when((r >= 4) & (f >= 4) & (m >= 3), "Champions")
@@ -153,6 +154,7 @@ def rfm_score_tertile(rfm: DataFrame) -> DataFrame:
 def segment_tertile(scored: DataFrame) -> DataFrame:
     """First matching rule on 1..3 scores."""
     r, f, m, total = F.col("r_score"), F.col("f_score"), F.col("m_score"), F.col("rfm_score")
+    # The rules, their order and the names.
     rule = (
         F.when(total >= 8, "Champions")
         .when((r >= 3) & (f >= 2), "Loyal Customers")

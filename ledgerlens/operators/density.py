@@ -16,6 +16,7 @@ LEAF_POINTS = 2000
 ROUND_DEPTH = 8  # levels of planes a region gets in one round; bounds its sample and its row of planes
 MAX_DEPTH = 62  # a region is named by its path, one bit a level
 SAMPLE_PER_LEAF = 64
+FILL = 0.75  # regions are cut to this share of their limit, so that an uneven sample rarely costs a round
 QUERIES_PER_CHUNK = 50_000
 _HALO = 11  # rows after a row that a 10-point mean and two differences look at
 
@@ -82,7 +83,7 @@ def _regions(points: DataFrame, columns: Sequence[str], leaf_points: int) -> tup
     """
     placed, rounds = points.withColumn("region", F.lit(1).cast("long")), []
     while True:
-        levels = F.least(F.lit(ROUND_DEPTH), F.ceil(F.log2(F.col("n") / leaf_points))).cast("int")
+        levels = F.least(F.lit(ROUND_DEPTH), F.ceil(F.log2(F.col("n") / (FILL * leaf_points)))).cast("int")
         full = materialize(placed.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > leaf_points).withColumn("depth", levels))
         if full.isEmpty():
             return placed, rounds

@@ -52,7 +52,7 @@ def test_over_full_regions_are_cut_again(spark, monkeypatch, depth):
 
 def test_regions_that_cannot_be_told_apart_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(density, "ROUND_DEPTH", 40)
-    monkeypatch.setattr(density, "_split_planes", lambda rows, depth: (np.zeros(1, np.int32), np.full(1, np.inf)))
+    monkeypatch.setattr(density, "_split_planes", lambda rows, depth: (np.zeros(3, np.int32), np.full(3, np.inf)))
     df = spark.createDataFrame([(float(i),) for i in range(9)], "a double")
     with pytest.raises(RuntimeError, match="after 1 round"):
         density._regions(df, ["a"], 5)

@@ -5,11 +5,12 @@ byte a feature, with their labels and a bit for each model that learns from them
 cross-validation and the final fit are models of the same scan and share bins, rows and passes.
 
 A pass over the blocks adds up the gradients and curvatures of every open node of every model by feature and
-bin; the sums of the tasks meet by (model, node, feature), where the best split is chosen, and only
-those splits come back. A pass grows one level of one tree of all models. Margins are
-kept with the blocks and written again every ``REFRESH`` trees; the trees since then are applied on the way.
-When the rows fit one block there is nothing to add up between tasks: every model then grows where the block
-is, one task a model, by the same steps. Both ways give the same trees, but for the order of sums of doubles.
+bin; the sums of the tasks meet by (model, feature), where the best split of each node is chosen, and only
+those splits come back. A pass grows one level of one tree of all models. The blocks stay persisted with the
+margins after the last finished tree, so a pass places rows in the tree at hand alone; every ``REFRESH``
+trees they are written, which bounds what a lost executor costs. There are as many blocks as the cluster has cores, or a multiple.
+Up to ``TASK_BLOCKS`` blocks of rows (about 30 MB, less than a usual partition) cost less to grow where they are than
+a pass a level costs to start: they make one block, and every model grows in a task of its own, by the same steps. Both ways give the same trees, but for the order of sums of doubles.
 
 Missing values have a bin of their own and go to the side that gains more. Rows without label are not learnt
 from. A model without rows, or with one class only, keeps its base value.
@@ -17,15 +18,18 @@ from. A model without rows, or with one class only, keeps its base value.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
@@ -37,10 +41,13 @@ L2, LEAST_CURVATURE = 1.0, 1.0
 CUTS = 254  # of a feature; codes 0..254, 255 for a missing value
 MISSING = 255
 BLOCK_ROWS = 262_144
-REFRESH = 8
+TASK_BLOCKS = 4
+LEAST_BLOCK_ROWS = 16_384  # more cores than such blocks are not used
+REFRESH = 50
+SUMS_BYTES = 16_000_000  # of all tasks that one task adds up
+CHUNK_ROWS = 32_768  # rows looked at together: their arrays stay in a core's cache
 MAX_MODELS = 62  # one bit each in a long
 _BLOCKS = "block long, n long, bins binary, labels binary, member binary"
-_SPLITS = "model int, node int, feature int, gain double, cut int, missing_left boolean, g_left double, h_left double, g double, h double"
 
 
 @dataclass(frozen=True)
@@ -87,16 +94,24 @@ class Forest:
     def part(self, lo: int, hi: int) -> Forest:
         return Forest(*(getattr(self, c)[lo:hi] for c in _ARRAYS))
 
-    def place(self, bins: np.ndarray, tree: int, levels: int) -> np.ndarray:
-        """Node of every row after so many levels; rows stay where a leaf is."""
-        feature, cut, missing_left = self.feature[tree], self.cut[tree], self.missing_left[tree]
-        node = np.zeros(bins.shape[1], np.int64)
-        rows = np.arange(bins.shape[1])
-        for _ in range(levels):
-            f = feature[node]
-            code = bins[np.maximum(f, 0), rows]
-            left = (code <= cut[node]) | ((code == MISSING) & missing_left[node])
-            node = np.where(f >= 0, 2 * node + 2 - left, node)
+    def steps(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """Feature asked by every node, and the next node by (node, code); a leaf leads to itself."""
+        feature, node = self.feature[tree].astype(np.int64), np.arange(self.feature.shape[1])[:, None]
+        code = np.arange(256)
+        left = (code <= self.cut[tree][:, None]) | ((code == MISSING) & self.missing_left[tree][:, None])
+        return np.maximum(feature, 0), np.where(feature[:, None] >= 0, 2 * node + 2 - left, node).ravel()
+
+    def place(self, bins: np.ndarray, tree: int, levels: int, start: np.ndarray | None = None) -> np.ndarray:
+        """Node of every row after so many levels from ``start`` (the root); rows stay where a leaf is."""
+        feature, following = self.steps(tree)
+        n, flat = bins.shape[1], bins.reshape(-1)
+        node = np.zeros(n, np.int64) if start is None else start.copy()
+        for lo in range(0, n, CHUNK_ROWS):
+            own = node[lo:lo + CHUNK_ROWS]
+            rows = np.arange(lo, lo + len(own))
+            for _ in range(levels):
+                own = following.take(own * 256 + flat.take(feature.take(own) * n + rows))
+            node[lo:lo + CHUNK_ROWS] = own
         return node
 
     def margin(self, bins: np.ndarray) -> np.ndarray:
@@ -134,14 +149,16 @@ def tree_columns(seed: int, tree: int, features: int, share: float) -> np.ndarra
 
 
 def histogram(bins: np.ndarray, place: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """(2, node, column, code) sums of g and h; ``place`` is below ``nodes``."""
-    out = np.empty((2, nodes, len(columns), 256))
-    base = place * 256
-    for i, f in enumerate(columns):
-        at = base + bins[f]
-        out[0, :, i] = np.bincount(at, weights=g, minlength=nodes * 256).reshape(nodes, 256)
-        out[1, :, i] = np.bincount(at, weights=h, minlength=nodes * 256).reshape(nodes, 256)
-    return out
+    """(2, node, column, code) sums of g and h, added in the order of the rows; ``place`` is below ``nodes``."""
+    out = np.zeros((2, len(columns), nodes * 256))
+    for lo in range(0, len(place), CHUNK_ROWS):
+        part = slice(lo, lo + CHUNK_ROWS)
+        base, g_part, h_part = place[part] * 256, g[part], h[part]
+        for i, f in enumerate(columns):
+            at = base + bins[f, part]
+            np.add.at(out[0, i], at, g_part)
+            np.add.at(out[1, i], at, h_part)
+    return out.reshape(2, len(columns), nodes, 256).swapaxes(1, 2)
 
 
 def best_splits(sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -178,20 +195,9 @@ class Growth:
     def columns(self) -> np.ndarray:
         return tree_columns(self.seed, self.tree, self.features, self.settings.column_share)
 
-    def level_histogram(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, member: np.ndarray, block: int) -> np.ndarray:
-        """Sums of the open nodes (in their order) over one block's rows."""
-        s = self.settings
-        rows = np.flatnonzero(member & sampled(self.seed, self.tree, block, bins.shape[1], s.row_share))
-        bins, y = bins[:, rows], y[rows]
-        weight = np.where(y == 1, self.weight, 1.0) if self.objective == "logistic" else np.ones(len(y))
-        g, h = gradients(self.objective, margin[rows], y, weight)
-        slot = np.full(s.nodes, -1)
-        slot[self.open] = np.arange(len(self.open))
-        place = slot[self.forest.place(bins, self.tree, self.level)]
-        inside = place >= 0
-        if not inside.all():
-            bins, place, g, h = bins[:, inside], place[inside], g[inside], h[inside]
-        return histogram(bins, place, len(self.open), g, h, self.columns())
+    def order(self) -> Order:
+        return Order(self.objective, self.seed, self.slot, self.weight, self.settings.row_share, self.tree, self.level, self.open, self.columns(),
+                     self.forest.part(self.tree, self.tree + 1))
 
     def take(self, splits: Sequence[tuple]) -> None:
         """Split the open nodes by (node, feature, gain, cut, missing_left, g_left, h_left, g, h) and go one level down."""
@@ -217,9 +223,62 @@ class Growth:
         return self.tree == self.settings.trees
 
 
+@dataclass
+class Order:
+    """What a task needs to know of a model to add up a level of its tree."""
+
+    objective: str
+    seed: int
+    slot: int
+    weight: float
+    row_share: float
+    tree: int
+    level: int
+    open: np.ndarray
+    columns: np.ndarray
+    forest: Forest  # the tree at hand alone
+
+    def rows(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, member: np.ndarray, block: int) -> TreeRows:
+        """The rows of a block that the tree learns from, placed down to the level at hand."""
+        rows = np.flatnonzero(member & sampled(self.seed, self.tree, block, bins.shape[1], self.row_share))
+        y = y[rows]
+        weight = np.where(y == 1, self.weight, 1.0) if self.objective == "logistic" else np.ones(len(y))
+        bins = bins.take(rows, axis=1)
+        return TreeRows(bins, *gradients(self.objective, margin[rows], y, weight), self.forest.place(bins, 0, self.level))
+
+
+@dataclass
+class TreeRows:
+    """Rows that a tree learns from, with their derivatives and the node each has come to."""
+
+    bins: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    node: np.ndarray
+
+    def sums(self, order: Order) -> np.ndarray:
+        """Sums of the open nodes (in their order); rows in leaves are let go."""
+        slot = np.full(order.forest.feature.shape[1], -1)
+        slot[order.open] = np.arange(len(order.open))
+        place = slot[self.node]
+        inside = place >= 0
+        if not inside.all():
+            self.bins, self.g, self.h, self.node, place = self.bins.compress(inside, axis=1), self.g[inside], self.h[inside], self.node[inside], place[inside]
+        return histogram(self.bins, place, len(order.open), self.g, self.h, order.columns)
+
+    def step(self, forest: Forest) -> None:
+        """One level down."""
+        self.node = forest.place(self.bins, 0, 1, self.node)
+
+
 def _chosen(open_nodes: np.ndarray, columns: np.ndarray, sums: np.ndarray) -> list[tuple]:
     """The best split of every open node over its columns."""
-    gain, cut, missing_left, gl, hl, g, h = best_splits(sums)
+    return _picked(open_nodes, columns, best_splits(sums))
+
+
+def _picked(open_nodes: np.ndarray, columns: np.ndarray, found: Sequence[np.ndarray]) -> list[tuple]:
+    """The column of the highest gain of every open node, the first of equal ones; ``found`` is by (node, column)."""
+    gain, cut, missing_left, gl, hl, g, h = found
     best = gain.argmax(axis=1)
     return [(int(node), int(columns[c]), float(gain[i, c]), int(cut[i, c]), bool(missing_left[i, c]), float(gl[i, c]), float(hl[i, c]), float(g[i, c]), float(h[i, c]))
             for i, (node, c) in enumerate(zip(open_nodes, best))]
@@ -254,7 +313,12 @@ def binned_blocks(df: DataFrame, features: Sequence[str], labels: Sequence[str],
     narrow = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
                        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"y{i}") for i, c in enumerate(labels)], member.alias("member"))
     narrow = narrow.where("member <> 0")
-    parts = -(-narrow.count() // BLOCK_ROWS) or 1
+    n, cores = narrow.count(), df.sparkSession.sparkContext.defaultParallelism
+    if n <= TASK_BLOCKS * BLOCK_ROWS:
+        parts, most = 1, TASK_BLOCKS * BLOCK_ROWS
+    else:  # blocks are added up apart: all cores get as many
+        parts, most = -(-n // BLOCK_ROWS), BLOCK_ROWS * 1.5
+        parts = max(parts, min(-(-parts // cores) * cores, -(-n // LEAST_BLOCK_ROWS)))
     width = len(features)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +338,7 @@ def binned_blocks(df: DataFrame, features: Sequence[str], labels: Sequence[str],
             columns = [_doubles(c) for c in batch.columns[:-1]]
             held.append((codes(columns[:width], cuts), np.stack(columns[width:]), batch.columns[-1].to_numpy()))
             rows += batch.num_rows
-            if rows >= BLOCK_ROWS * 1.5:  # one block is kept whole when the partition is a little over
+            if rows >= most and parts > 1:  # one block is kept whole when the partition is a little over
                 yield block()
                 number, held, rows = number + 1, [], 0
         if held:
@@ -289,9 +353,10 @@ class _Block:
     bins: np.ndarray
     labels: np.ndarray
     member: np.ndarray
+    margins: np.ndarray | None = None  # (model, row)
 
     @staticmethod
-    def of(row: dict, features: int) -> _Block:
+    def of(row: dict | Row, features: int) -> _Block:
         n = row["n"]
         return _Block(row["block"], np.frombuffer(row["bins"], np.uint8).reshape(features, n), np.frombuffer(row["labels"]).reshape(-1, n),
                       np.frombuffer(row["member"], np.int64))
@@ -336,117 +401,120 @@ def _grow_in_task(blocks: DataFrame, growths: Sequence[Growth], features: int) -
     """Every model grows where the only block is: one task a model."""
     models = len(growths)
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, model = _Block.of(row, features), row["model"]
-                growth = growths[model]
-                y, member = block.labels[growth.slot], block.learns(model)
-                margin = np.full(len(y), growth.base)
-                while not growth.done:
-                    tree = growth.tree
-                    growth.take(_chosen(growth.open, growth.columns(), growth.level_histogram(block.bins, margin, y, member, block.number)))
-                    if growth.tree > tree:
-                        margin += growth.forest.part(tree, tree + 1).margin(block.bins)
-                yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), *[pa.array([getattr(growth.forest, c).tobytes()], pa.binary()) for c in _ARRAYS]],
-                                                 ["model", *_ARRAYS])
-
-    dealt = blocks.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).repartition(models, "model")
-    rows = {r["model"]: r for r in dealt.mapInArrow(grow, "model int, " + ", ".join(f"{c} binary" for c in _ARRAYS)).collect()}  # a row a model
-    forests = []
-    for i, growth in enumerate(growths):
-        empty = growth.forest
-        forests.append(Forest(*(np.frombuffer(rows[i][c], getattr(empty, c).dtype).reshape(getattr(empty, c).shape) for c in _ARRAYS)) if i in rows else empty)
-    return forests
-
-
-def _level_pass(blocks: DataFrame, growths: Sequence[Growth], features: int, since: int) -> dict[int, list[tuple]]:
-    """Best splits of the open nodes of all models that are not done."""
-    busy = [i for i, g in enumerate(growths) if not g.done]
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block.of(row, features)
-                margins = np.frombuffer(row["margins"]).reshape(len(growths), -1)
-                for i in busy:
-                    g = growths[i]
-                    margin = margins[i] + g.forest.part(since, g.tree).margin(block.bins)
-                    own = g.level_histogram(block.bins, margin, block.labels[g.slot], block.learns(i), block.number)
-                    sums[i] = own + sums[i] if i in sums else own
-        for i, s in sums.items():
-            nodes, columns = s.shape[1:3]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(nodes * columns, i, np.int32)), pa.array(np.repeat(growths[i].open, columns).astype(np.int32)),
-                pa.array(np.tile(growths[i].columns(), nodes).astype(np.int32)),
-                pa.array([s[:, n, c].tobytes() for n in range(nodes) for c in range(columns)], pa.binary())], ["model", "node", "feature", "sums"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int, int], np.ndarray] = {}  # a share of models x nodes x features
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, own = (row["model"], row["node"], row["feature"]), np.frombuffer(row["sums"]).reshape(2, 256)
-                sums[key] = sums[key] + own if key in sums else own
-        if sums:
-            keys = np.array(list(sums), np.int32)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys.T.copy()), *[pa.array(x) for x in _in_split_order(best_splits(np.stack(list(sums.values()), axis=1)))]],
-                                             [c.split()[0] for c in _SPLITS.split(", ")])
-
-    parts = blocks.mapInArrow(local, "model int, node int, feature int, sums binary")
-    best: dict[tuple[int, int], tuple] = {}
-    for r in parts.repartition("model", "node", "feature").mapInArrow(merged, _SPLITS).collect():  # a row for each model, open node and feature
-        key, split = (r["model"], r["node"]), (r["node"], r["feature"], *r[3:])
-        if key not in best or (split[2], -split[1]) > (best[key][2], -best[key][1]):
-            best[key] = split
-    out: dict[int, list[tuple]] = {i: [] for i in busy}
-    for (model, _), split in best.items():
-        out[model].append(split)
-    return out
+    def grow(dealt: tuple[int, Row]) -> tuple[int, Forest]:
+        model, block = dealt[0], _Block.of(dealt[1], features)
+        growth = growths[model]
+        y, member = block.labels[growth.slot], block.learns(model)
+        margin = np.full(len(y), growth.base)
+        while not growth.done:
+            tree, order = growth.tree, growth.order()
+            rows = order.rows(block.bins, margin, y, member, block.number)
+            while growth.tree == tree:
+                order = growth.order()
+                if order.level:
+                    rows.step(order.forest)
+                growth.take(_chosen(order.open, order.columns, rows.sums(order)))
+            margin += growth.forest.part(tree, tree + 1).margin(block.bins)
+        return model, growth.forest
 
+    dealt = blocks.rdd.flatMap(lambda row: [(model, row) for model in range(models)]).partitionBy(models, lambda model: model)
+    forests = dict(dealt.map(grow).collect())  # a row a model
+    return [forests.get(i, growth.forest) for i, growth in enumerate(growths)]
 
-def _in_split_order(found: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-    gain, cut, missing_left, gl, hl, g, h = found
-    return [gain, cut.astype(np.int32), missing_left, gl, hl, g, h]
 
+def _held(blocks: DataFrame, growths: Sequence[Growth], features: int, tasks: int) -> RDD:
+    """The blocks, dealt to as many tasks as there are cores, with the margins written with them or the base."""
+    bases = [g.base for g in growths]
 
-def _with_margins(blocks: DataFrame, growths: Sequence[Growth], features: int, since: int | None, upto: int) -> DataFrame:
-    """The blocks with the margins of all models after ``upto`` trees, written anew."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block.of(row, features)
-                if since is None:
-                    margins = np.stack([np.full(row["n"], g.base) for g in growths])
-                else:
-                    margins = np.frombuffer(row["margins"]).reshape(len(growths), -1) + np.stack([g.forest.part(since, upto).margin(block.bins) for g in growths])
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["n"]]), *[pa.array([row[c]], pa.binary()) for c in ("bins", "labels", "member")],
-                                                  pa.array([margins.tobytes()], pa.binary())], ["block", "n", "bins", "labels", "member", "margins"])
+    def block(row: Row) -> tuple[int, _Block]:
+        own = _Block.of(row, features)
+        own.margins = np.stack([np.full(row["n"], x) for x in bases]) if row["margins"] is None else np.frombuffer(row["margins"]).reshape(len(bases), -1)
+        return own.number, own
 
-    return materialize(blocks.mapInArrow(run, _BLOCKS + ", margins binary"))
+    if "margins" not in blocks.columns:
+        blocks = blocks.withColumn("margins", F.lit(None).cast("binary"))
+    return blocks.rdd.map(block).partitionBy(tasks, lambda number: (number >> 32) % tasks).values().persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _grow_across_blocks(blocks: DataFrame, growths: Sequence[Growth], features: int) -> list[Forest]:
-    """One pass a level: tasks add up their blocks, sums meet by model, node and feature."""
-    trees, since = growths[0].settings.trees, 0
-    held = _with_margins(blocks, growths, features, None, 0)
-    for tree in range(trees):
-        if tree - since >= REFRESH:
-            held, since = _with_margins(held, growths, features, since, tree), tree
-        while any(g.tree == tree for g in growths):
-            splits = _level_pass(held, [g if g.tree == tree else _Idle() for g in growths], features, since)
-            for i, own in splits.items():
-                if own:
-                    growths[i].take(own)
-                else:  # no row is left for the tree
-                    growths[i].tree, growths[i].level, growths[i].open = tree + 1, 0, np.array([0])
-    return [g.forest for g in growths]
+def _advanced(held: RDD, growths: Sequence[Growth], tree: int) -> RDD:
+    """The blocks with the margins after one more tree."""
+    grown = [g.forest.part(tree, tree + 1) for g in growths]
+
+    def add(block: _Block) -> _Block:
+        return _Block(block.number, block.bins, block.labels, block.member, np.stack([m + f.margin(block.bins) for m, f in zip(block.margins, grown)]))
 
+    return held.map(add).persist(StorageLevel.MEMORY_AND_DISK)
 
-class _Idle:
-    """A model whose tree is finished before those of the others."""
 
-    done = True
+def _written(held: RDD, spark: SparkSession) -> DataFrame:
+    """The blocks with their margins as a table in the shared folder."""
+    rows = held.map(lambda b: (b.number, b.bins.shape[1], *[bytearray(x.tobytes()) for x in (b.bins, b.labels, b.member, b.margins)]))
+    return materialize(spark.createDataFrame(rows, _BLOCKS + ", margins binary"))
+
+
+@cache
+def _settled() -> None:
+    """Workers collect garbage after every task; what one has imported by its first pass is not looked at again."""
+    gc.freeze()
+
+
+def _level_pass(held: RDD, growths: Sequence[Growth], busy: Sequence[int], cuts: Sequence[int], tasks: int) -> dict[int, list[tuple]]:
+    """Best splits of the open nodes of the models in ``busy``; ``cuts`` is the number of cuts of each feature."""
+    orders = {i: growths[i].order() for i in busy}
+    keys = {key: at for at, key in enumerate((i, int(f)) for i, o in orders.items() for f in o.columns)}
+
+    def local(blocks: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
+        _settled()
+        sums: dict[int, np.ndarray] = {}
+        for b in blocks:
+            for i, o in orders.items():
+                own = o.rows(b.bins, b.margins[i], b.labels[o.slot], b.learns(i), b.number).sums(o)
+                sums[i] = own + sums[i] if i in sums else own
+        for i, s in sums.items():
+            for c, f in enumerate(orders[i].columns):  # codes that do not occur are left out
+                yield keys[i, int(f)], np.append(s[:, :, c, :cuts[f] + 1], s[:, :, c, MISSING:], axis=-1)
+
+    def merged(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, tuple]]:
+        _settled()
+        sums: dict[int, np.ndarray] = {}  # a share of models x features
+        for key, own in parts:
+            sums[key] = sums[key] + own if key in sums else own
+        for key, s in sums.items():
+            whole = np.zeros((*s.shape[:2], 256))
+            whole[:, :, :s.shape[2] - 1], whole[:, :, MISSING] = s[:, :, :-1], s[:, :, -1]
+            yield key, best_splits(whole)
+
+    size = sum(len(o.open) * (cuts[int(f)] + 2) * 16 for o in orders.values() for f in o.columns)
+    reducers = min(tasks, len(keys), -(-size * tasks // SUMS_BYTES))
+    found = dict(held.mapPartitions(local).partitionBy(reducers, lambda key: key % reducers).mapPartitions(merged).collect())  # a row for each model and feature
+    out = {}
+    for i, o in orders.items():
+        gain, cut, missing_left, gl, hl, g, h = (np.stack(x, axis=1) for x in zip(*[found[keys[i, int(f)]] for f in o.columns]))
+        out[i] = _picked(o.open, o.columns, (gain, cut, missing_left, gl, hl, g, h))
+    return out
+
+
+def _grow_across_blocks(blocks: DataFrame, growths: Sequence[Growth], features: int, cuts: Sequence[int]) -> list[Forest]:
+    """One pass a level: tasks add up their blocks, sums meet by model and feature."""
+    spark, trees = blocks.sparkSession, growths[0].settings.trees
+    tasks = min(spark.sparkContext.defaultParallelism, blocks.count())
+    held, before = _held(blocks, growths, features, tasks), None
+    for tree in range(trees):
+        if tree and tree % REFRESH == 0:
+            table = _written(held, spark)
+            held.unpersist()
+            held = _held(table, growths, features, tasks)
+        while busy := [i for i, g in enumerate(growths) if g.tree == tree]:
+            splits = _level_pass(held, growths, busy, cuts, tasks)
+            for i, own in splits.items():
+                growths[i].take(own)
+            if before is not None:  # the first pass of a tree has brought the margins on
+                before.unpersist()
+                before = None
+        if tree + 1 < trees:
+            held, before = _advanced(held, growths, tree), held
+    held.unpersist()
+    return [g.forest for g in growths]
 
 
 # ---- models
@@ -533,8 +601,10 @@ def fit_many(df: DataFrame, features: Sequence[str], specs: Sequence[Spec], sett
     blocks = binned_blocks(learnt, names, labels, specs, cuts)
     starts = _starts(blocks, specs, labels, len(names))
     growths = [Growth(s, labels.index(s.label), settings, len(names), base, weight) for s, (base, weight) in zip(specs, starts)]
-    grow = _grow_in_task if blocks.limit(2).count() <= 1 else _grow_across_blocks
-    forests = grow(blocks, growths, len(names))
+    if blocks.limit(2).count() <= 1:
+        forests = _grow_in_task(blocks, growths, len(names))
+    else:
+        forests = _grow_across_blocks(blocks, growths, len(names), [len(c) for c in cuts])
     return [BoostedModel(names, s.objective, base, cuts, forest, indexer, s.label) for s, (base, _), forest in zip(specs, starts, forests)]
 
 

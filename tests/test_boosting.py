@@ -87,6 +87,34 @@ def test_blocks_and_one_task_grow_the_same_trees(data, monkeypatch):
         assert a.forest.value == pytest.approx(b.forest.value, abs=1e-9)
 
 
+def test_a_few_blocks_of_rows_need_no_pass_a_level(data, monkeypatch):
+    _, df = data
+    specs = [boosting.Spec("label", balanced=True), *learning.fold_specs("spend", "tweedie", 3)]
+    settings = boosting.Settings(trees=3, depth=3, learning_rate=0.3)
+    one = boosting.fit_many(df, ["a", "b", "c"], specs, settings)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    monkeypatch.delattr(boosting, "_level_pass")
+    for a, b in zip(one, boosting.fit_many(df, ["a", "b", "c"], specs, settings)):
+        assert np.array_equal(a.forest.feature, b.forest.feature) and np.array_equal(a.forest.value, b.forest.value)
+
+
+def test_a_pass_carries_one_tree_and_blocks_suit_the_cores(data, spark, monkeypatch):
+    _, df = data
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(boosting, "LEAST_BLOCK_ROWS", 20)
+    dealt, placed = [], []
+    plain = boosting._level_pass
+
+    def watched(held, growths, busy, cuts, tasks):
+        dealt.append(held.map(lambda b: b.bins.shape[1]).collect())
+        placed.extend(len(growths[i].order().forest.feature) for i in busy)
+        return plain(held, growths, busy, cuts, tasks)
+
+    monkeypatch.setattr(boosting, "_level_pass", watched)
+    boosting.fit_many(df, ["a", "b", "c"], [boosting.Spec("label")], boosting.Settings(trees=3, depth=2))
+    assert set(placed) == {1} and all(sum(d) == 500 and len(d) % spark.sparkContext.defaultParallelism == 0 for d in dealt)
+
+
 def test_folds_learn_only_from_their_rows(data):
     pdf, df = data
     settings = boosting.Settings(trees=10, depth=3, learning_rate=0.3)

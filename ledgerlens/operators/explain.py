@@ -35,6 +35,11 @@ class _Leaf:
     table: np.ndarray  # (pattern, feature of the path)
     expected: float
 
+    def bits(self, i: int) -> np.ndarray:
+        """By code: the bit of feature ``i`` in the pattern where its condition is met, else 0."""
+        code = np.arange(MISSING + 1)
+        return (((code > self.low[i]) & (code <= self.high[i])) | ((code == MISSING) & self.missing[i])).astype(np.intp) << i
+
 
 def _table(value: float, share: np.ndarray) -> np.ndarray:
     m = len(share)
@@ -80,17 +85,14 @@ def base_value(model: BoostedModel) -> float:
 
 def contribution_matrix(cuts: Sequence[np.ndarray], leaves: Sequence[_Leaf], columns: Sequence[np.ndarray]) -> np.ndarray:
     """(row, feature) contributions to the margin."""
-    bins = codes(columns, cuts).astype(np.int16)
+    bins = codes(columns, cuts)
     out = np.zeros((bins.shape[0], bins.shape[1]))
     for leaf in leaves:
-        pattern = np.zeros(bins.shape[1], np.int64)
+        pattern = np.zeros(bins.shape[1], np.intp)
         for i, j in enumerate(leaf.features):
-            code = bins[j]
-            meets = ((code > leaf.low[i]) & (code <= leaf.high[i])) | ((code == MISSING) & leaf.missing[i])
-            pattern |= meets.astype(np.int64) << i
-        part = leaf.table[pattern]
+            pattern += leaf.bits(i).take(bins[j])
         for i, j in enumerate(leaf.features):
-            out[j] += part[:, i]
+            out[j] += leaf.table[:, i].take(pattern)
     return out.T
 
 

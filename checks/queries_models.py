@@ -7,12 +7,12 @@ whole tables all the same. Ensemble sizes and restarts are the operators' defaul
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import bindings as b
 from checks.registry import query
 from ledgerlens.functions.likelihood import mean_log_likelihood
+from ledgerlens.functions.order import global_row_number, ntile_bucket
 from ledgerlens.functions.scalars import minus_days
 from ledgerlens.operators import boosting, btyd, clean, cluster, density, explain, features, learning, metrics, mixture
 from ledgerlens.plans import early_warning, scoring, training
@@ -99,10 +99,11 @@ def _(spark, sf):
     """Costs fall with K, and each is below that of K equal bands of recency, the best single measure to cut by."""
     vectors = _vectors(spark, sf)
     scan = cluster.kmeans_scan(spark, vectors).orderBy("k").collect()
+    placed = materialize(global_row_number(b.scaled(spark, sf).select(*Z, "customer_key"), ["z_recency", "customer_key"]))
+    n = F.lit(placed.count())
     rows, before = [], float("inf")
     for r in scan:
-        bands = b.scaled(spark, sf).withColumn("band", F.ntile(r["k"]).over(Window.orderBy("z_recency", "customer_key")))
-        within, grouped = _cost(bands, "band")
+        within, grouped = _cost(placed.withColumn("band", ntile_bucket(F.col("row_no"), n, r["k"])), "band")
         rows.append((r["k"], r["wcss"] < before, r["wcss"] <= grouped.agg(within.alias("c")).agg(F.sum("c")).first()[0]))
         before = r["wcss"]
     return spark.createDataFrame(rows, "k int, cost_falls boolean, below_bands boolean")

@@ -61,7 +61,7 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def retail(spark: SparkSession, sf: str) -> DataFrame:
     """Clean transactions of ordinary customers (read by most later stages)."""
-    return stored(spark, sf, "retail", lambda s, d: wholesale.detect_wholesale(cleaned(s, d)))
+    return stored(spark, sf, "retail", lambda s, d: wholesale.detect_wholesale(materialize(cleaned(s, d))))  # read twice there
 
 
 def rfm_base(spark: SparkSession, sf: str) -> DataFrame:

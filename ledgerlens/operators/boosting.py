@@ -5,8 +5,10 @@ byte a feature, with their labels and a bit for each model that learns from them
 cross-validation and the final fit are models of the same scan and share bins, rows and passes.
 
 A pass over the blocks adds up the gradients and curvatures of every open node of every model by feature and
-bin; the sums of the tasks meet by (model, feature), where the best split of each node is chosen, and only
-those splits come back. A pass grows one level of one tree of all models. The blocks stay persisted with the
+bin. Where the sums of all tasks are few (``SUMS_BYTES``, whatever the number of rows) the driver adds them up; else
+they meet by (model, feature), where the best split of each node is chosen, and only those splits come back. From
+``DIFFERENCE_ROWS`` rows on only the lighter child of a split is added up: its sibling's sums are those of the parent
+without it. A pass grows one level of one tree of all models. The blocks stay persisted with the
 margins after the last finished tree, so a pass places rows in the tree at hand alone; every ``REFRESH``
 trees they are written, which bounds what a lost executor costs. There are as many blocks as the cluster has cores, or a multiple.
 Up to ``TASK_BLOCKS`` blocks of rows (about 30 MB, less than a usual partition) cost less to grow where they are than
@@ -44,7 +46,8 @@ BLOCK_ROWS = 262_144
 TASK_BLOCKS = 4
 LEAST_BLOCK_ROWS = 16_384  # more cores than such blocks are not used
 REFRESH = 50
-SUMS_BYTES = 16_000_000  # of all tasks that one task adds up
+SUMS_BYTES = 16_000_000  # of all tasks that one task, or the driver, adds up
+DIFFERENCE_ROWS = 65_536  # fewer rows are added up node by node, which costs little
 CHUNK_ROWS = 32_768  # rows looked at together: their arrays stay in a core's cache
 MAX_MODELS = 62  # one bit each in a long
 _BLOCKS = "block long, n long, bins binary, labels binary, member binary"
@@ -101,22 +104,22 @@ class Forest:
         left = (code <= self.cut[tree][:, None]) | ((code == MISSING) & self.missing_left[tree][:, None])
         return np.maximum(feature, 0), np.where(feature[:, None] >= 0, 2 * node + 2 - left, node).ravel()
 
-    def place(self, bins: np.ndarray, tree: int, levels: int, start: np.ndarray | None = None) -> np.ndarray:
-        """Node of every row after so many levels from ``start`` (the root); rows stay where a leaf is."""
+    def place(self, bins: np.ndarray, tree: int, levels: int, start: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+        """Node of every row (or of ``rows``) after so many levels from ``start`` (the root); rows stay where a leaf is."""
         feature, following = self.steps(tree)
-        n, flat = bins.shape[1], bins.reshape(-1)
-        node = np.zeros(n, np.int64) if start is None else start.copy()
-        for lo in range(0, n, CHUNK_ROWS):
-            own = node[lo:lo + CHUNK_ROWS]
-            rows = np.arange(lo, lo + len(own))
+        width, flat = len(bins), bins.T.reshape(-1)  # a row's codes lie together
+        rows = np.arange(bins.shape[1]) if rows is None else rows
+        node = np.zeros(len(rows), np.int64) if start is None else start.copy()
+        for lo in range(0, len(rows), CHUNK_ROWS):
+            own, at = node[lo:lo + CHUNK_ROWS], rows[lo:lo + CHUNK_ROWS] * width
             for _ in range(levels):
-                own = following.take(own * 256 + flat.take(feature.take(own) * n + rows))
+                own = following.take(own * 256 + flat.take(feature.take(own) + at))
             node[lo:lo + CHUNK_ROWS] = own
         return node
 
     def margin(self, bins: np.ndarray) -> np.ndarray:
         """Sum of all trees for every row."""
-        out = np.zeros(bins.shape[1])
+        out, bins = np.zeros(bins.shape[1]), np.asfortranarray(bins)
         depth = (self.feature.shape[1] + 1).bit_length() - 2
         for t in range(len(self.feature)):
             out += self.value[t][self.place(bins, t, depth)]
@@ -139,7 +142,8 @@ def sampled(seed: int, tree: int, block: int, n: int, share: float) -> np.ndarra
     """Rows of a block that a tree learns from, by hash: the same wherever and however often it is asked."""
     h = np.arange(n, dtype=np.uint64) + np.uint64((block * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03 + tree * 0x8CB92BA72F3D8DD7) % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
     return (h ^ (h >> np.uint64(31))) < np.uint64(min(2**64 - 1, int(share * 2**64)))
 
 
@@ -148,19 +152,6 @@ def tree_columns(seed: int, tree: int, features: int, share: float) -> np.ndarra
     return np.sort(np.random.default_rng((seed, tree)).permutation(features)[:max(1, round(share * features))])
 
 
-def histogram(bins: np.ndarray, place: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """(2, node, column, code) sums of g and h, added in the order of the rows; ``place`` is below ``nodes``."""
-    out = np.zeros((2, len(columns), nodes * 256))
-    for lo in range(0, len(place), CHUNK_ROWS):
-        part = slice(lo, lo + CHUNK_ROWS)
-        base, g_part, h_part = place[part] * 256, g[part], h[part]
-        for i, f in enumerate(columns):
-            at = base + bins[f, part]
-            np.add.at(out[0, i], at, g_part)
-            np.add.at(out[1, i], at, h_part)
-    return out.reshape(2, len(columns), nodes, 256).swapaxes(1, 2)
-
-
 def best_splits(sums: np.ndarray) -> tuple[np.ndarray, ...]:
     """Best cut of every histogram (..., code): gain, cut, missing_left, g_left, h_left, g, h; gain 0 without one."""
     g, h = sums[0], sums[1]
@@ -186,19 +177,41 @@ def best_splits(sums: np.ndarray) -> tuple[np.ndarray, ...]:
 class Growth:
     """One model while it grows: its forest so far and the open nodes of the tree at hand."""
 
-    def __init__(self, spec: Spec, slot: int, settings: Settings, features: int, base: float, weight: float):
+    def __init__(self, spec: Spec, slot: int, settings: Settings, features: int, base: float, weight: float, rows: float):
         self.objective, self.seed, self.slot, self.base, self.weight = spec.objective, spec.seed, slot, base, weight  # slot: of its label
         self.settings, self.features = settings, features
         self.forest = Forest.empty(settings.trees, settings.nodes)
         self.tree, self.level, self.open = 0, 0, np.array([0])
+        self.differs = rows >= DIFFERENCE_ROWS
+        self.known: tuple[np.ndarray, np.ndarray] | None = None  # nodes of the level before, and their sums
 
     def columns(self) -> np.ndarray:
         return tree_columns(self.seed, self.tree, self.features, self.settings.column_share)
 
     def order(self) -> Order:
-        return Order(self.objective, self.seed, self.slot, self.weight, self.settings.row_share, self.tree, self.level, self.open, self.columns(),
+        return Order(self.objective, self.seed, self.slot, self.weight, self.settings.row_share, self.tree, self.level, self.added(), self.columns(),
                      self.forest.part(self.tree, self.tree + 1))
 
+    def added(self) -> np.ndarray:
+        """The open nodes to add up: of two siblings the lighter, where the sums of their parent are known."""
+        if self.known is None:
+            return self.open
+        left, cover = self.open[::2], self.forest.cover[self.tree]  # children are opened in pairs
+        return np.where(cover[left] <= cover[left + 1], left, left + 1)
+
+    def whole(self, sums: np.ndarray) -> np.ndarray:
+        """Sums of all open nodes from those of ``added``."""
+        if self.known is not None:
+            added, (nodes, before) = self.added(), self.known
+            parent = before[:, np.searchsorted(nodes, (added - 1) // 2)]
+            rest = parent - sums
+            # codes that only the other child has leave what rounding leaves
+            rest[:, (rest[1] <= 1e-11 * parent[1]) & (np.abs(rest[0]) <= 1e-9 * (np.abs(parent[0]) + parent[1]))] = 0
+            right = (added % 2 == 0)[None, :, None, None]
+            sums = np.stack([np.where(right, rest, sums), np.where(right, sums, rest)], axis=2).reshape(2, len(self.open), *sums.shape[2:])
+        self.known = (self.open, sums) if self.differs else None
+        return sums
+
     def take(self, splits: Sequence[tuple]) -> None:
         """Split the open nodes by (node, feature, gain, cut, missing_left, g_left, h_left, g, h) and go one level down."""
         f, t, s = self.forest, self.tree, self.settings
@@ -215,7 +228,7 @@ class Growth:
                 opened.append(child)
         self.level += 1
         if self.level == s.depth or not opened:
-            self.tree, self.level, opened = self.tree + 1, 0, [0]
+            self.tree, self.level, opened, self.known = self.tree + 1, 0, [0], None
         self.open = np.array(opened)
 
     @property
@@ -238,42 +251,63 @@ class Order:
     columns: np.ndarray
     forest: Forest  # the tree at hand alone
 
-    def rows(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, member: np.ndarray, block: int) -> TreeRows:
-        """The rows of a block that the tree learns from, placed down to the level at hand."""
-        rows = np.flatnonzero(member & sampled(self.seed, self.tree, block, bins.shape[1], self.row_share))
-        y = y[rows]
+    def rows(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, learnt: np.ndarray, block: int) -> TreeRows:
+        """The rows of a block that the tree learns from, of ``learnt``, placed down to the level at hand."""
+        rows = np.flatnonzero(sampled(self.seed, self.tree, block, len(learnt), self.row_share) & learnt)
+        return TreeRows(bins, margin, y, rows, self.forest.place(bins, 0, self.level, rows=rows))
+
+    def derivatives(self, margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradients and curvatures as complex numbers: one addition serves both."""
+        out = np.empty(len(y), complex)
         weight = np.where(y == 1, self.weight, 1.0) if self.objective == "logistic" else np.ones(len(y))
-        bins = bins.take(rows, axis=1)
-        return TreeRows(bins, *gradients(self.objective, margin[rows], y, weight), self.forest.place(bins, 0, self.level))
+        out.real, out.imag = gradients(self.objective, margin, y, weight)
+        return out
 
 
 @dataclass
 class TreeRows:
-    """Rows that a tree learns from, with their derivatives and the node each has come to."""
+    """Rows that a tree learns from, and the node each has come to."""
 
     bins: np.ndarray
-    g: np.ndarray
-    h: np.ndarray
+    margin: np.ndarray
+    y: np.ndarray
+    rows: np.ndarray
     node: np.ndarray
+    both: np.ndarray | None = None  # derivatives, where they are kept from level to level
 
-    def sums(self, order: Order) -> np.ndarray:
-        """Sums of the open nodes (in their order); rows in leaves are let go."""
-        slot = np.full(order.forest.feature.shape[1], -1)
-        slot[order.open] = np.arange(len(order.open))
-        place = slot[self.node]
-        inside = place >= 0
-        if not inside.all():
-            self.bins, self.g, self.h, self.node, place = self.bins.compress(inside, axis=1), self.g[inside], self.h[inside], self.node[inside], place[inside]
-        return histogram(self.bins, place, len(order.open), self.g, self.h, order.columns)
-
-    def step(self, forest: Forest) -> None:
-        """One level down."""
-        self.node = forest.place(self.bins, 0, 1, self.node)
+    def keep(self, order: Order) -> None:
+        """Find the derivatives once for all levels."""
+        self.both = np.empty(len(self.rows), complex)
+        for lo in range(0, len(self.rows), CHUNK_ROWS):
+            at = self.rows[lo:lo + CHUNK_ROWS]
+            self.both[lo:lo + CHUNK_ROWS] = order.derivatives(self.margin[at], self.y[at])
 
-
-def _chosen(open_nodes: np.ndarray, columns: np.ndarray, sums: np.ndarray) -> list[tuple]:
+    def sums(self, order: Order) -> np.ndarray:
+        """(2, node, column, code) sums of gradients and curvatures over the open nodes, added in the order of the rows."""
+        slot, nodes = np.full(order.forest.feature.shape[1], -1), len(order.open)
+        slot[order.open] = np.arange(nodes)
+        out, by_row = np.zeros((len(order.columns), nodes * 256), complex), self.bins.T
+        for lo in range(0, len(self.rows), CHUNK_ROWS):
+            at, place = self.rows[lo:lo + CHUNK_ROWS], slot.take(self.node[lo:lo + CHUNK_ROWS])
+            both = None if self.both is None else self.both[lo:lo + CHUNK_ROWS]
+            inside = np.flatnonzero(place >= 0)
+            if len(inside) < len(at):
+                at, place, both = at.take(inside), place.take(inside), None if both is None else both.take(inside)
+            both = order.derivatives(self.margin.take(at), self.y.take(at)) if both is None else both
+            own, base = by_row.take(at, axis=0), place * 256
+            for i, f in enumerate(order.columns):
+                np.add.at(out[i], base + own[:, f], both)
+        out = out.reshape(len(order.columns), nodes, 256).swapaxes(0, 1)
+        return np.stack([out.real, out.imag])
+
+    def step(self, forest: Forest, levels: int = 1) -> None:
+        """So many levels down."""
+        self.node = forest.place(self.bins, 0, levels, self.node, self.rows)
+
+
+def _chosen(growth: Growth, sums: np.ndarray) -> list[tuple]:
     """The best split of every open node over its columns."""
-    return _picked(open_nodes, columns, best_splits(sums))
+    return _picked(growth.open, growth.columns(), best_splits(growth.whole(sums)))
 
 
 def _picked(open_nodes: np.ndarray, columns: np.ndarray, found: Sequence[np.ndarray]) -> list[tuple]:
@@ -329,7 +363,7 @@ def binned_blocks(df: DataFrame, features: Sequence[str], labels: Sequence[str],
 
         def block() -> pa.RecordBatch:
             bins, y, m = (np.concatenate([h[i] for h in held], axis=-1) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([bins.shape[1]]), *[pa.array([x.tobytes()], pa.binary()) for x in (bins, y, m)]],
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([bins.shape[1]]), *[pa.array([x.tobytes()], pa.binary()) for x in (bins.T, y, m)]],
                                               ["block", "n", "bins", "labels", "member"])
 
         for batch in batches:
@@ -350,7 +384,7 @@ def binned_blocks(df: DataFrame, features: Sequence[str], labels: Sequence[str],
 @dataclass
 class _Block:
     number: int
-    bins: np.ndarray
+    bins: np.ndarray  # (feature, row), stored row by row
     labels: np.ndarray
     member: np.ndarray
     margins: np.ndarray | None = None  # (model, row)
@@ -358,15 +392,15 @@ class _Block:
     @staticmethod
     def of(row: dict | Row, features: int) -> _Block:
         n = row["n"]
-        return _Block(row["block"], np.frombuffer(row["bins"], np.uint8).reshape(features, n), np.frombuffer(row["labels"]).reshape(-1, n),
+        return _Block(row["block"], np.frombuffer(row["bins"], np.uint8).reshape(n, features).T, np.frombuffer(row["labels"]).reshape(-1, n),
                       np.frombuffer(row["member"], np.int64))
 
     def learns(self, model: int) -> np.ndarray:
         return (self.member >> model & 1).astype(bool)
 
 
-def _starts(blocks: DataFrame, specs: Sequence[Spec], labels: Sequence[str], features: int) -> list[tuple[float, float]]:
-    """Base margin and weight of positives of each model, from one pass."""
+def _starts(blocks: DataFrame, specs: Sequence[Spec], labels: Sequence[str], features: int) -> list[tuple[float, float, float]]:
+    """Base margin, weight of positives and number of rows of each model, from one pass."""
     slots = [labels.index(s.label) for s in specs]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +425,7 @@ def _starts(blocks: DataFrame, specs: Sequence[Spec], labels: Sequence[str], fea
         else:
             odds = (y * weight + 1e-9) / (n - y + 1e-9)
             base = float(np.log(odds)) if n else 0.0
-        out.append((base, weight))
+        out.append((base, weight, n))
     return out
 
 
@@ -404,17 +438,24 @@ def _grow_in_task(blocks: DataFrame, growths: Sequence[Growth], features: int) -
     def grow(dealt: tuple[int, Row]) -> tuple[int, Forest]:
         model, block = dealt[0], _Block.of(dealt[1], features)
         growth = growths[model]
-        y, member = block.labels[growth.slot], block.learns(model)
+        y, learnt = block.labels[growth.slot], block.learns(model)
         margin = np.full(len(y), growth.base)
         while not growth.done:
             tree, order = growth.tree, growth.order()
-            rows = order.rows(block.bins, margin, y, member, block.number)
+            rows = order.rows(block.bins, margin, y, learnt, block.number)
+            rows.keep(order)
             while growth.tree == tree:
                 order = growth.order()
                 if order.level:
                     rows.step(order.forest)
-                growth.take(_chosen(order.open, order.columns, rows.sums(order)))
-            margin += growth.forest.part(tree, tree + 1).margin(block.bins)
+                growth.take(_chosen(growth, rows.sums(order)))
+            grown = growth.forest.part(tree, tree + 1)
+            rows.step(grown, growth.settings.depth - order.level)
+            margin[rows.rows] += grown.value[0][rows.node]
+            others = learnt.copy()
+            others[rows.rows] = False
+            others = np.flatnonzero(others)
+            margin[others] += grown.value[0][grown.place(block.bins, 0, growth.settings.depth, rows=others)]
         return model, growth.forest
 
     dealt = blocks.rdd.flatMap(lambda row: [(model, row) for model in range(models)]).partitionBy(models, lambda model: model)
@@ -428,6 +469,7 @@ def _held(blocks: DataFrame, growths: Sequence[Growth], features: int, tasks: in
 
     def block(row: Row) -> tuple[int, _Block]:
         own = _Block.of(row, features)
+        own.member = own.member.astype(np.min_scalar_type(2 ** len(bases) - 1))
         own.margins = np.stack([np.full(row["n"], x) for x in bases]) if row["margins"] is None else np.frombuffer(row["margins"]).reshape(len(bases), -1)
         return own.number, own
 
@@ -448,7 +490,7 @@ def _advanced(held: RDD, growths: Sequence[Growth], tree: int) -> RDD:
 
 def _written(held: RDD, spark: SparkSession) -> DataFrame:
     """The blocks with their margins as a table in the shared folder."""
-    rows = held.map(lambda b: (b.number, b.bins.shape[1], *[bytearray(x.tobytes()) for x in (b.bins, b.labels, b.member, b.margins)]))
+    rows = held.map(lambda b: (b.number, b.bins.shape[1], *[bytearray(x.tobytes()) for x in (b.bins.T, b.labels, b.member.astype(np.int64), b.margins)]))
     return materialize(spark.createDataFrame(rows, _BLOCKS + ", margins binary"))
 
 
@@ -461,6 +503,15 @@ def _settled() -> None:
 def _level_pass(held: RDD, growths: Sequence[Growth], busy: Sequence[int], cuts: Sequence[int], tasks: int) -> dict[int, list[tuple]]:
     """Best splits of the open nodes of the models in ``busy``; ``cuts`` is the number of cuts of each feature."""
     orders = {i: growths[i].order() for i in busy}
+
+    def size() -> int:
+        return sum(len(o.open) * (cuts[int(f)] + 2) * 16 for o in orders.values() for f in o.columns)
+
+    here = size() * tasks <= SUMS_BYTES  # the sums of all tasks
+    if not here:  # sums stay where they meet: the next level has none to subtract from
+        for i in busy:
+            growths[i].known = None
+        orders = {i: growths[i].order() for i in busy}
     keys = {key: at for at, key in enumerate((i, int(f)) for i, o in orders.items() for f in o.columns)}
 
     def local(blocks: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
@@ -474,18 +525,23 @@ def _level_pass(held: RDD, growths: Sequence[Growth], busy: Sequence[int], cuts:
             for c, f in enumerate(orders[i].columns):  # codes that do not occur are left out
                 yield keys[i, int(f)], np.append(s[:, :, c, :cuts[f] + 1], s[:, :, c, MISSING:], axis=-1)
 
-    def merged(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, tuple]]:
-        _settled()
+    def together(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}  # a share of models x features
         for key, own in parts:
             sums[key] = sums[key] + own if key in sums else own
         for key, s in sums.items():
             whole = np.zeros((*s.shape[:2], 256))
             whole[:, :, :s.shape[2] - 1], whole[:, :, MISSING] = s[:, :, :-1], s[:, :, -1]
-            yield key, best_splits(whole)
+            yield key, whole
+
+    def merged(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, tuple]]:
+        _settled()
+        return ((key, best_splits(whole)) for key, whole in together(parts))
 
-    size = sum(len(o.open) * (cuts[int(f)] + 2) * 16 for o in orders.values() for f in o.columns)
-    reducers = min(tasks, len(keys), -(-size * tasks // SUMS_BYTES))
+    if here:
+        sums = dict(together(iter(held.mapPartitions(local).collect())))  # at most SUMS_BYTES
+        return {i: _chosen(growths[i], np.stack([sums[keys[i, int(f)]] for f in o.columns], axis=2)) for i, o in orders.items()}
+    reducers = min(tasks, len(keys), -(-size() * tasks // SUMS_BYTES))
     found = dict(held.mapPartitions(local).partitionBy(reducers, lambda key: key % reducers).mapPartitions(merged).collect())  # a row for each model and feature
     out = {}
     for i, o in orders.items():
@@ -600,12 +656,12 @@ def fit_many(df: DataFrame, features: Sequence[str], specs: Sequence[Spec], sett
     cuts = feature_cuts(learnt, names)
     blocks = binned_blocks(learnt, names, labels, specs, cuts)
     starts = _starts(blocks, specs, labels, len(names))
-    growths = [Growth(s, labels.index(s.label), settings, len(names), base, weight) for s, (base, weight) in zip(specs, starts)]
+    growths = [Growth(s, labels.index(s.label), settings, len(names), *start) for s, start in zip(specs, starts)]
     if blocks.limit(2).count() <= 1:
         forests = _grow_in_task(blocks, growths, len(names))
     else:
         forests = _grow_across_blocks(blocks, growths, len(names), [len(c) for c in cuts])
-    return [BoostedModel(names, s.objective, base, cuts, forest, indexer, s.label) for s, (base, _), forest in zip(specs, starts, forests)]
+    return [BoostedModel(names, s.objective, base, cuts, forest, indexer, s.label) for s, (base, *_), forest in zip(specs, starts, forests)]
 
 
 def out_of_fold(df: DataFrame, models: Sequence[BoostedModel], fold: str = "fold") -> DataFrame:

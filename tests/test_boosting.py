@@ -115,6 +115,45 @@ def test_a_pass_carries_one_tree_and_blocks_suit_the_cores(data, spark, monkeypa
     assert set(placed) == {1} and all(sum(d) == 500 and len(d) % spark.sparkContext.defaultParallelism == 0 for d in dealt)
 
 
+@pytest.mark.parametrize("block_rows, sums_bytes", [(262_144, 16_000_000), (60, 16_000_000), (60, 1)])
+def test_sums_of_the_heavier_child_follow_from_the_parent(data, monkeypatch, block_rows, sums_bytes):
+    """In a task, in passes whose sums the driver adds, and where they meet in tasks (which forget the parent)."""
+    _, df = data
+    specs = [boosting.Spec("label", balanced=True), boosting.Spec("spend", "tweedie")]
+    settings = boosting.Settings(trees=3, depth=3, learning_rate=0.3, row_share=1.0)  # samples go by block
+    plain = boosting.fit_many(df, ["a", "b", "c"], specs, settings)
+    monkeypatch.setattr(boosting, "DIFFERENCE_ROWS", 0)
+    monkeypatch.setattr(boosting, "SUMS_BYTES", sums_bytes)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
+    asked = []
+    if block_rows == 60:  # more blocks than a task takes
+        monkeypatch.setattr(boosting, "TASK_BLOCKS", 1)
+        passed = boosting._level_pass
+
+        def watched(held, growths, busy, *rest):
+            asked.extend((len(growths[i].order().open), len(growths[i].open)) for i in busy if growths[i].level)
+            return passed(held, growths, busy, *rest)
+
+        monkeypatch.setattr(boosting, "_level_pass", watched)
+    for a, b in zip(plain, boosting.fit_many(df, ["a", "b", "c"], specs, settings)):
+        assert np.array_equal(a.forest.feature, b.forest.feature) and np.array_equal(a.forest.cut, b.forest.cut)
+        assert np.array_equal(a.forest.missing_left, b.forest.missing_left)
+        assert a.forest.value == pytest.approx(b.forest.value, abs=1e-9) and a.forest.cover == pytest.approx(b.forest.cover, abs=1e-9)
+    assert bool(asked) == (block_rows == 60) and all(some == (every if sums_bytes == 1 else every // 2) for some, every in asked)
+
+
+def test_codes_only_one_child_has_leave_nothing_to_the_other():
+    growth = boosting.Growth(boosting.Spec("label"), 0, boosting.Settings(trees=1, depth=2, column_share=1.0), 1, 0.0, 1.0, boosting.DIFFERENCE_ROWS)
+    root = np.zeros((2, 1, 1, 256))
+    root[0, 0, 0, [3, 9]], root[1, 0, 0, [3, 9]] = (-0.1 - 0.2, 5.0), (0.1 + 0.2, 7.0)
+    growth.take([(0, 0, 1.0, 3, False, -0.3, 0.3, 4.7, 7.3)] if growth.whole(root) is not None else [])
+    light = np.zeros_like(root)
+    light[0, 0, 0, 3], light[1, 0, 0, 3] = -0.3, 0.3  # 0.1 + 0.2 is a little more
+    both = growth.whole(light)
+    assert growth.order().open.tolist() == [1] and both.shape == (2, 2, 1, 256)
+    assert both[:, 1, 0, 3].tolist() == [0, 0] and both[:, 1, 0, 9].tolist() == [5, 7]
+
+
 def test_folds_learn_only_from_their_rows(data):
     pdf, df = data
     settings = boosting.Settings(trees=10, depth=3, learning_rate=0.3)

@@ -103,7 +103,10 @@ class Pack:
 
 def squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """(row, centre) squared distances."""
-    return ((points[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    out = (points[:, :1] - centres[:, 0]) ** 2
+    for d in range(1, points.shape[1]):  # no (row, centre, dimension) array
+        out += (points[:, d:d + 1] - centres[:, d]) ** 2
+    return out
 
 
 def assign(pack: Pack, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:

@@ -47,8 +47,14 @@ class Mixture:
         out = np.empty((len(points), len(self.weights)))
         for j, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances)):
             root = np.linalg.cholesky(c)
-            z = np.linalg.solve(root, (points - m).T)
-            out[:, j] = np.log(max(w, 1e-300)) - 0.5 * (z ** 2).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * d * np.log(2 * np.pi)
+            z, form = [], np.zeros(len(points))
+            for a in range(d):  # forward substitution, a column at a time
+                rest = points[:, a] - m[a]
+                for b in range(a):
+                    rest -= root[a, b] * z[b]
+                z.append(rest / root[a, a])
+                form += z[a] ** 2
+            out[:, j] = np.log(max(w, 1e-300)) - 0.5 * form - np.log(np.diag(root)).sum() - 0.5 * d * np.log(2 * np.pi)
         return out
 
     def memberships(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -169,3 +169,27 @@ def test_rank_keeps_the_intercept_and_the_earlier_of_equal_terms():
     design = np.column_stack([np.ones(50), x[:, 0], x[:, 1], x[:, 0], x[:, 0] + x[:, 1], np.zeros(50)])
     kept, dependent = logit.rank_revealing(design.T @ design)
     assert 0 in kept and len(kept) == 3 and 5 in dependent and np.linalg.matrix_rank(design[:, kept]) == 3
+
+
+def test_squared_distances_hold_no_array_of_all_differences():
+    import tracemalloc
+
+    x, centres = np.random.default_rng(3).normal(size=(20_000, 3)), np.random.default_rng(4).normal(size=(5, 3))
+    tracemalloc.start()
+    try:
+        gap = lloyd.squared(x, centres)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * gap.nbytes
+    assert np.array_equal(gap, ((x[:, None, :] - centres[None]) ** 2).sum(axis=2))
+
+
+def test_densities_by_forward_substitution(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, root = rng.normal(size=(300, 3)), np.tril(rng.normal(size=(2, 3, 3))) + 2 * np.eye(3)
+    fit = mixture.Mixture(np.array([0.3, 0.7]), rng.normal(size=(2, 3)), root @ root.transpose(0, 2, 1))
+    want = np.stack([np.log(w) - 0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m) - 0.5 * np.linalg.slogdet(2 * np.pi * c)[1]
+                     for w, m, c in zip(fit.weights, fit.means, fit.covariances)], axis=1)
+    monkeypatch.delattr(np.linalg, "solve")  # a general solver for as many right sides as rows
+    assert fit.log_joint(x) == pytest.approx(want)

@@ -38,7 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = materialize(tokenfile.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID))
+    tokens = materialize(tokenfile.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID), "zstd")  # ids are read twice
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     tokenfile.write(tokens, path, LARGEST_ID)
     return tokenfile.digests(spark, path)

@@ -18,23 +18,28 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import map_batches, partitions_for
+from ledgerlens.llm.frames import BATCH_BYTES, partitions_for
 
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 256
-KEPT_CHUNKS = 1_200_000  # of a worker process, about 250 MB
+KEPT_CHUNKS = 1_200_000  # of a worker process, up to twice that for a time: at most about 100 MB
+JOINED = 1000  # unknown chunks that make one text for the library
+HELD_BYTES = 20_000_000  # of texts whose chunks are told apart together
 _PART_BYTES = 32 << 20
+_SPACE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(sys.maxunicode + 1) if chr(c).isspace()) + "]"
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
 
 
 # --- ids -------------------------------------------------------------------------------------------
@@ -43,58 +48,113 @@ class Encoder:
     """Ids of whole texts from the tokenizers library, remembering space-led chunks between texts.
 
     A byte-level tokenizer cuts before every single space between two other characters, so such
-    chunks can be encoded apart; texts with wider white space around a space go in whole. Added tokens
-    of the description that a text spells out, such as the end of text, get their own id, as in a plain call.
+    chunks can be encoded apart; wider white space stays inside a chunk. Chunks are told apart, looked up and put
+    together as Arrow arrays; unknown ones go to the library many at a time, joined by the space that leads each, and the
+    byte lengths of the tokens tell where each ends. Added tokens of the description that a text spells out, such as the
+    end of text, get their own id, as in a plain call.
     """
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, dtype: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(description)
-        self.wide = re.compile(r"\s | \s").search
-        self.kept: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        if self.wide(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
-
-    def encode(self, texts: list[str | None], dtype: str) -> list[bytes]:
-        """Ids of every text as little-endian integers of ``dtype``."""
-        out: list[bytes] = [b""] * len(texts)
-        known, waiting, new = self.kept, [], set()
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
-
-        def flush() -> None:
-            fresh = list(new)
-            for chunk, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[chunk] = array(code, found.ids).tobytes()
-            for at, chunks in waiting:
-                out[at] = b"".join([known[c] for c in chunks])
-            waiting.clear()
-            new.clear()
-
-        code = "H" if dtype == "<u2" else "I"
-        for at, text in enumerate(texts):
-            if not text:
-                continue
-            chunks = self.cut(text)
-            ids = list(map(known.get, chunks))
-            try:
-                out[at] = b"".join(ids)
-            except TypeError:  # None: chunks not seen before
-                waiting.append((at, chunks))
-                new.update([c for c, i in zip(chunks, ids) if i is None])
-                if len(new) >= 10_000:
-                    flush()
-        flush()
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
+        self.tokenizer, self.dtype = Tokenizer.from_str(description), dtype
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of a token; a letter of its name is a byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = added.get(i, len(token))
+        self.end = pa.array([np.array([end_id], dtype).tobytes()], pa.binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text and the end id, as little-endian integers of the encoder's type."""
+        filled = pc.fill_null(pc.not_equal(texts, ""), False)
+        if not pc.all(filled).as_py():
+            places = np.cumsum(filled.to_numpy(zero_copy_only=False)) * filled.to_numpy(zero_copy_only=False)
+            return pa.concat_arrays([self.end, self._encode(texts.filter(filled))]).take(pa.array(places))
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
+        lists = pc.split_pattern(texts, " ")
+        offsets, chunks = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        code = chunks.indices.to_numpy()
+        starts, ends = (pc.match_substring_regex(chunks.dictionary, form).to_numpy(zero_copy_only=False)[code] for form in (f"^({_SPACE}|$)", f"({_SPACE}|^)$"))
+        loose = np.zeros(len(code) + 1, bool)  # places where the space before a chunk is not the only one
+        loose[1:-1] = starts[1:] | ends[:-1]
+        loose[offsets] = False
+        wide = np.unique(np.searchsorted(offsets, np.flatnonzero(loose), side="right") - 1)
+        if not len(wide):
+            return self._joined(offsets, chunks)
+        cut = [_CUT(t) for t in texts.take(pa.array(wide)).to_pylist()]
+        whole = np.setdiff1d(np.arange(len(texts)), wide)
+        own = pa.array([c for t in cut for c in t], pa.string()).dictionary_encode()
+        parts = [self._joined(np.concatenate(([0], np.cumsum([len(t) for t in cut]))), own)]
+        if len(whole):
+            rest = pc.split_pattern(texts.take(pa.array(whole)), " ")
+            parts.append(self._joined(rest.offsets.to_numpy(), rest.flatten().dictionary_encode()))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate((wide, whole)), kind="stable")))
+
+    def _joined(self, offsets: np.ndarray, chunks: pa.DictionaryArray) -> pa.Array:
+        """Ids of texts given as chunks; the first of a text has no space before it."""
+        offsets = offsets - offsets[0]
+        first = chunks.take(pa.array(offsets[:-1])).dictionary_decode().dictionary_encode()
+        places = self._places(chunks.dictionary)[chunks.indices.to_numpy()]
+        places[offsets[:-1]] = len(self.ids) + first.indices.to_numpy()
+        table = pa.concat_arrays([self.ids, self._apart(first.dictionary.to_pylist()), self.end])
+        taken = table.take(pa.array(np.insert(places, offsets[1:], len(table) - 1)))
+        at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:][offsets + np.arange(len(offsets))]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), taken.buffers()[2]])
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Places of space-led chunks in ``ids``; those not known are encoded and remembered."""
+        if len(self.known) > 2 * KEPT_CHUNKS:  # the first ones are the most frequent
+            self.known, self.ids = self.known.slice(0, KEPT_CHUNKS), self.ids.slice(0, KEPT_CHUNKS)
+        found = pc.index_in(chunks, value_set=self.known)
+        if len(self.known) > KEPT_CHUNKS and found.null_count * 2 > len(chunks):  # other texts than before
+            self.forget()
+            found = pc.index_in(chunks, value_set=self.known)
+        unknown = pc.is_null(found)
+        new = chunks.filter(unknown)
+        places = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self._led(new)])
+        return places
+
+    def _led(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks with a space before each."""
+        closed = pc.invert(pc.match_substring_regex(chunks, f"^({_SPACE}|$)|({_SPACE}|^)$"))
+        run, parts, sizes = chunks.filter(closed), [], []
+        if len(run):
+            cuts = np.append(np.arange(0, len(run), JOINED), len(run))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), run), " ").to_pylist()
+            for text, found in zip(texts, self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)):
+                parts.append(np.array(found.ids, self.dtype))
+        ids = np.concatenate(parts) if parts else np.empty(0, self.dtype)
+        wanted = np.cumsum(pc.binary_length(run).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        reached = np.cumsum(self.bytes[ids])
+        ends = np.searchsorted(reached, wanted) + 1
+        if len(run) and (reached[-1] != wanted[-1] or not np.array_equal(reached[ends - 1], wanted)):
+            return self._apart([" " + c for c in chunks.to_pylist()])  # tokens do not stand for their bytes
+        sizes = np.concatenate(([0], ends)) * ids.itemsize
+        made = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        if len(run) == len(chunks):
+            return made
+        others = self._apart([" " + c for c in chunks.filter(pc.invert(closed)).to_pylist()])
+        kept = closed.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([made, others]).take(pa.array(np.where(kept, np.cumsum(kept) - 1, len(made) + np.cumsum(~kept) - 1)))
+
+    def _apart(self, texts: list[str]) -> pa.Array:
+        """Ids of every text by itself."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return pa.array([np.array(f.ids, self.dtype).tobytes() for f in found], pa.binary())
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _dtype(largest: int) -> str:
@@ -109,17 +169,28 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     dtype = _dtype(max(end_id, Tokenizer.from_str(description).get_vocab_size()))
     shared = docs.sparkSession.sparkContext.broadcast(description)
-    end = np.array([end_id], dtype).tobytes()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if tokenizer_path not in _encoders:
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        if (tokenizer_path, end_id) not in _encoders:
             _encoders.clear()
-            _encoders[tokenizer_path] = Encoder(shared.value)
-        ids = [i + end for i in _encoders[tokenizer_path].encode(batch.column(1).to_pylist(), dtype)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            _encoders[tokenizer_path, end_id] = Encoder(shared.value, dtype, end_id)
+        names, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+        return pa.RecordBatch.from_arrays([names, _encoders[tokenizer_path, end_id].encode(texts)], ["doc_id", "ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield made(held)
+                held = []
+        if held:
+            yield made(held)
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(columns, run, "doc_id long, ids binary")
+    return columns.mapInArrow(run, "doc_id long, ids binary")
 
 
 # --- codes -----------------------------------------------------------------------------------------
@@ -278,9 +349,9 @@ def _read(spark, path: str, schema: str, made) -> DataFrame:
     shared = spark.sparkContext.broadcast((np.array(codes["symbols"], np.int64), np.array(codes["lengths"], np.int64)))
     blocks = spark.read.schema(_COLUMNS).parquet(f"{path}/blocks")
     sizes = blocks.groupBy("part").agg(F.max(F.col("before") + F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("size"))
-    # one row for each part of the file set
+    # one row for each part of the file set: few beside its blocks, which stay where they are
     offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset"))
-    rows = blocks.join(offsets, "part").select((F.col("offset") + F.col("before")).alias("first"), "doc_ids", "doc_tokens", "checkpoints", "payload")
+    rows = blocks.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("before")).alias("first"), "doc_ids", "doc_tokens", "checkpoints", "payload")
     kept: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

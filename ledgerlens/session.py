@@ -71,7 +71,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/ledgerlens-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from that table.
 
     Used where the same rows are read more than once and must come out identical
@@ -80,10 +80,11 @@ def materialize(df: DataFrame) -> DataFrame:
     keeps column pruning, filter pushdown and a known size, and it survives the
     loss of any executor. Inside ``with stages(spark)`` it is removed at the end of
     the block; else the folder, named by the application, is its owner's to remove.
+    ``compression`` names another codec than the session's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     for scope in getattr(_scopes, "open", [])[-1:]:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -313,6 +314,43 @@ def test_token_files_take_added_tokens_as_the_library_does(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_encoder_asks_the_library_for_many_unknown_chunks_at_once(monkeypatch):
+    library = Tokenizer.from_file(JSON)
+    with open(JSON, encoding="utf-8") as file:
+        encoder = tokenfile.Encoder(file.read(), "<u2", 2)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    words = " ".join(f"w{i}\u00e9" for i in range(5000))
+    texts = [*strings(5, 300, 60), words, f"a  b {words}\n c"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes() for t in texts]
+    assert encoder.encode(pa.array(texts, pa.string())).to_pylist() == want
+    assert len(asked) < 2000  # not one for each word
+    assert len(encoder.known) > 5000 and max(len(c) for c in encoder.known.to_pylist()) < 200  # wide white space does not keep a text whole
+    asked.clear()
+    again = np.array(library.encode(f"x {words}", add_special_tokens=False).ids + [2], "<u2").tobytes()
+    assert encoder.encode(pa.array([f"x {words}"], pa.string())).to_pylist() == [again]
+    assert len(asked) <= 2  # the words are remembered
+    monkeypatch.setattr(tokenfile, "KEPT_CHUNKS", 50)  # forgetting changes nothing
+    for _ in range(3):
+        assert encoder.encode(pa.array(texts, pa.string())).to_pylist() == want
+    encoder.bytes[:] = 1  # lengths that do not fit: chunks go one by one
+    encoder.forget()
+    assert encoder.encode(pa.array(texts, pa.string())).to_pylist() == want
+
+
+def test_reading_token_files_does_not_shuffle_their_blocks(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(strings(2, 50, 80))), SCHEMA)
+    tokenfile.write(tokenfile.encode(docs, JSON, 2), str(tmp_path / "f"), 50_256)
+    plan = tokenfile.digests(spark, str(tmp_path / "f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan  # of one row a part, whatever the estimated sizes
+
+
 def test_licences_and_inheritance(spark):
     mit, gpl = licences.TEMPLATES[0][1], licences.TEMPLATES[2][1]
     files = spark.createDataFrame([

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -69,7 +68,7 @@ TEMPLATES = (
       for name, kind, version in (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"))),
 )
 THRESHOLD = 0.75
-KNOWN_WORDS = 20_000
+KNOWN_WORDS = 100_000  # about 10 MB of a worker process
 _HELD_WORDS = 200_000  # of a counting task, before it hands them on
 _WORD = re.compile(r"[a-z0-9]+").findall
 NAMES = [name for name, _ in (*TEMPLATES, *TEXTS)]
@@ -259,32 +258,37 @@ def own_licences(files: DataFrame) -> DataFrame:
     open_type = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("size", pa.float64()), ("edge", pa.bool_()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.float64()))]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mark, rows = uuid.uuid4().hex, []
-        for i, text in enumerate(batch.column(2).to_pylist()):
+        rows = []
+        for text in batch.column(2).to_pylist():
             units = scorer.units(text)
             spdx = declared(text or "")
             k, strong, weak, states = scorer.tops([u for u in units if not u[3]])
             left = [{"k": k, "dot": dot, "size": size, "edge": edge, "words": list(rare), "times": [float(n) for n in rare.values()]} for k, dot, size, rare, edge in units if rare]
             first, *_, last = [line for line in (text or "").split("\n") if line.strip()] * 2 or ("", "")
-            rows.append((f"{mark}{i}", spdx, k, strong, weak, states or bool(spdx and (_SPDX(first) or _SPDX(last))), left))
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), open_type)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]], names)
+            rows.append((spdx, k, strong, weak, states or bool(spdx and (_SPDX(first) or _SPDX(last))), left))
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), open_type)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *[pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]], names)
 
-    columns = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    judged = materialize(map_batches(columns, run, "doc_id long, path string, row_id string, spdx string, k int, strong double, weak double, states boolean, "
+    columns = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"),
+                           F.monotonically_increasing_id().alias("row_id"))
+    judged = materialize(map_batches(columns, run, "doc_id long, path string, row_id long, spdx string, k int, strong double, weak double, states boolean, "
                                      "open array<struct<k: int, dot: double, size: double, edge: boolean, words: array<string>, times: array<double>>>"))
-    # parts with rarer words: their lengths need the counts of those words; no such word is in many lines
+    # parts with rarer words: their lengths need the counts of those words; no such word is in many lines. Only the words
+    # themselves travel, what else is known of a part waits in its row
     words = (judged.where("size(open) > 0").select("row_id", F.posexplode("open").alias("unit", "o"))
-             .select("row_id", "unit", "o.k", "o.dot", "o.size", "o.edge", F.explode(F.arrays_zip("o.words", "o.times")).alias("w"))
-             .select("row_id", "unit", "k", "dot", "size", "edge", F.col("w.words").alias("word"), F.col("w.times").alias("times")))
+             .select("row_id", "unit", F.explode(F.arrays_zip("o.words", "o.times")).alias("w"))
+             .select("row_id", "unit", F.col("w.words").alias("word"), F.col("w.times").alias("times")))
     weight = F.log((1.0 + lines) / (1.0 + F.col("n"))) + 1
-    units = (words.join(counts, "word").groupBy("row_id", "unit")
-             .agg(F.first("k").alias("k"), F.first("edge").alias("edge"),
-                  F.round(F.first("dot") / F.sqrt(F.first("size") + F.sum(F.pow(F.col("times") * weight, F.lit(2)))), 12).alias("score")))
-    solved = units.groupBy("row_id").agg(
-        F.max(F.when(F.col("k") != _WEAK, F.struct("score", (-F.col("k")).alias("k")))).alias("found"),
-        F.max(F.when(F.col("k") == _WEAK, F.col("score"))).alias("reserved"), F.max(F.col("edge") & (F.col("score") >= THRESHOLD)).alias("stated"))
-    late = judged.where("size(open) > 0").join(solved, "row_id").withColumn("found", F.greatest("found", F.struct(F.col("strong").alias("score"), (-F.col("k")).alias("k"))))
+    lengths = words.join(counts, "word").groupBy("row_id", "unit").agg(F.sum(F.pow(F.col("times") * weight, F.lit(2))).alias("rest"))
+    solved = lengths.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "rest"))).alias("rest"))  # the parts of a text
+    parts = F.transform(F.arrays_zip("open.k", "open.dot", "open.size", "open.edge"), lambda o, i: F.struct(
+        o["k"].alias("k"), o["edge"].alias("edge"), F.round(o["dot"] / F.sqrt(o["size"] + F.col("rest")[i]), 12).alias("score")))
+    late = judged.where("size(open) > 0").join(solved, "row_id").withColumn("parts", parts)
+    late = late.withColumns({
+        "found": F.greatest(F.struct(F.col("strong").alias("score"), (-F.col("k")).alias("k")), F.array_max(F.transform(
+            F.filter("parts", lambda o: o["k"] != _WEAK), lambda o: F.struct(o["score"].alias("score"), (-o["k"]).alias("k"))))),
+        "reserved": F.array_max(F.transform(F.filter("parts", lambda o: o["k"] == _WEAK), lambda o: o["score"])),
+        "stated": F.exists("parts", lambda o: o["edge"] & (o["score"] >= THRESHOLD))})
     rows = judged.where("size(open) = 0").select("doc_id", "path", "spdx", "k", "strong", "weak", "states").unionByName(
         late.select("doc_id", "path", "spdx", (-F.col("found.k")).alias("k"), F.col("found.score").alias("strong"), F.greatest("weak", "reserved").alias("weak"),
                     (F.col("states") | F.col("stated")).alias("states")))

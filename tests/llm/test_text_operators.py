@@ -390,6 +390,22 @@ def test_licence_weights_count_all_words(spark, monkeypatch):
     assert {r.doc_id: tuple(r) for r in licences.scan(once).collect()} == expected
 
 
+def test_licence_join_carries_words_alone(spark, monkeypatch):
+    rnd = random.Random(8)
+    stated = [t for _, t in licences.TEMPLATES]
+    texts = ["\n".join(" ".join([rnd.choice(stated), *rnd.choices(["alpha", "beta", "gamma", f"own{i}"], k=rnd.randint(0, 9))]) for _ in range(rnd.randint(1, 4))) for i in range(40)]
+    files = spark.createDataFrame([(i, f"a/{i}.txt", t) for i, t in enumerate([*texts, None, "", *texts[:3]])], "doc_id long, path string, text string")
+    want = sorted(tuple(r) for r in licences.own_licences(files).collect())  # all words known to every task
+    monkeypatch.setattr(licences, "KNOWN_WORDS", 3)
+    own = licences.own_licences(files)
+    got = sorted(tuple(r) for r in own.collect())
+    assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-9)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.split("\n") if "Aggregate [row_id" in line]
+    assert exploded and not any("edge" in line for line in exploded)  # what is known of a part does not travel with each word
+
+
 def test_licences_of_headers_and_whole_files(spark):
     texts = {name: text for name, text in licences.TEXTS}
     comment = "\n".join(f" * {line}" for line in texts["MIT"].split("\n"))

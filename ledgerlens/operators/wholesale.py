@@ -49,8 +49,11 @@ def semi_join_keyset(tx: DataFrame, keys: DataFrame, key: str = "customer_id") -
 
 
 def detect_wholesale(tx: DataFrame, k: float = 3.0) -> DataFrame:
-    """Transactions of ordinary customers only."""
-    return anti_join_keyset(tx, flag_wholesale(tx, k).where("is_wholesale"))
+    """Transactions of ordinary customers only.
+
+    The bulk buyers are written first: as a table of known size, few of them are broadcast and no line is shuffled for them.
+    """
+    return anti_join_keyset(tx, materialize(flag_wholesale(tx, k).where("is_wholesale").select("customer_id")))
 
 
 def wholesale_summary(tx: DataFrame, k: float = 3.0) -> DataFrame:

@@ -13,6 +13,9 @@ margins after the last finished tree, so a pass places rows in the tree at hand
 trees they are written, which bounds what a lost executor costs. There are as many blocks as the cluster has cores, or a multiple.
 Up to ``TASK_BLOCKS`` blocks of rows (about 30 MB, less than a usual partition) cost less to grow where they are than
 a pass a level costs to start: they make one block, and every model grows in a task of its own, by the same steps. Both ways give the same trees, but for the order of sums of doubles.
+Where there are models enough to keep the cores busy, each also grows in a task of its own on up to ``MODEL_BLOCKS`` blocks, which the task
+reads and holds (about 600 MB with all that it works on): a row's place, derivatives and margin then stay where they are from level to level. Such a task adds up
+features whose codes go together (windows of one measure, counts of the same lines) as one, by their joint codes, and parts the sums afterwards.
 
 Missing values have a bin of their own and go to the side that gains more. Rows without label are not learnt
 from. A model without rows, or with one class only, keeps its base value.
@@ -44,6 +47,8 @@ CUTS = 254  # of a feature; codes 0..254, 255 for a missing value
 MISSING = 255
 BLOCK_ROWS = 262_144
 TASK_BLOCKS = 4
+MODEL_BLOCKS = 24  # of a task that holds all rows of a model
+BUNDLE_CELLS = 2048  # joint codes of features added up together: their sums stay in a core's cache
 LEAST_BLOCK_ROWS = 16_384  # more cores than such blocks are not used
 REFRESH = 50
 SUMS_BYTES = 16_000_000  # of all tasks that one task, or the driver, adds up
@@ -251,9 +256,10 @@ class Order:
     columns: np.ndarray
     forest: Forest  # the tree at hand alone
 
-    def rows(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, learnt: np.ndarray, block: int) -> TreeRows:
-        """The rows of a block that the tree learns from, of ``learnt``, placed down to the level at hand."""
-        rows = np.flatnonzero(sampled(self.seed, self.tree, block, len(learnt), self.row_share) & learnt)
+    def rows(self, bins: np.ndarray, margin: np.ndarray, y: np.ndarray, learnt: np.ndarray, *blocks: tuple[int, int]) -> TreeRows:
+        """The rows of blocks (number, rows) that the tree learns from, of ``learnt``, placed down to the level at hand."""
+        picked = np.concatenate([sampled(self.seed, self.tree, number, n, self.row_share) for number, n in blocks])
+        rows = np.flatnonzero(picked & learnt)
         return TreeRows(bins, margin, y, rows, self.forest.place(bins, 0, self.level, rows=rows))
 
     def derivatives(self, margin: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -264,6 +270,41 @@ class Order:
         return out
 
 
+@dataclass
+class Bundles:
+    """Features in groups whose joint codes are few: one addition a row serves a group."""
+
+    group: np.ndarray  # of each feature
+    codes: np.ndarray  # (row, group) joint codes
+    parts: list[np.ndarray]  # of each feature: its code by joint code
+
+    @staticmethod
+    def of(bins: np.ndarray) -> Bundles:
+        """Features with few codes first, each joins the group with which it has the fewest joint codes, if few enough."""
+        joint: list[np.ndarray] = []
+        cells: list[dict[int, np.ndarray]] = []  # code of each member by joint code
+        for f in np.argsort([len(np.unique(b)) for b in bins], kind="stable"):
+            best, own = None, bins[f]
+            for i, j in enumerate(joint):
+                occupied = np.flatnonzero(np.bincount(j.astype(np.int64) * 256 + own, minlength=1))
+                if len(occupied) <= BUNDLE_CELLS and (best is None or len(occupied) < len(best[1])):
+                    best = i, occupied
+            if best is None:
+                joint.append(own.astype(np.uint16))
+                cells.append({int(f): np.arange(256)})
+                continue
+            i, occupied = best
+            place = np.zeros(occupied[-1] + 1, np.uint16)
+            place[occupied] = np.arange(len(occupied))
+            joint[i] = place.take(joint[i].astype(np.int64) * 256 + own)
+            cells[i] = {**{m: c[occupied // 256] for m, c in cells[i].items()}, int(f): occupied % 256}
+        group, parts = np.zeros(len(bins), np.int64), [np.empty(0)] * len(bins)
+        for i, members in enumerate(cells):
+            for f, c in members.items():
+                group[f], parts[f] = i, c
+        return Bundles(group, np.stack(joint, axis=1), parts)
+
+
 @dataclass
 class TreeRows:
     """Rows that a tree learns from, and the node each has come to."""
@@ -274,6 +315,7 @@ class TreeRows:
     rows: np.ndarray
     node: np.ndarray
     both: np.ndarray | None = None  # derivatives, where they are kept from level to level
+    bundles: Bundles | None = None
 
     def keep(self, order: Order) -> None:
         """Find the derivatives once for all levels."""
@@ -286,7 +328,12 @@ class TreeRows:
         """(2, node, column, code) sums of gradients and curvatures over the open nodes, added in the order of the rows."""
         slot, nodes = np.full(order.forest.feature.shape[1], -1), len(order.open)
         slot[order.open] = np.arange(nodes)
-        out, by_row = np.zeros((len(order.columns), nodes * 256), complex), self.bins.T
+        if self.bundles is None:
+            by_row, taken, sizes = self.bins.T, order.columns, [256] * len(order.columns)
+        else:
+            by_row, taken = self.bundles.codes, np.unique(self.bundles.group[order.columns])
+            sizes = [len(self.bundles.parts[np.flatnonzero(self.bundles.group == i)[0]]) for i in taken]
+        out = [np.zeros(nodes * n, complex) for n in sizes]
         for lo in range(0, len(self.rows), CHUNK_ROWS):
             at, place = self.rows[lo:lo + CHUNK_ROWS], slot.take(self.node[lo:lo + CHUNK_ROWS])
             both = None if self.both is None else self.both[lo:lo + CHUNK_ROWS]
@@ -294,12 +341,21 @@ class TreeRows:
             if len(inside) < len(at):
                 at, place, both = at.take(inside), place.take(inside), None if both is None else both.take(inside)
             both = order.derivatives(self.margin.take(at), self.y.take(at)) if both is None else both
-            own, base = by_row.take(at, axis=0), place * 256
-            for i, f in enumerate(order.columns):
-                np.add.at(out[i], base + own[:, f], both)
-        out = out.reshape(len(order.columns), nodes, 256).swapaxes(0, 1)
+            own = by_row.take(at, axis=0)
+            for i, (f, n) in enumerate(zip(taken, sizes)):
+                np.add.at(out[i], place * n + own[:, f], both)
+        if self.bundles is not None:
+            out = [self._part(out[np.searchsorted(taken, self.bundles.group[f])], self.bundles.parts[f], nodes) for f in order.columns]
+        out = np.stack(out).reshape(len(order.columns), nodes, 256).swapaxes(0, 1)
         return np.stack([out.real, out.imag])
 
+    @staticmethod
+    def _part(sums: np.ndarray, code: np.ndarray, nodes: int) -> np.ndarray:
+        """Sums of one feature from those of its group."""
+        out = np.zeros(nodes * 256, complex)
+        np.add.at(out, (np.arange(nodes)[:, None] * 256 + code).ravel(), sums)
+        return out
+
     def step(self, forest: Forest, levels: int = 1) -> None:
         """So many levels down."""
         self.node = forest.place(self.bins, 0, levels, self.node, self.rows)
@@ -432,37 +488,53 @@ def _starts(blocks: DataFrame, specs: Sequence[Spec], labels: Sequence[str], fea
 # ---- growing
 
 def _grow_in_task(blocks: DataFrame, growths: Sequence[Growth], features: int) -> list[Forest]:
-    """Every model grows where the only block is: one task a model."""
-    models = len(growths)
-
-    def grow(dealt: tuple[int, Row]) -> tuple[int, Forest]:
-        model, block = dealt[0], _Block.of(dealt[1], features)
-        growth = growths[model]
-        y, learnt = block.labels[growth.slot], block.learns(model)
-        margin = np.full(len(y), growth.base)
-        while not growth.done:
-            tree, order = growth.tree, growth.order()
-            rows = order.rows(block.bins, margin, y, learnt, block.number)
-            rows.keep(order)
-            while growth.tree == tree:
-                order = growth.order()
-                if order.level:
-                    rows.step(order.forest)
-                growth.take(_chosen(growth, rows.sums(order)))
-            grown = growth.forest.part(tree, tree + 1)
-            rows.step(grown, growth.settings.depth - order.level)
-            margin[rows.rows] += grown.value[0][rows.node]
-            others = learnt.copy()
-            others[rows.rows] = False
-            others = np.flatnonzero(others)
-            margin[others] += grown.value[0][grown.place(block.bins, 0, growth.settings.depth, rows=others)]
-        return model, growth.forest
-
-    dealt = blocks.rdd.flatMap(lambda row: [(model, row) for model in range(models)]).partitionBy(models, lambda model: model)
-    forests = dict(dealt.map(grow).collect())  # a row a model
+    """Every model grows in a task of its own, which reads all blocks."""
+    def grow(model: int, rows: Iterator[Row]) -> Iterator[tuple[int, Forest]]:
+        held = []
+        for row in rows:
+            block = _Block.of(row, features)
+            held.append((block.number, block.bins.T, block.labels[growths[model].slot].copy(), block.learns(model)))
+        if held:
+            held.sort(key=lambda h: h[0])
+            numbers = [(h[0], len(h[2])) for h in held]
+            bins, y, learnt = (np.concatenate([h[i] for h in held]) if len(held) > 1 else held[0][i] for i in (1, 2, 3))
+            held.clear()
+            yield model, _grown(growths[model], bins.T, y, learnt, numbers).forest
+
+    read = blocks.coalesce(1).rdd  # once for each model: nothing is shuffled
+    forests = dict(blocks.sparkSession.sparkContext.union([read] * len(growths)).mapPartitionsWithIndex(grow).collect())  # a row a model
     return [forests.get(i, growth.forest) for i, growth in enumerate(growths)]
 
 
+def _grown(growth: Growth, bins: np.ndarray, y: np.ndarray, learnt: np.ndarray, blocks: Sequence[tuple[int, int]]) -> Growth:
+    """All trees of a model from all its rows, which are those of ``blocks`` (number, rows) in order."""
+    margin = np.full(len(y), growth.base)
+    bundles = Bundles.of(bins) if growth.differs else None
+    while not growth.done:
+        tree, order = growth.tree, growth.order()
+        rows = order.rows(bins, margin, y, learnt, *blocks)
+        rows.bundles = bundles
+        rows.keep(order)
+        while growth.tree == tree:
+            order = growth.order()
+            if order.level:
+                rows.step(order.forest)
+            growth.take(_chosen(growth, rows.sums(order)))
+        grown = growth.forest.part(tree, tree + 1)
+        rows.step(grown, growth.settings.depth - order.level)
+        margin[rows.rows] += grown.value[0][rows.node]
+        others = learnt.copy()
+        others[rows.rows] = False
+        others = np.flatnonzero(others)
+        margin[others] += grown.value[0][grown.place(bins, 0, growth.settings.depth, rows=others)]
+    return growth
+
+
+def _models_fill(rows: float, models: int, cores: int) -> bool:
+    """Whether a task a model can hold the rows and the models keep three quarters of the cores busy."""
+    return rows <= MODEL_BLOCKS * BLOCK_ROWS and 4 * models >= 3 * cores
+
+
 def _held(blocks: DataFrame, growths: Sequence[Growth], features: int, tasks: int) -> RDD:
     """The blocks, dealt to as many tasks as there are cores, with the margins written with them or the base."""
     bases = [g.base for g in growths]
@@ -519,7 +591,7 @@ def _level_pass(held: RDD, growths: Sequence[Growth], busy: Sequence[int], cuts:
         sums: dict[int, np.ndarray] = {}
         for b in blocks:
             for i, o in orders.items():
-                own = o.rows(b.bins, b.margins[i], b.labels[o.slot], b.learns(i), b.number).sums(o)
+                own = o.rows(b.bins, b.margins[i], b.labels[o.slot], b.learns(i), (b.number, b.bins.shape[1])).sums(o)
                 sums[i] = own + sums[i] if i in sums else own
         for i, s in sums.items():
             for c, f in enumerate(orders[i].columns):  # codes that do not occur are left out
@@ -657,7 +729,8 @@ def fit_many(df: DataFrame, features: Sequence[str], specs: Sequence[Spec], sett
     blocks = binned_blocks(learnt, names, labels, specs, cuts)
     starts = _starts(blocks, specs, labels, len(names))
     growths = [Growth(s, labels.index(s.label), settings, len(names), *start) for s, start in zip(specs, starts)]
-    if blocks.limit(2).count() <= 1:
+    stored = blocks.agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).first()
+    if stored["blocks"] <= 1 or _models_fill(stored["n"], len(specs), df.sparkSession.sparkContext.defaultParallelism):
         forests = _grow_in_task(blocks, growths, len(names))
     else:
         forests = _grow_across_blocks(blocks, growths, len(names), [len(c) for c in cuts])

@@ -142,6 +142,43 @@ def test_sums_of_the_heavier_child_follow_from_the_parent(data, monkeypatch, blo
     assert bool(asked) == (block_rows == 60) and all(some == (every if sums_bytes == 1 else every // 2) for some, every in asked)
 
 
+def test_models_that_fill_the_cores_grow_in_tasks_over_all_blocks(data, spark, monkeypatch):
+    _, df = data
+    specs = [boosting.Spec("spend", "tweedie"), boosting.Spec("label", balanced=True), *learning.fold_specs("label", "logistic", 3),
+             *learning.fold_specs("spend", "tweedie", 3)]
+    settings = boosting.Settings(trees=3, depth=3, learning_rate=0.3, row_share=1.0)  # samples go by block
+    assert boosting._models_fill(500, len(specs), spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(boosting, "TASK_BLOCKS", 1)
+    monkeypatch.setattr(boosting, "DIFFERENCE_ROWS", 0)  # features are bundled, too
+    monkeypatch.setattr(boosting, "MODEL_BLOCKS", 0)
+    passes = boosting.fit_many(df, ["a", "b", "c"], specs, settings)
+    monkeypatch.setattr(boosting, "MODEL_BLOCKS", 24)
+    monkeypatch.delattr(boosting, "_level_pass")
+    for a, b in zip(passes, boosting.fit_many(df, ["a", "b", "c"], specs, settings)):
+        assert np.array_equal(a.forest.feature, b.forest.feature) and np.array_equal(a.forest.cut, b.forest.cut)
+        assert a.forest.value == pytest.approx(b.forest.value, abs=1e-9)
+    assert not boosting._models_fill(500, 1, 8) and not boosting._models_fill(60 * 25, 12, 12)
+
+
+def test_bundled_features_have_the_sums_of_single_ones():
+    rng = np.random.default_rng(2)
+    n = 4000
+    window = np.where(rng.random(n) < 0.1, rng.integers(1, 40, n), 0)
+    bins = np.stack([rng.integers(0, 255, n), window, np.minimum(window, 7), np.where(rng.random(n) < 0.2, 255, 3), rng.integers(0, 255, n)]).astype(np.uint8)
+    bundles = boosting.Bundles.of(bins)
+    assert len(set(bundles.group)) < len(bins) and bundles.codes.shape == (n, len(set(bundles.group)))
+    for f, (group, part) in enumerate(zip(bundles.group, bundles.parts)):
+        assert np.array_equal(part[bundles.codes[:, group]], bins[f])
+    growth = boosting.Growth(boosting.Spec("label"), 0, boosting.Settings(trees=1, depth=2), len(bins), 0.0, 1.0, n)
+    growth.open = np.array([1, 2])
+    order = growth.order()
+    rows = boosting.TreeRows(bins, rng.normal(size=n), (rng.random(n) < 0.3).astype(float), np.arange(n), rng.integers(1, 4, n))
+    single = rows.sums(order)
+    rows.bundles = bundles
+    assert rows.sums(order) == pytest.approx(single, abs=1e-9) and single.shape == (2, 2, len(order.columns), 256)
+
+
 def test_codes_only_one_child_has_leave_nothing_to_the_other():
     growth = boosting.Growth(boosting.Spec("label"), 0, boosting.Settings(trees=1, depth=2, column_share=1.0), 1, 0.0, 1.0, boosting.DIFFERENCE_ROWS)
     root = np.zeros((2, 1, 1, 256))

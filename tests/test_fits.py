@@ -193,3 +193,33 @@ def test_densities_by_forward_substitution(monkeypatch):
                      for w, m, c in zip(fit.weights, fit.means, fit.covariances)], axis=1)
     monkeypatch.delattr(np.linalg, "solve")  # a general solver for as many right sides as rows
     assert fit.log_joint(x) == pytest.approx(want)
+
+
+def test_restarts_share_a_large_pack(points, monkeypatch):
+    """More rows than a pack of the passes: enough restarts run whole in tasks, with one answer whoever runs them."""
+    x, df = points
+    monkeypatch.setattr(lloyd, "PACK_ROWS", 90)
+    assert not lloyd.one_pack(lloyd.pack(df)[0])
+    packed, dim = lloyd.pack(df, fits=40)
+    assert lloyd.one_pack(packed) and packed.first()["n"] == len(x)
+
+    def one(pack, fit):
+        return [lloyd.draw(pack, np.empty((0, dim)), fit, 0)[1], [len(pack.points), fit]]
+
+    shared, dealt = lloyd.shared_out(packed, dim, 40, one), lloyd.each_in_a_task(packed, dim, 40, one, 2)
+    assert sorted(shared) == sorted(dealt) == list(range(40))
+    assert all(np.array_equal(a, b) for i in dealt for a, b in zip(shared[i], dealt[i]))
+    monkeypatch.delattr(lloyd, "lloyd_pass")
+    for k, m in lloyd.fit_all(df, (4, 5), 20, 100, 3).items():
+        own = lloyd.squared(x, m.centres).argmin(axis=1)
+        assert m.cost == pytest.approx(lloyd.squared(x, m.centres).min(axis=1).sum())
+        assert m.centres == pytest.approx(np.stack([x[own == j].mean(axis=0) for j in range(k)]), abs=1e-4)
+    monkeypatch.setattr(lloyd, "TASK_BYTES", 1)
+    assert not lloyd.one_pack(lloyd.pack(df, fits=40)[0])
+
+
+def test_the_nearest_centre_is_the_first_of_equal_ones():
+    x, centres = np.round(np.random.default_rng(5).normal(size=(500, 3)), 1), np.array([(0.0, 0, 0), (1, 0, 0), (0, 0, 0), (0, 1, 0)])
+    gap = lloyd.squared(x, centres)
+    own, best = lloyd.nearest_centre(np.ascontiguousarray(x.T), centres)
+    assert np.array_equal(own, gap.argmin(axis=1)) and np.array_equal(best, gap.min(axis=1))

@@ -145,3 +145,26 @@ def test_sample_is_repeatable_and_bounded(spark):
     a = value.bounded_sample(df.repartition(3), F.col("id"), 50)
     b = value.bounded_sample(df.repartition(11), F.col("id"), 50)
     assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in b.collect()) and a.count() == 50
+
+
+def test_curves_of_whole_arrays_equal_the_column(spark, monkeypatch):
+    monkeypatch.setattr(btyd, "CURVE_ROWS", 7)  # several chunks
+    rows = [(x, float(t) if x else 0.0, float(T)) for x in (0, 1, 2, 9, 40) for T in (0, 1, 30, 700, 2500) for t in (0, T // 2, T)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 2.0), (3, None, 2.0), (3, 1.0, None)], "x long, t_x double, T double")
+    days = [30 * j for j in range(1, 13)]
+    for params in ({"r": 0.9, "alpha": 40.0, "a": 0.4, "b": 2.1}, {"r": 3.0, "alpha": 9.0, "a": 1.7, "b": 0.6}):
+        both = df.select(btyd.purchase_curve(params, days).alias("old"), btyd.curve_of_rows(params, days).alias("new"), *df.columns).collect()
+        for r in both:
+            if None in (r["x"], r["t_x"], r["T"]):
+                assert r["new"] is None
+            else:
+                assert r["new"] == pytest.approx(r["old"], rel=1e-9, abs=1e-12)
+    with pytest.raises(ValueError, match="pole"):
+        btyd.curve_of_rows({"r": 1.0, "alpha": 9.0, "a": 1.0, "b": 0.6}, days)
+
+
+def test_probabilistic_scores_need_no_interpreted_series(spark, monkeypatch):
+    monkeypatch.delattr(btyd, "purchase_curve")
+    summary = spark.createDataFrame([("a", 2, 10, 50, 20.0), ("b", 0, 0, 50, 0.0)], "customer_id string, x long, t_x int, T int, m double")
+    scored = btyd.probabilistic_scores(summary, {"r": 0.9, "alpha": 40.0, "a": 0.4, "b": 2.1}, {"p": 6.0, "q": 4.0, "v": 15.0}).orderBy("customer_id").collect()
+    assert scored[0]["clv_12m"] > scored[0]["clv_90d"] > 0 and scored[1]["clv_12m"] is None and scored[1]["predicted_purchases_90d"] > 0

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import bindings as b
+from checks import queries_models
+from checks.catalog import ENTRIES
 from ledgerlens import session
 from ledgerlens.operators import clean, rfm
 from ledgerlens.plans import scoring, training
@@ -59,6 +61,27 @@ def test_stream_equals_batches_and_survives_a_restart(spark, small, trained, tmp
     assert {r["batch_id"] for r in spark.read.parquet(models.transactions).select("batch_id").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_a_quarter_arrives_as_one_file(spark, small, trained, monkeypatch):
+    files = []
+
+    def watched(spark, source, *args, **settings):
+        files.extend(spark.read.parquet(source).inputFiles())
+        return stream_score_append(spark, source, *args, **settings)
+
+    monkeypatch.setattr(queries_models, "_trained", lambda *_: trained)
+    monkeypatch.setattr(queries_models, "stream_score_append", watched)
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as with large tables
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert ENTRIES["stream_score_append"].run(spark, small).count() > 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) <= 4
+
+
 def copied(spark, trained, folder):
     models = trained.at(str(folder))
     for part in ("customers", "transactions"):
